@@ -68,24 +68,24 @@ def fits(rule: Rule) -> Column:
     return ((F.col("host") == rule.host) | F.endswith("host", F.lit("." + rule.host))) & F.startswith("path", F.lit(rule.path))
 
 
-def symbols(url: Column) -> Column:
-    """The folded characters of a url, as numbers, with ORDER times 0 in front."""
-    known = F.translate(url, _UPPER, _LOWER)
-    one = lambda c: F.when(F.instr(F.lit(_ALPHABET), c) > 0, F.instr(F.lit(_ALPHABET), c)).otherwise(57 + F.pmod(F.ascii(c), F.lit(SYMBOLS - 57)))
-    chars = F.filter(F.split(F.coalesce(known, F.lit("")), ""), lambda c: c != "")
-    return F.concat(F.array(*[F.lit(0)] * ORDER), F.transform(chars, one))
+_TABLE = [_ALPHABET.find(chr(i)) + 1 or 57 + i % (SYMBOLS - 57) for i in range(128)]
+
 
+def symbols(url: Column) -> Column:
+    """The folded characters of a url, as numbers."""
+    known = F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER)
+    table = F.array(*map(F.lit, _TABLE))
+    one = lambda c: F.coalesce(F.get(table, F.ascii(c)), 57 + F.pmod(F.ascii(c), F.lit(SYMBOLS - 57)))
+    return F.transform(F.filter(F.split(known, ""), lambda c: c != ""), one)
 
-def cells(seq: Column) -> Column:
-    """For each character the number of its string: its context, then itself."""
-    def at(i: Column) -> Column:
-        code = F.lit(0)
-        for k in range(ORDER + 1):
-            code = code * SYMBOLS + F.get(seq, i + k)
-        return code
 
-    n = F.size(seq) - ORDER
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
+def cells(url: Column) -> Column:
+    """For each character the number of its string: its context, then itself; the sequence shifted against itself."""
+    seq = symbols(url)
+    out = F.concat(F.array_repeat(F.lit(0), ORDER), seq)
+    for k in range(ORDER - 1, -1, -1):
+        out = F.zip_with(out, F.concat(F.array_repeat(F.lit(0), k), seq), lambda a, b: a * SYMBOLS + b)
+    return F.slice(out, 1, F.size(seq))
 
 
 def model(labelled: DataFrame) -> DataFrame:
@@ -126,15 +126,15 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     rule, decided = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in reversed(best):
         rule, decided = F.when(fits(r), r.name).otherwise(rule), F.when(fits(r), r.verdict).otherwise(decided)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), decided.alias("decided"), cells(symbols(F.col("url"))).alias("codes"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), decided.alias("decided"), cells(F.col("url")).alias("codes"))
     known = rows.where("decided is not null").select((F.col("decided") == "allow").alias("accepted"), "codes")
     kinds = {r["accepted"] for r in known.select("accepted").distinct().collect()}
     if kinds != {True, False}:
         out = rows.withColumn("score", F.lit(0.0))
         cut = 0.0
     else:
-        one = written(model(known).withColumn("key", F.lit(0)), "urls")  # a single row of fixed size
-        out = rows.withColumn("key", F.lit(0)).join(F.broadcast(one), "key").withColumn("score", score(F.col("codes"), F.col("ratios")))
+        one = written(model(known), "urls")  # a single row of fixed size
+        out = rows.withColumn("ratios", one.scalar()).withColumn("score", score(F.col("codes"), F.col("ratios")))
         step = F.floor(F.col("score") * STEPS / 10)
         found = out.where("decided is not null").groupBy(step.alias("s")).agg(F.sum((F.col("decided") == "allow").cast("long")).alias("a"), F.sum((F.col("decided") == "block").cast("long")).alias("b"))
         cut = best_cut([(r["s"], r["a"], r["b"]) for r in found.orderBy("s").collect()]) * 10 / STEPS  # scores lie within +-20: few rows
