@@ -137,7 +137,8 @@ def differing(a: list[np.ndarray], b: list[np.ndarray], small: Sketches | None =
         for j in np.flatnonzero(ended):
             k, s = keys[edge[j] : edge[j + 1]], side[edge[j] : edge[j + 1]]
             out[open_[j]] = (k[s > 0], k[s < 0])
-        part = np.maximum(2 * less.part, less.guesses() * 2 // HASHES + 3)[~ended]
+        both = np.array([len(a[i]) + len(b[i]) for i in open_])  # no more can differ
+        part = np.maximum(2 * less.part, np.minimum(less.guesses(), both) * 2 // HASHES + 3)[~ended]
         open_, less = open_[~ended], None
     return out
 
