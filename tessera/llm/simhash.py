@@ -235,6 +235,8 @@ def simhash_components(docs: DataFrame, size: int = 4, budget: int = BUDGET, spl
 
 #: Of the wide print: independent 64-bit words, values of the sketch that confirms a link, least likeness.
 WIDE, SKETCH, CONFIRM = 4, 64, 0.6
+#: Ids to be dropped that are sent to all workers; more are joined by a shuffle.
+SENT = 2_000_000
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -297,7 +299,8 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     Rows without an id stay.  Of several rows with one id that are kept, one stays.
     """
     keepers = written(near_duplicates(docs, size), "keepers")
-    gone = keepers.where("doc_id <> keeper").select("doc_id").distinct()
+    gone = written(keepers.where("doc_id <> keeper").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= SENT else gone.hint("merge")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if keepers.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         return kept
