@@ -12,7 +12,8 @@ another; a longest previous factor of a later one is all of it.  What is left ar
 different contexts: one of each context goes to a suffix array (prefix doubling),
 LCP values from the ranks of its rounds, and the longest previous factor of a position
 from the previous and next smaller positions in suffix order, with the least
-LCP on the way.  Mirrored positions give the longest next factor.
+LCP on the way.  Mirrored positions give the longest next factor.  Anchors with more than CROWD contexts (a common line in
+many different places) don't go to one task: their windows are dealt out by digests of all their bytes.
 
 keep_first=True removes what has an earlier copy (ids, then places) and keeps the first;
 keep_first=False removes every copy.
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import flat, steps, texts, written
 
-LENGTH, KEY = 200, 50
-#: Bytes of contexts that go into one suffix array, if groups allow.
-BLOCK = 2 << 20
+LENGTH, KEY = 200, 32
+#: Bytes of contexts that go into one suffix array, and contexts of one anchor that do; anchors with more have their windows counted.
+BLOCK, CROWD = 1 << 20, 3_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -192,7 +193,7 @@ def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, at, n, flags: runs of windows of which some go; flags null: all n of them, else one bit each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,40 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep
         if rows:
             yield solve(rows)
 
-    flags = contexts.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "at").mapInArrow(compare, "anchor long, context long, flags binary")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "doc_id", "at", "bytes")), strict=True):
+                n = len(r[4]) - length + 1
+                digest = [xxhash.xxh3_128_digest(r[4][i : i + length]) for i in range(n)]
+                cols = [pa.array([v] * n, pa.int64()) for v in r[:4]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(n), pa.int32()), pa.array(digest, pa.binary())], ["anchor", "context", "doc_id", "at", "i", "digest"])
+
+    def packed(n: list[int], on: list[list[int]]) -> list[bytes]:
+        out = []
+        for k, x in zip(n, on, strict=True):
+            flag = np.zeros(k, bool)
+            flag[x] = True
+            out.append(_bits(flag))
+        return out
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("context"), pa.array(packed(b.column("n").to_pylist(), b.column("hits").to_pylist()), pa.binary())], ["anchor", "context", "flags"])
+
+    few, schema = contexts, "anchor long, context long, flags binary"
+    crowded = written(kinds.where("mixed").groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select("anchor"), "crowded")
+    if not crowded.isEmpty():
+        contexts = written(contexts.dropDuplicates(["anchor", "context"]), "crowd")
+        few = contexts.join(crowded, "anchor", "left_anti")
+        each = written(contexts.join(crowded, "anchor", "left_semi").select("anchor", "context", "doc_id", "at", "bytes").mapInArrow(windows, "anchor long, context long, doc_id long, at long, i int, digest binary"), "windows")
+        spot = F.struct("doc_id", "at", "i")
+        equal = each.groupBy("digest").agg(F.count("*").alias("c"), F.min(spot).alias("first")).where("c > 1")
+        hits = each.join(equal, "digest").where(spot != F.col("first") if keep_first else F.lit(True)).groupBy("anchor", "context").agg(F.collect_list("i").alias("hits"))
+        sizes = contexts.join(crowded, "anchor", "left_semi").select("anchor", "context", (F.octet_length("bytes") - length + 1).alias("n"))
+        many = sizes.join(hits, ["anchor", "context"], "left").select("anchor", "context", "n", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).mapInArrow(pack, schema)
+    flags = few.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "at").mapInArrow(compare, schema)
+    if not crowded.isEmpty():
+        flags = flags.unionByName(many)
     known = kinds.join(flags, ["anchor", "context"], "left").select("anchor", "context", "k", "first", F.col("flags").alias("bits"))
     if keep_first:
         later = found.join(known, ["anchor", "context"]).withColumn("lead", place.eqNullSafe(F.col("first")))
@@ -270,13 +304,13 @@ def spans(windows: list[tuple[int, int, bytes | None]], length: int) -> list[tup
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, windows of the documents that lose something; spans(windows) are their removed byte ranges."""
-    rows = repeated_windows(docs, length, key, keep_first)
+    rows = repeated_windows(docs, length, key, keep_first, crowd)
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "flags")).alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.  Ids are taken as distinct; null text: empty."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,5 +328,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_f
                 kinds = (pa.int64(),) * 4 + (pa.string(),)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    lost = written(repeated_spans(docs, length, key, keep_first), "spans")
+    lost = written(repeated_spans(docs, length, key, keep_first, crowd), "spans")
     return texts(docs).join(lost, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

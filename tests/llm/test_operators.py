@@ -194,10 +194,10 @@ def _removed(texts, length, first_stays):
     return out
 
 
-@pytest.mark.parametrize("length,key,first", [(200, 50, False), (200, 50, True), (40, 12, False)])
-def test_repeats(docs, empty, rows, length, key, first):
+@pytest.mark.parametrize("length,key,first,crowd", [(200, 50, False, 3000), (200, 32, True, 3000), (40, 12, False, 2), (40, 12, True, 2)])
+def test_repeats(docs, empty, rows, length, key, first, crowd):
     want = _removed([(i, t) for i, t, *_ in rows], length, first)
-    out = got(suffix.remove_repeats(docs, length, key, first))
+    out = got(suffix.remove_repeats(docs, length, key, first, crowd))
     assert {i: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i, r in out.items()} == want
     assert suffix.remove_repeats(empty).count() == 0
 
