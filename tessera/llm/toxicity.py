@@ -79,7 +79,7 @@ def _typical(rows: list[bytes], mine: tuple[np.ndarray, np.ndarray], n: int, oth
         edge = np.flatnonzero(np.diff(np.concatenate(([0], on.view(np.int8), [0]))))
         seen.update({r[a : b - 1 + GRAM] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)})
     out, used = [], 0
-    for passage, k in seen.most_common():
+    for passage, k in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
         if k < 2 or used + len(passage) + 1 > size:
             break
         out.append(passage[:64])
