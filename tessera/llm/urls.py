@@ -150,3 +150,34 @@ def best_cut(steps: list[tuple[int, int, int]]) -> int:
         wrong_a, wrong_b = wrong_a + a, wrong_b - b
         best = min(best, (wrong_a / max(1, accepted) + wrong_b / max(1, rejected), s + 1))
     return best[1]
+
+
+def oracle_sql() -> str:
+    """The same judgement in DuckDB's SQL, for op10's rules."""
+    best = sorted(RULES, key=lambda r: (-len(r.name), r.name))
+    fit = " ".join(f"WHEN (host='{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path,'{r.path}') THEN '{r.name}'" for r in best)
+    decided = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in best)
+    alphabet = _ALPHABET.replace("'", "''")
+    weight, cells_, p = SMOOTH * SYMBOLS / 8, SYMBOLS ** (ORDER + 1), {}
+    steps = ""
+    for k in range(ORDER + 1):
+        for x in ("x1", "x0"):
+            low = f"p{k - 1}_{x}" if k else f"{1 / SYMBOLS}"
+            p[x] = f"(sum({x}) OVER (PARTITION BY code % {SYMBOLS ** (k + 1)}) + {weight}::DOUBLE*{low})/(sum({x}) OVER (PARTITION BY (code // {SYMBOLS}) % {SYMBOLS**k}) + {weight}::DOUBLE) AS p{k}_{x}"
+        steps += f", q{k} AS (SELECT *, {p['x1']}, {p['x0']} FROM {f'q{k - 1}' if k else 'cells'})"
+    code = " + ".join([f"{SYMBOLS**k}*coalesce(lag(sym,{k}) OVER w,0)" for k in range(ORDER, 0, -1)] + ["sym"])
+    return f"""WITH r AS (SELECT page_id, url, CASE WHEN instr(url,'://')>0 THEN substr(url, instr(url,'://')+3) END AS rest FROM pages),
+ h AS (SELECT page_id, coalesce(url,'') AS url, coalesce(translate(regexp_extract(rest,'^[^/?#]*'),'{_UPPER}','{_LOWER}'),'') AS host, coalesce(regexp_extract(substr(rest, length(regexp_extract(rest,'^[^/?#]*'))+1),'^[^?#]*'),'') AS path FROM r),
+ d0 AS (SELECT *, CASE {fit} END AS rule FROM h), d AS (SELECT *, CASE rule {decided} END AS decided FROM d0),
+ c AS (SELECT page_id, decided, unnest(string_split(translate(url,'{_UPPER}','{_LOWER}'),'')) AS ch, unnest(range(length(url))) AS i FROM d WHERE url<>''),
+ s AS (SELECT page_id, decided, i, CASE WHEN instr('{alphabet}', ch)>0 THEN instr('{alphabet}', ch) ELSE {57}+unicode(ch)%{SYMBOLS - 57} END AS sym FROM c),
+ g AS (SELECT page_id, decided, {code} AS code FROM s WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+ n AS (SELECT code, count(*) FILTER (decided='allow') AS x1, count(*) FILTER (decided='block') AS x0 FROM g WHERE decided IS NOT NULL GROUP BY 1),
+ cells AS (SELECT a.code, coalesce(x1,0) AS x1, coalesce(x0,0) AS x0 FROM (SELECT unnest(range({cells_})) AS code) a LEFT JOIN n ON n.code=a.code){steps},
+ v AS (SELECT code, round((ln(p{ORDER}_x1)-ln(p{ORDER}_x0))*1000000)::BIGINT AS v FROM q{ORDER}),
+ t AS (SELECT page_id, sum(v)::DOUBLE/1e6::DOUBLE/count(*) AS score FROM g JOIN v USING(code) GROUP BY 1),
+ o AS (SELECT d.*, coalesce(t.score,0::DOUBLE) AS score FROM d LEFT JOIN t USING(page_id)),
+ b AS (SELECT floor(score*{STEPS}/10)::BIGINT AS s, count(*) FILTER (decided='allow') AS a, count(*) FILTER (decided='block') AS b FROM o WHERE decided IS NOT NULL GROUP BY 1),
+ k AS (SELECT s+1 AS s, sum(a) OVER w/(SELECT sum(a) FROM b)::DOUBLE + ((SELECT sum(b) FROM b)-sum(b) OVER w)/(SELECT sum(b) FROM b)::DOUBLE AS e FROM b WINDOW w AS (ORDER BY s) UNION ALL SELECT min(s), 1::DOUBLE FROM b),
+ m AS (SELECT s*10/{STEPS}::DOUBLE AS cut FROM k ORDER BY e, s LIMIT 1)
+ SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score>=(SELECT cut FROM m) THEN 'allow' ELSE 'block' END) AS verdict, score FROM o"""
