@@ -33,6 +33,8 @@ PER_CLASS, MAX_BYTES = 4_000, 100_000
 GRAM, WINDOW, OVERLAP = 5, 48, 16
 #: Bytes of the shared base and of each class's passages.
 BASE, TYPICAL = 6_000, 24_000
+#: Bytes put before a short text.
+LEAD = 28
 #: Saved bytes beyond which a window counts.
 BEYOND = (0, 1, 2, 4, 8)
 
@@ -101,6 +103,7 @@ class Pair:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.content = (ordinary, toxic)
+        self.lead = ordinary[-LEAD:]
         self._made: list | None = None
 
     def __getstate__(self):
@@ -128,7 +131,9 @@ class Pair:
 
 def described(rows: list[str], pair: Pair) -> np.ndarray:
     """Features of each text: what its windows' lengths tell."""
-    data, offsets = flat(pa.array([folded(t) for t in rows], pa.large_binary()))
+    # a short text follows some bytes that both dictionaries know: alone it may be too little to compress, and told raw
+    known = [folded(t) for t in rows]
+    data, offsets = flat(pa.array([pair.lead + t if 0 < len(t) < 3 * WINDOW else t for t in known], pa.large_binary()))
     size = np.diff(offsets)
     n = np.maximum(1, -(-(size - OVERLAP) // (WINDOW - OVERLAP)))
     n[size == 0] = 0
