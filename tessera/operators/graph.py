@@ -63,12 +63,61 @@ def components(links: DataFrame) -> DataFrame:
         label = cut(new)
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Distinct edges up to which strong components are found by one search on the driver.
+SMALL = 200_000
+
+
+def _searched(links: list[tuple[int, int]]) -> dict[int, int]:
+    """Smallest id of each node's strong component: order by finishing times, then search backwards."""
+    out: dict[int, list[int]] = {}
+    back: dict[int, list[int]] = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+        back.setdefault(b, []).append(a)
+    seen: set[int] = set()
+    finished: list[int] = []
+    for top in out:
+        stack = [(top, iter(out[top]))] if top not in seen else []
+        seen.add(top)
+        while stack:
+            node, rest = stack[-1]
+            for x in rest:
+                if x not in seen:
+                    seen.add(x)
+                    stack.append((x, iter(out[x])))
+                    break
+            else:
+                finished.append(node)
+                stack.pop()
+    root: dict[int, int] = {}
+    for top in reversed(finished):
+        if top in root:
+            continue
+        group, at = [top], 0
+        root[top] = top
+        while at < len(group):
+            for x in back.get(group[at], ()):
+                if x not in root:
+                    root[x] = top
+                    group.append(x)
+            at += 1
+        low = min(group)
+        for x in group:
+            root[x] = low
+    return root
+
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """Id, root of strongly connected components (a, b: edges).
 
-    Rounds of colouring: every open node takes the largest id that reaches it; a colour's component is what its own
+    Up to `small` distinct edges go to the driver.  Beyond, rounds of colouring: every open node takes the largest id that reaches it; a colour's component is what its own
     node can be reached from within the colour.  Found components leave the graph.
     """
+    some = edges.select("a", "b").distinct().limit(small + 1).collect() if small else []
+    if small and len(some) <= small:
+        found = _searched([(r["a"], r["b"]) for r in some])
+        return edges.sparkSession.createDataFrame(list(found.items()), "id long, root long")
     links = cut(edges.where("a <> b").select("a", "b").distinct())
     open_ = cut(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct())
     done = None

@@ -90,7 +90,8 @@ def test_strong_components_random(spark):
         for a, b in e:
             reach[a] |= reach[b]
     want = {x: min(y for y in reach[x] if x in reach[y]) for x in reach}
-    assert {r["id"]: r["root"] for r in graph.strong_components(spark.createDataFrame(e, "a long, b long")).collect()} == want
+    for small in (0, graph.SMALL):
+        assert {r["id"]: r["root"] for r in graph.strong_components(spark.createDataFrame(e, "a long, b long"), small).collect()} == want
 
 
 def test_state_machine():
