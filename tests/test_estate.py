@@ -112,3 +112,24 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("update").format("memory").queryName("node_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["node"], r["status"], r["attempts"]) for r in spark.table("node_states").collect()} == {("n1", "COMPLETE", 1), ("n2", "PENDING", 1)}
+
+
+def test_frontier_is_the_greedy_choice(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from tessera.plans import schedule
+
+    rng = random.Random(4)
+    ids = list(range(60))
+    rank = {i: rng.randrange(5) for i in ids}
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    keys = [(i, rng.randrange(15)) for i in ids]
+    taken: list[int] = []
+    for i in sorted(ids, key=lambda i: (rank[i], i)):
+        near = {b for a, b in links if a == i} | {a for a, b in links if b == i}
+        if not near - {i} & set(taken) and not {k for n, k in keys if n == i} & {k for n, k in keys if n in taken}:
+            taken.append(i)
+    args = spark.createDataFrame([(i, rank[i]) for i in ids], "id long, r long"), spark.createDataFrame(links, "source long, target long"), spark.createDataFrame(keys, "id long, key long")
+    assert {r["id"] for r in schedule.frontier(*args, [F.col("r")]).collect()} == set(taken)
+    assert {r["id"] for r in schedule.frontier(*args, [F.col("r")], cap=5).collect()} == set(taken[:5])
