@@ -72,23 +72,20 @@ def with_absence(objects: DataFrame, facts: DataFrame, absence: str) -> DataFram
     return objects.select("object").distinct().join(some, "object", "left").select("object", F.coalesce("facts", F.array(F.lit(absence))).alias("facts"))
 
 
-def reached(facts: DataFrame, calls: DataFrame, rounds: int = 64) -> DataFrame:
+def reached(facts: DataFrame, calls: DataFrame) -> DataFrame:
     """Object, fact, via: facts that objects reach over calls and don't have themselves, by their smallest such callee.
 
-    facts: object, fact; calls: source, target between objects.  The set of (object, fact) pairs grows by its newest pairs only until no pair is new, so cycles end by themselves;
-    `rounds` guards against a depth beyond it with an error rather than a cut result.
+    facts: object, fact; calls: source, target between objects.  The set of (object, fact) pairs grows by its newest pairs only until no pair is new, so cycles end by themselves.
     """
     links = cut(calls.where("source <> target").select("source", "target").distinct())
     own = cut(facts.select("object", "fact").distinct())
     known = front = own
-    for _ in range(rounds):
+    while True:
         new = links.join(front, links["target"] == front["object"]).select(F.col("source").alias("object"), "fact").distinct()
         front = cut(new.join(known, ["object", "fact"], "left_anti"))
         if front.isEmpty():
             break
         known = cut(known.unionByName(front))
-    else:
-        raise ValueError("facts travel further than the rounds allowed")
     via = links.join(known.withColumnRenamed("object", "target"), "target").groupBy(F.col("source").alias("object"), "fact").agg(F.min("target").alias("via"))
     return via.join(own, ["object", "fact"], "left_anti").select("object", "fact", "via")
 
@@ -162,19 +159,17 @@ def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, edges.select("a", "b").join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
-def in_plan_ancestors(edges: DataFrame, planned: DataFrame, rounds: int = 64) -> DataFrame:
+def in_plan_ancestors(edges: DataFrame, planned: DataFrame) -> DataFrame:
     """Id, ancestor: the nearest planned nodes before each planned node; unplanned ones in between pass on.  edges: source before target."""
     links = cut(edges.select("source", "target").distinct())
     inside = cut(planned.select("id").distinct())
     front = cut(links.join(inside.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("target").alias("id"), F.col("source").alias("at")))
     seen = front
-    for _ in range(rounds):
+    while True:
         through = front.join(inside.select(F.col("id").alias("at")), "at", "left_anti")
         nxt = through.join(links.select(F.col("target").alias("at"), F.col("source").alias("far")), "at").select("id", F.col("far").alias("at")).distinct()
         front = cut(nxt.join(seen, ["id", "at"], "left_anti"))
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
-    else:
-        raise ValueError("ancestors lie further than the rounds allowed")
     return seen.where("id <> at").join(inside.select(F.col("id").alias("at")), "at", "left_semi").select("id", F.col("at").alias("ancestor")).distinct()
