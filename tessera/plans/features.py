@@ -141,3 +141,29 @@ def assembled(edges: DataFrame, planned: DataFrame, meta: DataFrame) -> DataFram
 def config_text(config: dict) -> str:
     """A configuration in the order of its keys."""
     return json.dumps(config, sort_keys=True, separators=(",", ":"))
+
+
+def by_cache(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D3: the cached features (cache: object, source_hash, more) whose sources are unchanged, and the files that must be read anew."""
+    hashed = files.withColumn("source_hash", F.sha2(F.coalesce("source", F.lit("")), 256))
+    keys = ["object", "source_hash"]
+    return cache.join(hashed.select(*keys).distinct(), keys, "left_semi"), hashed.join(cache.select(*keys).distinct(), keys, "left_anti")
+
+
+def bundle(imperative_: DataFrame, declarative_: DataFrame, hashes: DataFrame) -> DataFrame:
+    """D3: one row per object with both sides' features: authorizations together, missing counts 0."""
+    none, counts = F.array().cast("array<string>"), ("commit_work", "client_specified", "exception_paths", "cfg_branches", "max_nesting", "artifacts")
+    d = declarative_.withColumnRenamed("auth", "_auth")
+    j = hashes.select("object", "source_hash").join(imperative_, "object", "left").join(d, "object", "left")
+    auth = F.array_sort(F.array_union(F.coalesce("auth", none), F.coalesce("_auth", none)))
+    return j.select("object", "source_hash", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("kinds", none).alias("kinds"), auth.alias("auth"))
+
+
+def check_only_document(findings: DataFrame) -> DataFrame:
+    """One document of checks alone (findings: object, severity): tallies, readiness and an empty graph with a note on coverage."""
+    p = lambda s: F.count_if(F.col("severity") == s)
+    clean = F.countDistinct(F.when(~F.col("severity").isin("p1", "p2"), F.col("object")))
+    g = findings.groupBy("object").agg(F.min("severity").alias("severity"), p("p1").alias("p1"), p("p2").alias("p2"))
+    total = g.agg(F.count("*").alias("objects"), clean.alias("clean"), F.coalesce(F.sum("p1"), F.lit(0)).alias("p1"), F.coalesce(F.sum("p2"), F.lit(0)).alias("p2"))
+    share = F.when(F.col("objects") == 0, 100.0).otherwise(F.floor(100.0 * F.col("clean") / F.col("objects") + 0.5).cast("double"))
+    return total.select("objects", "p1", "p2", share.alias("readiness"), F.lit(0).alias("nodes"), F.lit(0).alias("edges"), F.lit("checks only: the graph was not read").alias("coverage"))

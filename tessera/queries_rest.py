@@ -220,3 +220,27 @@ def _(s, sf):
     row = F.struct(F.lit("PROG").alias("object_type"), _key("Z", "user_id").alias("object_name"), F.col("value").alias("exec_count"))
     doc = F.to_json(F.struct(F.lit("1").alias("schema_version"), system.alias("system"), F.lit("g").alias("generated_at"), F.struct(F.lit("SCMON").alias("source"), F.array(row).alias("rows")).alias("usage")))
     return D.read(s, sf, "events").select("event_id", F.size(M.signal_errors(doc)).alias("errors"))
+
+
+@query("X5_escape", "SELECT p_partkey, regexp_replace(p_name||'.*(x)', '([.*+?^$(){}|\\[\\]\\\\])', '\\\\\\1', 'g') AS escaped FROM part")
+def _(s, sf):
+    return D.read(s, sf, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit(".*(x)")), r"([.*+?^$(){}|\[\]\\])", r"\\$1").alias("escaped"))
+
+
+@query("X7_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def _(s, sf):
+    return D.read(s, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("X10_config_hash", "SELECT p_partkey, sha256('{\"brand\":\"'||p_brand||'\",\"size\":'||p_size||'}') AS config_hash FROM part")
+def _(s, sf):
+    from tessera.plans.features import fact_hash
+
+    return D.read(s, sf, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).select("p_partkey", fact_hash(["size", "brand"]).alias("config_hash"))
+
+
+@query("S6_check_document", D.with_("findings") + ", g AS (SELECT object, min(severity) AS m, count(*) FILTER (severity='p1') AS p1, count(*) FILTER (severity='p2') AS p2 FROM findings WHERE line>1 OR object LIKE '%7' GROUP BY 1) SELECT count(*) AS objects, sum(p1)::BIGINT AS p1, sum(p2)::BIGINT AS p2, floor(100.0::DOUBLE*count(*) FILTER (m NOT IN ('p1','p2'))/count(*)+0.5)::DOUBLE AS readiness FROM g")
+def _(s, sf):
+    from tessera.plans.features import check_only_document
+
+    return check_only_document(D.findings(s, sf).where("line > 1 or object like '%7'")).select("objects", "p1", "p2", "readiness")

@@ -64,3 +64,23 @@ def test_live_files_and_rules(spark, tmp_path):
     (tmp_path / "bad.json").write_text("nothing")
     assert P.rule_rows(spark, str(tmp_path / "r.json")).count() == 2 and P.rule_rows(spark, str(tmp_path / "bad.json")).count() == 0
     assert P.config_text({"b": 1, "a": [2]}) == '{"a":[2],"b":1}'
+
+
+def test_cache_and_bundle(spark, statements):
+    files = spark.createDataFrame([("ZA", CODE), ("ZV", "view"), ("ZN", None)], "object string, source string")
+    none = spark.createDataFrame([], "object string, source_hash string, n long")
+    hits, misses = P.by_cache(files, none)
+    assert hits.count() == 0 and misses.count() == 3
+    cache = misses.select("object", "source_hash").limit(3).selectExpr("object", "source_hash", "1L as n")
+    changed = spark.createDataFrame([("ZA", CODE), ("ZV", "new view")], "object string, source string")
+    hits, misses = P.by_cache(changed, cache)
+    assert [r["object"] for r in hits.collect()] == ["ZA"] and [r["object"] for r in misses.collect()] == ["ZV"]
+    decl = spark.createDataFrame([("ZV", 2, ["E"])], "object string, artifacts long, auth array<string>")
+    rows = {r["object"]: r for r in P.bundle(P.imperative(statements), decl, P.by_cache(files, none)[1]).collect()}
+    assert (rows["ZA"]["commit_work"], rows["ZA"]["artifacts"], rows["ZV"]["auth"], rows["ZN"]["kinds"]) == (1, 0, ["E"], [])
+
+
+def test_check_only_document(spark):
+    f = spark.createDataFrame([("A", "p1"), ("A", "p3"), ("B", "p3"), ("C", "p2")], "object string, severity string")
+    assert tuple(P.check_only_document(f).first())[:4] == (3, 1, 1, 33.0)
+    assert tuple(P.check_only_document(f.limit(0)).first())[:4] == (0, 0, 0, 100.0)
