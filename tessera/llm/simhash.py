@@ -233,64 +233,179 @@ def simhash_components(docs: DataFrame, size: int = 4, budget: int = BUDGET, spl
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the wide print: independent 64-bit words, values of the sketch that confirms a link, least likeness.
-WIDE, SKETCH, CONFIRM = 4, 64, 0.6
-#: Ids to be dropped that are sent to all workers; more are joined by a shuffle.
+#: Near copies share this much of their shingles.
+NEAR = 0.6
+#: Bands of minima that make candidates, minima of a band, and equal minima (of all) without which a pair is not looked at.
+BANDS, DEEP, AGREE = 16, 4, 38
+#: Rows of a bucket whose pairs are all candidates at once; rows of a block of a larger one; rows of buckets met at once.
+FEW, BLOCK, MET = 32, 512, 1 << 16
+#: Ids that are sent to all workers; more are joined by a shuffle.
 SENT = 2_000_000
-_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_TURNS = np.array([xxhash.xxh64_intdigest(b"%d" % i, 42) for i in range(BANDS * DEEP)], dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray, turn: np.uint64) -> np.ndarray:
+def _mixed(h: np.ndarray, turn: np.ndarray) -> np.ndarray:
     h = (h ^ turn) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(29))
 
 
-def wide_print(text: str, size: int = 5) -> tuple[bytes, list[int], bytes]:
-    """Digest of the words, WIDE SimHash words over the distinct words, bottom values of the shingles' hashes."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of the hashes under each of BANDS * DEEP orders."""
+    low = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        low = np.minimum(low, _mixed(hashes[None, at : at + (1 << 12)], _TURNS[:, None]).min(axis=1))
+    return low
+
+
+def sketch(text: str, size: int = 5) -> tuple[bytes, list[int], bytes]:
+    """Digest of the words, key of each band of minima of the shingles (none of an empty text), last byte of each minimum."""
     parts = words(text)
-    single = np.unique(np.array([xxhash.xxh64_intdigest(w, 42) for w in set(parts)], dtype=np.uint64))
-    fps = [int(majority(_mixed(single, t)).view(np.int64)) for t in _TURNS[:WIDE]]
-    low = np.unique(shingle_hashes(parts, size))[:SKETCH]
-    return xxhash.xxh3_128_digest(b" ".join(parts)), fps, low.astype("<u8").tobytes()
+    low = minima(shingle_hashes(parts, size)).astype("<u8")
+    keys = [xxhash.xxh64_intdigest(low[j * DEEP : (j + 1) * DEEP].tobytes(), j) for j in range(BANDS)] if parts else []
+    return xxhash.xxh3_128_digest(b" ".join(parts)), np.array(keys, np.uint64).view(np.int64).tolist(), low.view(np.uint8)[::8].tobytes()
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard likeness of two sets of shingles (sorted, distinct hashes)."""
+    if min(len(x), len(y)) < NEAR * max(len(x), len(y)):  # below NEAR whatever they share
+        return 0.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def met(bucket: np.ndarray, node: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by bucket: the candidate pairs (a, b), and the rows of buckets with more than FEW.
+
+    Those have been paired with one row of their bucket only.
+    """
+    edges = np.flatnonzero(np.diff(bucket)) + 1
+    lo = np.concatenate(([0], edges))
+    n = np.diff(np.concatenate((lo, [len(bucket)])))
+    few = (n > 1) & (n <= FEW)
+    size = n[few] ** 2
+    k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    first, each = np.repeat(lo[few], size), np.repeat(n[few], size)
+    a, b = first + k // each, first + k % each
+    pairs, rest = [(a[a < b], b[a < b])], [np.zeros(0, np.int64)]
+    for s, m in zip(lo[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
+        rows = np.arange(s, s + m)
+        hub = s + int(np.argmin(_mixed(node[rows].view(np.uint64), bucket[rows].view(np.uint64))))  # another one in each bucket
+        pairs.append((np.full(m, hub), rows))
+        rest.append(rows)
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    near = (node[a] != node[b]) & ((tags[a] == tags[b]).sum(axis=1) >= AGREE)
+    a, b = node[a[near]], node[b[near]]
+    return np.minimum(a, b), np.maximum(a, b), np.concatenate(rest)
+
+
+def block_links(node: np.ndarray, root: np.ndarray, chunk: np.ndarray, tags: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what the near pairs of rows of different roots join; rows of one chunk are paired only if there is no other."""
+    root, out, own = root.copy(), [], len(np.unique(chunk)) == 1
+    for i in range(len(node)):
+        j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (own | (chunk[i + 1 :] != chunk[i])))
+        j = j[(tags[j] == tags[i]).sum(axis=1) >= AGREE]
+        for k in j.tolist():
+            if root[k] != root[i] and likeness(sets[i], sets[k]) >= NEAR:
+                out.append((int(node[i]), int(node[k])))
+                root[root == root[k]] = root[i]
+    return out
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of the keys the batches are sorted by: about `rows` rows, or one group."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) < rows:
+            continue
+        whole = pa.Table.from_batches(kept).combine_chunks()
+        same = np.ones(whole.num_rows, bool)
+        for k in keys:
+            x = whole[k].to_numpy()
+            same &= x == x[-1]
+        end = int(np.argmax(same))  # the last group may go on
+        if end:
+            yield whole.slice(0, end)
+        kept = whole.slice(end).to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard likeness of two shingle sets from their bottom values; 1 of two empty ones."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = np.union1d(x, y)[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+def _tags(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * DEEP)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, keeper of every document: keeper is the smallest id of its group of near copies.
 
-    Near copies share 0.8 of their five-word shingles, so about 98 of 100 words: any of the WIDE words of their
-    prints is within the budget in most cases, one of them nearly always.  Links found that way are confirmed by the
-    bottom values of the shingles (CONFIRM is below 0.8, as two copies of one text differ from each other twice as much).
+    Near copies share NEAR of their five-word shingles, counted on the whole sets; groups are what pairs of near copies join.
+    Candidates agree in one band of DEEP minima out of BANDS (a pair of likeness 0.8 does with probability 0.9998, wherever its
+    edits are) and in AGREE of all minima (0.9999).  No pair is united unless it is near itself.  Rows of a bucket above
+    FEW are first paired with one of them; what that leaves apart is paired in blocks, so a large group costs no square.
     Texts of equal words are one group whatever their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            rows = [wide_print(t, size) for t in b.column("text").to_pylist()]
+            rows = [sketch(t, size) for t in b.column("text").to_pylist()]
             cols = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "digest", "fps", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "digest", "keys", "tag"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _in_groups(batches, ["bucket"], MET):
+            bucket, node = t["bucket"].to_numpy(), t["node"].to_numpy()
+            a, b, rest = met(bucket, node, _tags(t["tag"]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["bucket", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[rest]), pa.array(node[rest]), pa.nulls(len(rest), pa.int64())], ["bucket", "a", "b"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            parts = [words(t) for t in b.column("text").to_pylist()]
+            sets = [np.unique(shingle_hashes(p, size)) for p in parts]
+            digests = pa.array([xxhash.xxh3_128_digest(b" ".join(p)) for p in parts], pa.binary())
+            tags = pa.array([minima(s).astype("<u8").view(np.uint8)[::8].tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digests, tags, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "digest", "tag", "shingles"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = zip(b.column("low").to_pylist(), b.column("other").to_pylist(), strict=True)
-            keep = pa.array([likeness(x, y) >= CONFIRM for x, y in pairs], pa.bool_())
+            pairs = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            keep = pa.array([likeness(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= NEAR for x, y in pairs], pa.bool_())
             yield b.select(["a", "b"]).filter(keep)
 
-    prints = written(texts(docs).mapInArrow(run, "doc_id long, digest binary, fps array<long>, low binary"), "prints")
-    nodes = written(prints.where("doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "fps", "low"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("node"), "x.fps", "x.low"), "nodes")
-    sides = trie_links(nodes.select(F.posexplode("fps").alias("kind", "fp"), "node")).distinct()
-    pairs = sides.join(nodes.select(F.col("node").alias("a"), "low"), "a").join(nodes.select(F.col("node").alias("b"), F.col("low").alias("other")), "b")
-    linked = components(pairs.mapInArrow(confirm, "a long, b long"))
-    first = prints.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["bucket", "lo", "hi"]
+        for t in _in_groups(batches, keys, 1):
+            where = np.concatenate(([0], np.flatnonzero(np.any([np.diff(t[k].to_numpy()) != 0 for k in keys], axis=0)) + 1, [t.num_rows]))
+            for s, e in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
+                g = t.slice(s, e - s)
+                sets = [np.frombuffer(x, "<u8") for x in g["shingles"].to_pylist()]
+                links = block_links(g["node"].to_numpy(), g["root"].to_numpy(), g["chunk"].to_numpy(), _tags(g["tag"]), sets)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    prints = written(texts(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>, tag binary"), "prints")
+    nodes = prints.where("doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "keys", "tag"), "doc_id").alias("x"))
+    rows = nodes.select(F.explode("x.keys").alias("bucket"), F.col("x.doc_id").alias("node"), "x.tag").repartition("bucket").sortWithinPartitions("bucket", "node")
+    found = written(rows.mapInArrow(meet, "bucket long, a long, b long"), "found")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    rest = found.where("b is null").select("bucket", F.col("a").alias("node")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(rest.select("node")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge")
+    sets = written(texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(shingled, "node long, digest binary, tag binary, shingles binary").dropDuplicates(["node", "digest"]), "sets")
+    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links = written(sides.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
+    linked = components(links)
+    if not rest.isEmpty():
+        open_ = written(rest.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "open")
+        many = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).alias("k"))
+        dealt_ = open_.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), F.col("k")))
+        dealt_ = dealt_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        dealt_ = dealt_.select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+        blocks = dealt_.join(sets.select("node", "tag", "shingles"), "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
+        linked = components(links.union(blocks.mapInArrow(join_blocks, "a long, b long")))
+    first = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     keeper = first.join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("keeper"))
-    return prints.join(keeper, "digest").select("doc_id", "keeper")
+    return prints.join(keeper, "digest", "left").select("doc_id", "keeper")
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:

@@ -167,6 +167,47 @@ def test_near_duplicates(spark, docs, empty, rows):
     assert kept.columns == docs.columns and simhash.keep_one(empty).count() == 0
 
 
+def _groups(texts, least=0.8):
+    """Smallest id of each text's group of near copies, by all pairs of whole sets of five-word shingles."""
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    return _components([(a, b) for a in range(len(sets)) for b in range(a) if near(a, b) >= least], range(len(sets)))
+
+
+def _keepers(spark, texts):
+    out = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    return {r["doc_id"]: r["keeper"] for r in out.collect()}
+
+
+def _changed(rng, words, n, new):
+    for at in rng.choice(len(words), n, replace=False):
+        words = [*words[:at], new(), *words[at + 1 :]]
+    return words
+
+
+def test_near_duplicates_of_shared_words(spark):
+    """Texts over one vocabulary, two copies of each: nothing but their order tells them apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(300)}"
+    base = [[word() for _ in range(5000)] for _ in range(8)]
+    texts = [" ".join(w) for b in base for w in (b, _changed(rng, b, 30, word), _changed(rng, b, 30, word))]
+    assert _keepers(spark, texts) == _groups(texts) == {i: i - i % 3 for i in range(24)}
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """More copies than are paired at once, some of them near a few of the others only."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    word = lambda: f"x{rng.integers(10**9)}"
+    base = [word() for _ in range(300)]
+    far = [_changed(rng, base, 18, word) for _ in range(20)]
+    texts = [" ".join(w) for w in [*(_changed(rng, base, int(rng.integers(1, 12)), word) for _ in range(120)), *far, *(_changed(rng, f, 2, word) for f in far)]]
+    assert _keepers(spark, texts) == _groups(texts, simhash.NEAR)
+
+
 def test_components(spark):
     import random
 
