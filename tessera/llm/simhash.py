@@ -234,7 +234,7 @@ def simhash_components(docs: DataFrame, size: int = 4, budget: int = BUDGET, spl
 
 
 #: Near copies share this much of their shingles.
-NEAR = 0.6
+NEAR = 0.8
 #: Bands of minima that make candidates, minima of a band, and equal minima (of all) without which a pair is not looked at.
 BANDS, DEEP, AGREE = 16, 4, 38
 #: Rows of a bucket whose pairs are all candidates at once; rows of a block of a larger one; rows of buckets met at once.

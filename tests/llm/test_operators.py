@@ -225,6 +225,25 @@ def test_near_duplicates_with_block_edits(spark):
     assert _keepers(spark, texts) == want
 
 
+def test_near_duplicates_are_near(spark):
+    """Texts that share 0.6 to 0.8 stay apart, unless a copy between them is near both."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    word = lambda: f"v{rng.integers(10**9)}"
+    texts = []
+    for i in range(40):
+        w = [word() for _ in range(400)]
+        v = w.copy()
+        for at in range(5, 5 + 14 * 20, 20):  # 14 edits: 326 of 466 shingles
+            v[at] = word()
+        half = [*v[:145], *w[145:]]
+        texts += [" ".join(x) for x in ((w, v) if i % 2 else (w, v, half))]
+    want = _groups(texts)
+    assert sorted(Counter(want.values()).values()) == [1] * 40 + [3] * 20
+    assert _keepers(spark, texts) == want
+
+
 def test_components(spark):
     import random
 
