@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import queries_facts as facts
 from tessera.operators import graph as G
 from tessera.operators import joins as J
 from tessera.plans import documents as M
@@ -144,17 +145,21 @@ def _(s, sf):
     return G.object_graph(D.edges(s, sf), D.nodes(s, sf)).groupBy(F.col("source_owner").alias("object")).agg(F.countDistinct("target_owner").alias("needs"))
 
 
-@query("G26_possible_cycles", "WITH RECURSIVE " + D.SQL["cyc"] + ", r(a,b) AS (SELECT a,b FROM cyc UNION SELECT r.a, cyc.b FROM r JOIN cyc ON cyc.a=r.b) SELECT DISTINCT c.a, c.b, EXISTS (SELECT 1 FROM r WHERE r.a=c.b AND r.b=c.a) AS possible_cycle FROM cyc c WHERE c.a<>c.b")
-def _(s, sf):
-    e = D.cyclic_edges(s, sf).where("a <> b").distinct()
-    members = P.condensed(D.cyclic_edges(s, sf))[0]
+def possible_cycles(edges):
+    e = edges.where("a <> b").distinct()
+    members = P.condensed(edges)[0]
     j = e.join(members.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(members.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
     return j.select("a", "b", (F.col("ra") == F.col("rb")).alias("possible_cycle"))
 
 
+@query("G26_possible_cycles", "WITH RECURSIVE " + D.SQL["cyc"] + ", r(a,b) AS (SELECT a,b FROM cyc UNION SELECT r.a, cyc.b FROM r JOIN cyc ON cyc.a=r.b) SELECT DISTINCT c.a, c.b, EXISTS (SELECT 1 FROM r WHERE r.a=c.b AND r.b=c.a) AS possible_cycle FROM cyc c WHERE c.a<>c.b")
+def _(s, sf):
+    return possible_cycles(D.cyclic_edges(s, sf))
+
+
 @query("G15_feedback_arcs")
 def _(s, sf):
-    return M.feedback_arcs(D.cyclic_edges(s, sf), 4)
+    return M.feedback_arcs(D.cyclic_edges(s, sf, None), 4)
 
 
 @query("T6_debt_order", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey) AS symbols FROM orders GROUP BY 1")
@@ -244,3 +249,37 @@ def _(s, sf):
     from tessera.plans.features import check_only_document
 
     return check_only_document(D.findings(s, sf).where("line > 1 or object like '%7'")).select("objects", "p1", "p2", "readiness")
+
+
+# ------------------------------------------------------------ whole tables, where the SQL of a query reads a part of them
+
+
+@query("G12_strong_components_whole")
+def _(s, sf):
+    return G.strong_components(D.cyclic_edges(s, sf, None))
+
+
+@query("G13_condensation_whole")
+def _(s, sf):
+    return P.condensed(D.cyclic_edges(s, sf, None))[1]
+
+
+@query("G21_reached_facts_whole")
+def _(s, sf):
+    return P.reached(facts._facts(s, sf), facts._string_edges(s, sf, None))
+
+
+@query("G22_ancestors_whole")
+def _(s, sf):
+    inside = D.read(s, sf, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))  # the plan's nodes among all
+    return P.in_plan_ancestors(facts._string_edges(s, sf, None), inside)
+
+
+@query("G23_conflict_groups_whole")
+def _(s, sf):
+    return G.components(D.cyclic_edges(s, sf, None))
+
+
+@query("G26_possible_cycles_whole")
+def _(s, sf):
+    return possible_cycles(D.cyclic_edges(s, sf, None))

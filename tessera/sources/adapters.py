@@ -42,9 +42,9 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def cyclic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """a, b: a tree over the parts below 500, with local rings."""
-    p = read(spark, sf, "part").where("p_partkey < 500").select(F.col("p_partkey").cast("long").alias("a"))
+def cyclic_edges(spark: SparkSession, sf: str, below: int | None = 500) -> DataFrame:
+    """a, b: a tree over the parts, with local rings; of the parts below 500 for the queries that have SQL, of all if `below` is None."""
+    p = read(spark, sf, "part").where("true" if below is None else f"p_partkey < {below}").select(F.col("p_partkey").cast("long").alias("a"))
     tree = p.where("a >= 1").select("a", F.floor(F.col("a") / 2).cast("long").alias("b"))
     ring = p.where("a % 50 < 10").select("a", (10 * F.floor(F.col("a") / 10) + (F.col("a") + 1) % 10).cast("long").alias("b"))
     return tree.union(ring)
