@@ -283,3 +283,11 @@ def _(s, sf):
 @query("G26_possible_cycles_whole")
 def _(s, sf):
     return possible_cycles(D.cyclic_edges(s, sf, None))
+
+
+@query("G11_pagerank_whole")
+def _(s, sf):
+    from tessera.functions.scalars import round_half_up
+
+    ranks = G.pagerank(D.cyclic_edges(s, sf, None).select(F.col("a").alias("source"), F.col("b").alias("target")), 30, tolerance=1e-6)
+    return ranks.crossJoin(F.broadcast(ranks.agg(F.max("rank").alias("top")))).select("id", round_half_up(F.col("rank") / F.col("top"), 4).alias("rank"))

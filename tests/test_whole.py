@@ -89,3 +89,22 @@ def test_ancestors(spark, edges):
                     todo.append(y)
         want |= {(f"P{x}", f"P{y}") for y in seen if y % 5 == 0 and y != x}
     assert run(spark, "G22_ancestors_whole", "id", "ancestor") == want
+
+
+def test_pagerank(spark, edges):
+    ids = {x for e in edges for x in e}
+    degree = dict.fromkeys(ids, 0)
+    for a, _ in edges:
+        degree[a] += 1
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(30):
+        lost = sum(rank[x] for x in ids if not degree[x])
+        new = dict.fromkeys(ids, (0.15 + 0.85 * lost) / len(ids))
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / degree[a]
+        change, rank = max(abs(new[x] - rank[x]) for x in ids), new
+        if change < 1e-6:
+            break
+    got = dict(run(spark, "G11_pagerank_whole", "id", "rank"))
+    assert set(got) == ids and max(got.values()) == 1
+    assert all(abs(got[x] - rank[x] / max(rank.values())) <= 0.000051 for x in ids)
