@@ -291,3 +291,15 @@ def _(s, sf):
 
     ranks = G.pagerank(D.cyclic_edges(s, sf, None).select(F.col("a").alias("source"), F.col("b").alias("target")), 30, tolerance=1e-6)
     return ranks.crossJoin(F.broadcast(ranks.agg(F.max("rank").alias("top")))).select("id", round_half_up(F.col("rank") / F.col("top"), 4).alias("rank"))
+
+
+@query("J16_reciprocals_whole")
+def _(s, sf):
+    e = D.read(s, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+
+
+@query("G24_program_pools_whole")
+def _(s, sf):
+    p = D.read(s, sf, "part")
+    return G.components(p.select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 3).cast("long").alias("b")))

@@ -108,3 +108,26 @@ def test_pagerank(spark, edges):
     got = dict(run(spark, "G11_pagerank_whole", "id", "rank"))
     assert set(got) == ids and max(got.values()) == 1
     assert all(abs(got[x] - rank[x] / max(rank.values())) <= 0.000051 for x in ids)
+
+
+def test_reciprocals(spark):
+    e = set(sql("select distinct l_suppkey, l_partkey from '{}/lineitem.parquet'"))
+    assert run(spark, "J16_reciprocals_whole", "a", "b") == {(a, b) for a, b in e if (b, a) not in e}
+
+
+def test_program_pools(spark):
+    assert run(spark, "G24_program_pools_whole", "id", "root") == {(p, 0) for (p,) in sql("select p_partkey from '{}/part.parquet'")}
+
+
+def test_frontier(spark):
+    """No two of a key or linked, and no part left that could be added."""
+    links = {}
+    for a, b in sql("select distinct l_suppkey, l_partkey from '{}/lineitem.parquet' where l_suppkey <> l_partkey"):
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    got = {i for (i,) in run(spark, "G25_frontier", "id")}
+    ids = {p for (p,) in sql("select p_partkey from '{}/part.parquet'")}
+    assert any(i % 4 for i in got) and len({i // 12 for i in got}) == len(got)
+    assert not any(links.get(i, set()) & got for i in got)
+    keys = {i // 12 for i in got}
+    assert all(i // 12 in keys or links.get(i, set()) & got for i in ids)
