@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,21 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
             at = to
 
 
+def by_text(fn: Callable[[list[str]], pa.Array], kind: str, text: str = "text") -> F.Column:
+    """A column of fn's values for the texts (null: empty), some STEP_BYTES of text at a time.
+
+    Only the text goes to the workers and only fn's values come back; all other columns stay in the JVM.
+    """
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])
+            yield pa.concat_arrays([fn(b.column(0).to_pylist()) for b in steps(iter([batch]))] or [fn([])])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)(F.col(text))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte array and the n+1 offsets of its rows."""
     column = column.cast(pa.large_binary())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps, texts
+from tessera.llm.common import by_text, steps, texts
 
 Q, EDITS = 8, 0.1
 #: Bytes of benchmark text that are searched for in one pass.
@@ -182,15 +182,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> Da
 
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> DataFrame:
-    """The documents into which no item leaks, with all their columns."""
-    for index in _indexes(benchmark, rate):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The documents into which no item leaks, with all their columns.  Only texts go to the workers and only yes or no comes back."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in steps(batches):
-                keep = np.ones(b.num_rows, bool)
-                keep[[i for i, _, _ in leaks([t or "" for t in b.column("text").to_pylist()], shared.value)]] = False
-                yield b.filter(pa.array(keep))
+    def clean(shared) -> F.Column:
+        def run(rows: list[str]) -> pa.Array:
+            keep = np.ones(len(rows), bool)
+            keep[[i for i, _, _ in leaks(rows, shared.value)]] = False
+            return pa.array(keep, pa.bool_())
 
-        docs = docs.mapInArrow(run, docs.schema)
+        return by_text(run, "boolean")
+
+    for index in _indexes(benchmark, rate):
+        docs = docs.where(clean(docs.sparkSession.sparkContext.broadcast(index)))
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps, texts
+from tessera.llm.common import by_text, steps, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -345,12 +345,8 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """The documents, with personal data masked; a text without any stays as it is, null stays null."""
     model = trained()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
-            rows = b.column("text").to_pylist()
-            _, spans = _spans([t or "" for t in rows], model)
-            new = pa.array([masked(t, s) if s else t for t, s in zip(rows, spans, strict=True)], b.column("text").type)
-            yield b.set_column(b.schema.get_field_index("text"), "text", new)
+    def run(rows: list[str]) -> pa.Array:
+        return pa.array([masked(t, s) if s else t for t, s in zip(rows, _spans(rows, model)[1], strict=True)], pa.string())
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), by_text(run, "string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import fit_sample, flat, fold, newton, steps, texts
+from tessera.llm.common import by_text, fit_sample, flat, fold, newton, steps, texts
 
 PER_CLASS, MAX_BYTES = 4_000, 100_000
 GRAM, WINDOW, OVERLAP = 5, 48, 16
@@ -207,12 +207,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
+    """The documents that score below the threshold, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
-            rows = [t or "" for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(model.value.scores(rows) < threshold)) if model.value else b
-
-    return docs.mapInArrow(run, docs.schema)
+    Only texts go to the workers and only scores come back.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
+    if model.value is None:
+        return docs
+    return docs.where(by_text(lambda rows: pa.array(model.value.scores(rows), pa.float64()), "double") < threshold)
