@@ -18,11 +18,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on: bounds a worker's temporary arrays.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Bytes of text of each class that a training sample holds at most.
+TOTAL = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def id_type(df: DataFrame, name: str = "doc_id") -> str:
+    """The type of the id column, for the schema of what an operator returns."""
+    return df.schema[name].dataType.simpleString()
+
+
 def fold(doc_id: str = "doc_id") -> F.Column:
     """crc32 of the id written as text, modulo 5; 0 marks the held-out rows."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5, F.lit(0))
@@ -124,7 +131,8 @@ def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """A bounded training sample: per class at most per_class labelled texts, the first by a hash of the id.
 
-    Learns from rows outside the held-out fold only.  Texts above max_bytes are no training rows.
+    Learns from rows outside the held-out fold only.  Texts above max_bytes are no training rows,
+    and no class has more than TOTAL bytes of text: what the driver gets is bounded whatever the rows are like.
     Conflicting or repeated labels of one id: the largest counts.  Also returns all rows by class.
     """
     rated = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -135,6 +143,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, m
         picked += [(r["doc_id"], r["y"]) for r in top.collect()]
     if not picked:
         return [], counts
-    ids = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))
-    rows = texts(docs).where(F.octet_length("text").between(1, max_bytes)).join(ids, "doc_id").select("doc_id", "text", "y").collect()
+    ids = F.broadcast(spark.createDataFrame(picked, rated.select("doc_id", "y").schema))
+    rows = written(texts(docs).where(F.octet_length("text").between(1, max_bytes)).join(ids, "doc_id").select("doc_id", "text", "y"), "sample")
+    order = [F.xxhash64("doc_id"), "doc_id", "text"]
+    running = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("total", running).where(F.col("total") <= TOTAL).select("doc_id", "text", "y").collect()
     return sorted({r["doc_id"]: (r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}.values()), counts

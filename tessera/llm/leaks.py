@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_text, steps, texts
+from tessera.llm.common import by_text, id_type, steps, texts
 
 Q, EDITS = 8, 0.1
 #: Bytes of benchmark text that are searched for in one pass.
@@ -166,7 +166,8 @@ def _indexes(benchmark: DataFrame, rate: float) -> Iterator[Index]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> DataFrame:
     """doc_id, item_id, edits of every leak."""
     spark = docs.sparkSession
-    out = spark.createDataFrame([], "doc_id long, item_id long, edits int")
+    schema = f"doc_id {id_type(docs)}, item_id {id_type(benchmark, 'item_id')}, edits int"
+    out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, rate):
         shared = spark.sparkContext.broadcast(index)
 
@@ -174,9 +175,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS) -> Da
             for b in steps(batches):
                 if found := leaks(b.column("text").to_pylist(), shared.value):
                     rows, items, edits = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([shared.value.ids[j] for j in items], pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "edits"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array([shared.value.ids[j] for j in items]), pa.array(edits, pa.int32())], ["doc_id", "item_id", "edits"])
 
-        part = texts(docs).mapInArrow(run, "doc_id long, item_id long, edits int")
+        part = texts(docs).mapInArrow(run, schema)
         out = out.unionByName(part)
     return out
 

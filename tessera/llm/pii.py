@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_text, steps, texts
+from tessera.llm.common import by_text, id_type, steps, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -328,7 +328,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             digest = pa.array([hashlib.sha256(listed(x).encode()).hexdigest() for x in base], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, digest, pa.array([listed(x) for x in spans], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(run, f"doc_id {id_type(docs)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:

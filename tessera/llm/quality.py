@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import fit_sample, flat, fold, steps, texts
+from tessera.llm.common import fit_sample, flat, fold, id_type, steps, texts
 
 PER_CLASS, MAX_BYTES = 2_000, 100_000
 GRAM, BITS, ROUNDS = 4, 16, 150
@@ -129,4 +129,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep_from: int = 1, least:
             tail = np.full(b.num_rows, float(m.grades[0] >= keep_from)) if m.grades[0] >= keep_from or k is None else tails[:, k]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(grade, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= least)], ["doc_id", "held_out", "expected_grade", "tail_probability", "keep"])
 
-    return texts(docs).withColumn("held_out", fold() == 0).mapInArrow(run, "doc_id long, held_out boolean, expected_grade double, tail_probability double, keep boolean")
+    return texts(docs).withColumn("held_out", fold() == 0).mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, expected_grade double, tail_probability double, keep boolean")

@@ -1,19 +1,21 @@
 """1. Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.  They share
-a base of ordinary passages at the end, so common strings cost the same with either;
-before it, each has the passages that are typical of its class: runs of GRAM-byte
-strings that more documents of the class hold than chance allows (likelihood ratio).  A window
-is shorter under the toxic dictionary only as far as it holds toxic strings.
+Two zstandard dictionaries are trained, one for ordinary text and one for toxic text.  zstandard's trainer
+makes TRAINED bytes of each from the passages that are typical of the class: runs of GRAM-byte strings that more
+documents of the class hold than chance allows (likelihood ratio), each as often as it occurs.
+The most frequent of these passages follow whole, since the trainer keeps parts of them only, and at the end comes a
+base of ordinary passages, trained once and shared, so common strings cost the same with either.
+A window is shorter under the toxic dictionary only as far as it holds toxic strings.
 
 A text's score is a logistic function of how its windows' lengths differ (sum, largest,
 number of windows beyond each of several byte thresholds, rate), fitted on labelled rows that the dictionaries
 haven't seen, weighted to the true share of toxic rows.  0.5 is the threshold.
 
-Learns from labelled rows outside the held-out fold, at most PER_CLASS of each class
-and none above MAX_BYTES (a bounded sample); every document is scored by its
-whole text.  Labels, language, source and id are no inputs of a score.
+Learns from labelled rows outside the held-out fold, at most PER_CLASS of each class,
+none above MAX_BYTES and TOTAL bytes a class (a bounded sample); every document is scored by its
+whole text, whatever type its id has.  Labels, language, source and id are no inputs of a score.
 Empty and null texts get the score of no windows.  Without labels of both classes all scores are 0.
+Repeated rows are scored each; equal texts score alike.  A null id is in the learning folds, but has no label.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import by_text, fit_sample, flat, fold, newton, steps, texts
+from tessera.llm.common import by_text, fit_sample, flat, fold, id_type, newton, steps, texts
 
 PER_CLASS, MAX_BYTES = 4_000, 100_000
 GRAM, WINDOW, OVERLAP = 5, 48, 16
-#: Bytes of the shared base and of each class's passages.
-BASE, TYPICAL = 6_000, 24_000
+#: Bytes of the shared base, of each class's trained part and of its whole passages; length of the trainer's segments.
+BASE, TRAINED, TYPICAL, SEGMENT = 6_000, 2_000, 24_000, 16
 #: Bytes put before a short text.
 LEAD = 28
 #: Saved bytes beyond which a window counts.
@@ -66,8 +68,8 @@ def _of(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(table[0][at] == codes, table[1][at], 0)
 
 
-def _typical(rows: list[bytes], mine: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int, size: int) -> bytes:
-    """Passages made of strings that rows of this class hold more often, the most frequent last."""
+def _typical(rows: list[bytes], mine: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int) -> list[list[bytes]]:
+    """Each row's passages made of strings that rows of this class hold more often; passages of one row only are left out."""
     a, b = mine[1].astype(float), _of(mine[0], other).astype(float)
     p = (a + b) / max(1, n + m)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -75,27 +77,38 @@ def _typical(rows: list[bytes], mine: tuple[np.ndarray, np.ndarray], n: int, oth
         ratio = 2 * (part(a, n, p) + part(b, m, p) + part(n - a, n, 1 - p) + part(m - b, m, 1 - p))
     # likelihood ratio beyond what the best of so many strings reaches by chance
     good = mine[0][(a * m > 10 * (b + 0.5) * n) & (ratio > 2 * np.log(max(2, len(a))))]
-    seen: Counter[bytes] = Counter()
+    out = []
     for r in rows:
         on = np.isin(_codes(r), good)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], on.view(np.int8), [0]))))
-        seen.update({r[a : b - 1 + GRAM] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)})
-    out, used = [], 0
-    for passage, k in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if k < 2 or used + len(passage) + 1 > size:
+        out.append([r[a : b - 1 + GRAM][:64] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+    seen = Counter(p for x in out for p in set(x))
+    return [[p for p in x if seen[p] > 1] for x in out]
+
+
+def _trained(parts: list[bytes], size: int, **options: int) -> bytes:
+    """A dictionary by zstandard's trainer; the last of the text itself if that is too little to train on."""
+    try:
+        return zstandard.train_dictionary(size, [p.ljust(8, b"\xff") for p in parts], **options).as_bytes()
+    except zstandard.ZstdError:
+        return b"\xff".join(parts)[-size:]
+
+
+def _content(passages: list[list[bytes]]) -> bytes:
+    """A class's dictionary: the trained part, then its most frequent passages, the most frequent last."""
+    whole, used = [], 0
+    seen = Counter(p for x in passages for p in set(x))
+    for passage, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+        if used + len(passage) + 1 > TYPICAL:
             break
-        out.append(passage[:64])
-        used += len(out[-1]) + 1
-    return b"\xff".join(reversed(out)) + b"\xff"
+        whole.append(passage)
+        used += len(passage) + 1
+    return _trained([b"\xff".join(x) for x in passages if x], TRAINED, k=SEGMENT, d=6, f=20, accel=1) + b"\xff" + b"\xff".join(reversed(whole)) + b"\xff"
 
 
 def _base(rows: list[bytes]) -> bytes:
-    """Frequent ordinary passages, as zstandard's own trainer chooses them."""
-    parts = [r[i : i + WINDOW] for r in rows for i in range(0, len(r), 8 * WINDOW)]
-    try:
-        return zstandard.train_dictionary(BASE, parts).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        return b" ".join(parts)[-BASE:]
+    """Frequent ordinary passages."""
+    return _trained([r[i : i + WINDOW] for r in rows for i in range(0, len(r), 8 * WINDOW)], BASE)
 
 
 class Pair:
@@ -180,8 +193,8 @@ def learn(rows: list[tuple[str, int]], counts: dict[int, int]) -> Toxicity | Non
     of = {v: [data[i] for i in np.flatnonzero(known & (y == v))] for v in (0, 1)}
     table = {v: _frequencies(of[v]) for v in (0, 1)}
     base = _base(of[0][:1500])
-    typical = {v: _typical(of[v], table[v], len(of[v]), table[1 - v], len(of[1 - v]), TYPICAL) for v in (0, 1)}
-    pair = Pair(typical[0] + base, typical[1] + base)
+    content = {v: _content(_typical(of[v], table[v], len(of[v]), table[1 - v], len(of[1 - v]))) for v in (0, 1)}
+    pair = Pair(content[0] + base, content[1] + base)
     x = described([rows[i][0] for i in np.flatnonzero(tune)], pair)
     t = y[tune]
     share = np.array([counts[v] / max(1, (t == v).sum()) for v in (0, 1)])
@@ -203,7 +216,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.value.scores(rows) if model.value else np.zeros(len(rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return texts(docs).withColumn("held_out", fold() == 0).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts(docs).withColumn("held_out", fold() == 0).mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -40,11 +40,42 @@ def test_toxicity(spark, docs, labels, empty, rows):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    """Held-out figures over all rows, and by language: the toxic labels of this table's French, German and Spanish rows mark nothing in their texts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    english = {r["doc_id"] for r in docs.where("lang = 'en'").collect()}
-    held = [(r["predicted"], y[r["doc_id"]]) for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"] and r["doc_id"] in y and r["doc_id"] in english]
-    assert sum(p == t for p, t in held) >= 0.9 * len(held)
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    held = [(r["predicted"], y[r["doc_id"]], lang[r["doc_id"]]) for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"] and r["doc_id"] in y]
+    share = lambda want, rows: sum(p == t for p, t, _ in rows if t == want) / sum(t == want for _, t, _ in rows)
+    english = [x for x in held if x[2] == "en"]
+    assert share(0, held) >= 0.98 and share(1, held) >= 0.5, (share(0, held), share(1, held))
+    assert share(0, english) >= 0.98 and share(1, english) >= 0.85, (share(0, english), share(1, english))
+
+
+def test_toxicity_lengths():
+    """Window lengths are those that zstandard gives for one window alone."""
+    import numpy as np
+    import zstandard
+
+    rows = [(f"plain words about the {w} and the weather of the day", 0) for w in ("sea", "sky", "sun", "tree", "road", "rain")] * 20
+    rows += [(f"plain words about the {w} you worthless idiot of the day", 1) for w in ("sea", "sky", "sun", "tree")] * 20
+    model = toxicity.learn(rows, {0: 120, 1: 80})
+    texts = [toxicity.folded(t) for t, _ in rows[::7]] + [b"x", b"worthless idiot " * 3]
+    size = np.array([min(len(t), toxicity.WINDOW) for t in texts])
+    start = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
+    got = model.pair.lengths(np.frombuffer(b"".join(texts), np.uint8), start, size)
+    for content, lengths in zip(model.pair.content, got, strict=True):
+        p = zstandard.ZstdCompressionParameters(compression_level=3, window_log=17, min_match=5, target_length=16, search_log=4, chain_log=15, hash_log=15, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+        assert [len(c.compress(t[:n])) for t, n in zip(texts, size, strict=True)] == lengths.tolist()
+    assert (got[0] - got[1])[-1] > 0
+    assert [p >= 0.5 for p in model.scores(["so the worthless idiot came", "a plain day by the sea"])] == [True, False]
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "plain text a@b.cd"), ("b", None), ("a", "plain text a@b.cd"), (None, "")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 0, 1), ("b", 1, 0)], "doc_id string, toxic int, quality int")
+    for out in (toxicity.score_toxicity(docs, labels), quality.score_quality(docs, labels), pii.find_pii(docs), leaks.find_leaks(docs, spark.createDataFrame([("i", "plain text a@b.cd")], "item_id string, text string"))):
+        assert {r["doc_id"] for r in out.collect()} <= {"a", "b", None} and out.count() in (2, 4)
 
 
 def test_quality(spark, docs, labels, empty, rows):
