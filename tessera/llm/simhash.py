@@ -171,8 +171,11 @@ def dealt(prints: DataFrame, budget: int, hot: set[int]) -> DataFrame:
 def trie_links(prints: DataFrame, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
     """Links a, b between nodes of prints(kind, fp, node) that join what the pairs within the budget join.
 
+    The budget is 4 bits at most: with more blocks the bits that are left would not fit a trie's key beside its group.
     Fingerprints are compared within their kind.  One node may have many.
     """
+    if not 1 <= budget <= BUDGET:
+        raise ValueError(f"a budget of {budget} bits: 1 to {BUDGET} are possible")
     hot: set[int] = set()
     if prints.count() > split:  # at most (budget + 1) * 2**13 buckets of each kind
         hot = {r["bucket"] for r in dealt(prints, budget, hot).groupBy("bucket").count().where(F.col("count") > split).collect()}
@@ -411,7 +414,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     """The documents without near copies of documents with smaller ids, with all their columns.
 
-    Rows without an id stay.  Of several rows with one id that are kept, one stays.
+    Rows without an id stay.  Of several rows with one id that are kept, the one with the first text stays.
     """
     keepers = written(near_duplicates(docs, size), "keepers")
     gone = written(keepers.where("doc_id <> keeper").select("doc_id").distinct(), "gone")
@@ -419,5 +422,6 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if keepers.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    columns = F.struct(*docs.columns)
+    once = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min_by(columns, F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
     return once.unionByName(kept.where("doc_id is null"))

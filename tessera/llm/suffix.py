@@ -12,11 +12,18 @@ another; a longest previous factor of a later one is all of it.  What is left ar
 different contexts: one of each context goes to a suffix array (prefix doubling),
 LCP values from the ranks of its rounds, and the longest previous factor of a position
 from the previous and next smaller positions in suffix order, with the least
-LCP on the way.  Mirrored positions give the longest next factor.  Anchors with more than CROWD contexts (a common line in
-many different places) don't go to one task: their windows are dealt out by digests of all their bytes.
+LCP on the way.  Mirrored positions give the longest next factor.
 
-keep_first=True removes what has an earlier copy (ids, then places) and keeps the first;
+No group is too large for that: a window that holds a string of e bytes holds at least half of its other
+length - e bytes on one side of it.  So a group with more than CROWD contexts (a common line in many different places) is
+dealt again by the bytes on that side, each window to one new group, with a longer
+common string.  After eight such steps the common string is the window itself, and one count of the group tells.
+
+keep_first=True removes what has an earlier copy (ids, then texts' hashes, then places) and keeps the first;
 keep_first=False removes every copy.
+
+A row is known by its id and a hash of its text, so ids may be null (they come first) or stand on several rows:
+rows of one id with different texts are different documents, and equal rows are copies of each other (keep_first: one document).
 """
 
 from __future__ import annotations
@@ -30,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, steps, texts, written
+from tessera.llm.common import flat, id_type, steps, texts, written
 
 LENGTH, KEY = 200, 32
-#: Bytes of contexts that go into one suffix array, and contexts of one anchor that do; anchors with more have their windows counted.
+#: Bytes of contexts that go into one suffix array, and contexts of one group that do; larger groups are dealt again.
 BLOCK, CROWD = 1 << 20, 3_000
+#: A key with more than one HOT-th of all rows is joined by broadcast: there are fewer than HOT such keys.
+HOT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -193,95 +202,170 @@ def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), text."""
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
+def hot_join(rows: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with right(keys, k, ...), k being the rows of a key among the total: keys with many rows don't meet in one task."""
+    hot = F.col("k") > max(1, total // HOT)
+    large = F.broadcast(right.where(hot))
+    return rows.join(large, keys).unionByName(rows.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys))
+
+
+def anchor_place(context: bytes, length: int, key: int) -> int:
+    """Where the anchor of a context's windows is."""
+    return int(np.argmin(rolling(np.frombuffer(context[:length], np.uint8), key) & ~np.uint64(0xFFFFFFFF)))
+
+
+def halves(data: bytes, start: int, size: int, lo: int, hi: int, length: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Windows lo to hi, which hold the `size` bytes at start, dealt by half of their other bytes: start, size, lo, hi, bytes at start."""
+    half = -(-(length - size) // 2)
+    out = []
+    if lo <= start - half:
+        out.append((start - half, size + half, lo, min(hi, start - half), data[start - half : start + size]))
+    if max(lo, start - half + 1) <= hi:
+        out.append((start, size + half, max(lo, start - half + 1), hi, data[start : start + size + half]))
+    return out
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False, crowd: int = CROWD) -> DataFrame:
-    """doc_id, at, n, flags: runs of windows of which some go; flags null: all n of them, else one bit each."""
+    """doc_id, h, at, n, flags: runs of windows of which some go; flags null: all n of them, else one bit each."""
+    kind = id_type(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             row, at, n, anchor, context = runs(*flat(b.column("text")), length, key)
-            ids = b.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(n.astype(np.int16)), pa.array(anchor), pa.array(context)], ["doc_id", "at", "n", "anchor", "context"])
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("h").take(row), pa.array(at), pa.array(n.astype(np.int16)), pa.array(anchor), pa.array(context)], ["doc_id", "h", "at", "n", "anchor", "context"])
 
-    all_runs = written(texts(docs).mapInArrow(cut, "doc_id long, at long, n short, anchor long, context long"), "runs")
+    all_runs = written(keyed(docs).mapInArrow(cut, f"doc_id {kind}, h long, at long, n short, anchor long, context long"), "runs")
     # anchors that occur again, with the number of different contexts told as one or several
-    again = all_runs.groupBy("anchor").agg(F.count("*").alias("k"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("k > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    found = written(all_runs.join(again, "anchor"), "repeats")
-    place = F.struct("doc_id", "at", "n")
-    kinds = found.groupBy("anchor", "context", "mixed").agg(F.count("*").alias("k"), F.min(place).alias("first"))
-    kinds = written(kinds, "contexts")
+    again = all_runs.groupBy("anchor").agg(F.count("*").alias("k"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("k > 1")
+    again = written(again.select("anchor", "k", (F.col("lo") != F.col("hi")).alias("mixed")), "again")
+    found = written(hot_join(all_runs, again, ["anchor"], all_runs.count()).drop("k"), "repeats")
+    place = F.struct("doc_id", "h", "at", "n")
+    kinds = written(found.groupBy("anchor", "context", "mixed").agg(F.count("*").alias("k"), F.min(place).alias("first")), "contexts")
 
     # one of each context of the anchors that have several: fetch its bytes, and compare
-    wanted = kinds.where("mixed").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "context", "first.at", "first.n", "k")).alias("want"))
+    wanted = kinds.where("mixed").groupBy(F.col("first.doc_id").alias("id"), F.col("first.h").alias("hash")).agg(F.collect_list(F.struct("anchor", "context", "first.at", "first.n", "k")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches):
             out: list[tuple] = []
-            for doc_id, text, want in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+            rows: list[int] = []
+            for i, (text, want) in enumerate(zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True)):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], w["context"], doc_id, w["at"], w["k"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in want]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(),) * 5 + (pa.binary(),), strict=True)], ["anchor", "context", "doc_id", "at", "k", "bytes"])
+                out += [(w["anchor"], w["context"], w["at"], w["k"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in want]
+                rows += [i] * len(want)
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(),), strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols[:2], b.column("doc_id").take(pa.array(rows)), b.column("h").take(pa.array(rows)), *cols[2:]], ["anchor", "context", "doc_id", "h", "at", "k", "bytes"])
 
-    one_text = texts(docs)
-    contexts = one_text.join(wanted, "doc_id").mapInArrow(fetch, "anchor long, context long, doc_id long, at long, k long, bytes binary")
+    source = keyed(docs)
+    contexts = source.join(wanted, source["doc_id"].eqNullSafe(F.col("id")) & (source["h"] == F.col("hash"))).select("doc_id", "h", "text", "want")
+    contexts = contexts.mapInArrow(fetch, f"anchor long, context long, doc_id {kind}, h long, at long, k long, bytes binary")
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[2], r[3]))
-        flags = repeated([r[5] for r in rows], np.array([r[0] for r in rows]), length, not keep_first)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([_bits(f) for f in flags], pa.binary())], ["anchor", "context", "flags"])
+        """rows: group, anchor, context, first window, bytes, in order of their places."""
+        flags = repeated([r[4] for r in rows], np.array([r[0] for r in rows]), length, not keep_first)
+        cols = [[r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [len(f) for f in flags], [_bits(f) for f in flags]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["anchor", "context", "lo", "n", "flags"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         total = 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "doc_id", "at", "k", "bytes")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("group", "anchor", "context", "lo", "bytes")), strict=True):
                 if total >= BLOCK and r[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, total = [], 0
-                if not rows or rows[-1][:2] != r[:2]:  # rows of one id may be repeated
+                if not rows or rows[-1][:4] != r[:4]:  # equal rows fetch the same bytes
                     rows.append(r)
-                    total += len(r[5])
+                    total += len(r[4])
         if rows:
             yield solve(rows)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "doc_id", "at", "bytes")), strict=True):
-                n = len(r[4]) - length + 1
-                digest = [xxhash.xxh3_128_digest(r[4][i : i + length]) for i in range(n)]
-                cols = [pa.array([v] * n, pa.int64()) for v in r[:4]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(n), pa.int32()), pa.array(digest, pa.binary())], ["anchor", "context", "doc_id", "at", "i", "digest"])
-
-    def packed(n: list[int], on: list[list[int]]) -> list[bytes]:
-        out = []
-        for k, x in zip(n, on, strict=True):
-            flag = np.zeros(k, bool)
-            flag[x] = True
-            out.append(_bits(flag))
-        return out
+    schema = "anchor long, context long, lo int, n int, flags binary"
+    where = ["doc_id", "h", "at"]
+    columns = ["group", "anchor", "context", "lo", *where, "bytes"]
+    solved = lambda rows: rows.select(*columns).repartition("group").sortWithinPartitions("group", *where, "anchor", "context", "lo").mapInArrow(compare, schema)
+    rows = contexts.withColumn("lo", F.lit(0))
+    large = kinds.where("mixed").groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > crowd)
+    large = written(large, "crowded")
+    parts = None
+    if large.isEmpty():
+        flags = solved(rows.withColumn("group", F.col("anchor")))
+    else:
+        rows = written(rows, "crowd")
+        in_large = lambda part, by: part.join(F.broadcast(large.select(by)) if large.count() <= HOT else large.select(by), by, "left_semi")
+        flags = solved(rows.join(F.broadcast(large) if large.count() <= HOT else large, "anchor", "left_anti").withColumn("group", F.col("anchor")))
+        more, parts = _dealt(in_large(rows, "anchor").dropDuplicates(["anchor", "context"]), length, key, crowd, keep_first, solved)
+        parts = parts.unionByName(more) if more is not None else parts
+    if parts is not None:
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for pieces in b.column("pieces").to_pylist():
+                    flag = np.zeros(max(p["lo"] + p["n"] for p in pieces), bool)
+                    for p in pieces:
+                        flag[p["lo"] : p["lo"] + p["n"]] |= np.unpackbits(np.frombuffer(p["flags"], np.uint8))[: p["n"]].astype(bool)
+                    out.append((0, len(flag), _bits(flag)))
+                cols = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("context"), *cols], ["anchor", "context", "lo", "n", "flags"])
+
+        packed = parts.groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "n", "flags")).alias("pieces")).mapInArrow(pack, schema)
+        flags = flags.unionByName(packed)
+    known = kinds.join(flags.select("anchor", "context", F.col("flags").alias("bits")), ["anchor", "context"], "left")
+    rows, total = found.drop("mixed"), found.count()
+    if keep_first:
+        later = hot_join(rows, written(known.select("anchor", "context", "k", "first", "bits"), "known"), ["anchor", "context"], total)
+        later = later.withColumn("lead", place.eqNullSafe(F.col("first")))
+        return later.where("not lead or bits is not null").select("doc_id", "h", "at", "n", F.when(F.col("lead"), F.col("bits")).alias("flags"))
+    known = written(known.where("k > 1 or bits is not null").select("anchor", "context", "k", "bits"), "known")
+    return hot_join(rows, known, ["anchor", "context"], total).select("doc_id", "h", "at", "n", F.when(F.col("k") == 1, F.col("bits")).alias("flags"))
+
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(rows: DataFrame, length: int, key: int, crowd: int, keep_first: bool, solved) -> tuple[DataFrame | None, DataFrame]:
+    """Flags of windows of contexts whose group is too large for one suffix array: (of groups of one window, of the others)."""
+    kind = id_type(rows)
+    schema = f"group string, anchor long, context long, doc_id {kind}, h long, at long, lo int, hi int, start int, size int, bytes binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("context"), pa.array(packed(b.column("n").to_pylist(), b.column("hits").to_pylist()), pa.binary())], ["anchor", "context", "flags"])
-
-    few, schema = contexts, "anchor long, context long, flags binary"
-    crowded = written(kinds.where("mixed").groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select("anchor"), "crowded")
-    if not crowded.isEmpty():
-        contexts = written(contexts.dropDuplicates(["anchor", "context"]), "crowd")
-        few = contexts.join(crowded, "anchor", "left_anti")
-        each = written(contexts.join(crowded, "anchor", "left_semi").select("anchor", "context", "doc_id", "at", "bytes").mapInArrow(windows, "anchor long, context long, doc_id long, at long, i int, digest binary"), "windows")
-        spot = F.struct("doc_id", "at", "i")
-        equal = each.groupBy("digest").agg(F.count("*").alias("c"), F.min(spot).alias("first")).where("c > 1")
-        hits = each.join(equal, "digest").where(spot != F.col("first") if keep_first else F.lit(True)).groupBy("anchor", "context").agg(F.collect_list("i").alias("hits"))
-        sizes = contexts.join(crowded, "anchor", "left_semi").select("anchor", "context", (F.octet_length("bytes") - length + 1).alias("n"))
-        many = sizes.join(hits, ["anchor", "context"], "left").select("anchor", "context", "n", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).mapInArrow(pack, schema)
-    flags = few.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "at").mapInArrow(compare, schema)
-    if not crowded.isEmpty():
-        flags = flags.unionByName(many)
-    known = kinds.join(flags, ["anchor", "context"], "left").select("anchor", "context", "k", "first", F.col("flags").alias("bits"))
-    if keep_first:
-        later = found.join(known, ["anchor", "context"]).withColumn("lead", place.eqNullSafe(F.col("first")))
-        return later.where("not lead or bits is not null").select("doc_id", "at", "n", F.when(F.col("lead"), F.col("bits")).alias("flags"))
-    return found.join(known.where("k > 1 or bits is not null"), ["anchor", "context"]).select("doc_id", "at", "n", F.when(F.col("k") == 1, F.col("bits")).alias("flags"))
+            cols = b.to_pydict()
+            out: list[tuple] = []
+            for i, data in enumerate(cols["bytes"]):
+                if "start" in cols:
+                    start, size, lo, hi = (cols[c][i] for c in ("start", "size", "lo", "hi"))
+                else:
+                    start, size, lo, hi = anchor_place(data, length, key), key, 0, len(data) - length
+                for s, e, a, z, common in halves(data, start, size, lo, hi, length):
+                    out.append((i, f"{'L' if s < start else 'R'}{xxhash.xxh3_128_hexdigest(common)}", a, z, s, e, data))
+            take = pa.array([o[0] for o in out], pa.int64())
+            new = [pa.array([o[j] for o in out], k) for j, k in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()), (5, pa.int32()), (6, pa.binary()))]
+            old = [b.column(c).take(take) for c in ("anchor", "context", "doc_id", "h", "at")]
+            yield pa.RecordBatch.from_arrays([new[0], *old, *new[1:]], ["group", "anchor", "context", "doc_id", "h", "at", "lo", "hi", "start", "size", "bytes"])
+
+    parts = None
+    while True:
+        rows = written(rows.mapInArrow(deal, schema), "dealt")
+        large = written(rows.groupBy("group").agg(F.count("*").alias("k")).where(F.col("k") > crowd), "large")
+        none = large.isEmpty()
+        small = rows if none else rows.join(F.broadcast(large.select("group")) if large.count() <= HOT else large.select("group"), "group", "left_anti")
+        cut = small.withColumn("bytes", F.expr(f"substring(bytes, lo + 1, hi - lo + {length})"))
+        mine = solved(cut)
+        parts = mine if parts is None else parts.unionByName(mine)
+        if none:
+            return None, parts
+        rows = rows.join(F.broadcast(large.select("group")) if large.count() <= HOT else large.select("group"), "group", "left_semi")
+        if rows.select("size").first()[0] >= length:  # the group's common string is its one window
+            spot = F.struct("doc_id", "h", "at", "lo")
+            first = written(rows.groupBy("group").agg(F.min(spot).alias("first")), "first")
+            first = F.broadcast(first) if first.count() <= HOT else first
+            later = rows.join(first, "group").where(~spot.eqNullSafe(F.col("first")) if keep_first else F.lit(True))
+            return later.select("anchor", "context", "lo", F.lit(1).alias("n"), F.lit(b"\x80").alias("flags")), parts
 
 
 def spans(windows: list[tuple[int, int, bytes | None]], length: int) -> list[tuple[int, int]]:
@@ -305,17 +389,22 @@ def spans(windows: list[tuple[int, int, bytes | None]], length: int) -> list[tup
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False, crowd: int = CROWD) -> DataFrame:
-    """doc_id, windows of the documents that lose something; spans(windows) are their removed byte ranges."""
+    """doc_id, h, windows of the documents that lose something; spans(windows) are their removed byte ranges."""
     rows = repeated_windows(docs, length, key, keep_first, crowd)
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "flags")).alias("windows"))
+    return rows.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "n", "flags")).alias("windows"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_first: bool = False, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.  Ids are taken as distinct; null text: empty."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.  Ids may be null or repeated; null text: empty.
+
+    keep_first: rows that are equal in id and text count as one, so each of them keeps what the first one keeps.
+    """
+    kind = id_type(docs)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches):
             out = []
-            for doc_id, text, windows in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("windows").to_pylist(), strict=True):
+            for text, windows in zip(b.column("text").to_pylist(), b.column("windows").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 gone = spans([(w["at"], w["n"], w["flags"]) for w in windows or ()], length)
                 digest, at = hashlib.sha256(), 0
@@ -323,10 +412,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, keep_f
                     digest.update(raw[at:s])
                     at = e
                 digest.update(raw[at:])
-                out.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), digest.hexdigest()))
-            if out:
-                kinds = (pa.int64(),) * 4 + (pa.string(),)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    lost = written(repeated_spans(docs, length, key, keep_first, crowd), "spans")
-    return texts(docs).join(lost, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                out.append((len(raw), sum(e - s for s, e in gone), len(gone), digest.hexdigest()))
+            kinds = (pa.int64(),) * 3 + (pa.string(),)
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    lost = written(repeated_spans(docs, length, key, keep_first, crowd), "spans").withColumnsRenamed({"doc_id": "id", "h": "hash"})
+    source = keyed(docs)
+    both = source.join(lost, source["doc_id"].eqNullSafe(F.col("id")) & (source["h"] == F.col("hash")), "left").select("doc_id", "text", "windows")
+    return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -88,6 +88,14 @@ def test_quality(spark, docs, labels, empty, rows):
     assert (m.cuts[1:] > m.cuts[:-1]).all() and tails[0, 0] < 0.5 < tails[1, 0] and tails[1, 1] < 0.5 < tails[2, 1]
 
 
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = [(r["keep"], y[r["doc_id"]]) for r in quality.score_quality(docs, labels).collect() if r["held_out"] and r["doc_id"] in y]
+    assert sum(k for k, v in held if v) >= 0.95 * sum(v for _, v in held)
+    assert sum(k for k, v in held if not v) <= 0.3 * sum(not v for _, v in held)
+
+
 def test_token_counts(docs, empty, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -142,6 +150,25 @@ def test_leak_kernel():
         assert [d for _, j, d in leaks.leaks([doc], index) if j == i] == ([n] if n <= index.edits[i] else [])
 
 
+def test_leak_hits_in_slices(monkeypatch):
+    """Hits counted a few at a time give what they give at once, on repeated strings too."""
+    import random
+
+    rng = random.Random(5)
+    items = [(1, "abcdefgh" * 12), (2, "".join(rng.choice("abc") for _ in range(90))), (3, "x" * 60)]
+    index = leaks.Index.of(items)
+    texts = ["abcdefgh" * 30, "x" * 300, "".join(rng.choice("abc") for _ in range(400)) + items[1][1][:45] + "zz" + items[1][1][45:], "q" + items[0][1][:-3]]
+    whole = leaks.leaks(texts, index)
+    monkeypatch.setattr(leaks, "HITS", 7)
+    assert sorted(leaks.leaks(texts, index)) == sorted(whole) and {(0, 0), (1, 2), (2, 1), (3, 0)} <= {(i, j) for i, j, _ in whole}
+    assert all(d == _edits(leaks.squeezed(items[j][1]), leaks.squeezed(texts[i])) for i, j, d in whole)
+
+
+def test_leaks_of_short_items():
+    index = leaks.Index.of([(1, "a"), (2, "tiny"), (3, "abc de"), (4, "")])
+    assert sorted(leaks.leaks(["a TINY thing", "destiny", "so abc, de!", "abcde"], index)) == [(0, 0, 0), (2, 1, 0)]
+
+
 def _fingerprint(text):
     words = SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -310,6 +337,57 @@ def test_repeats(docs, empty, rows, length, key, first, crowd):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4, 5], [None, 2, 3, 4, 5], [1, 1, 3, 4, 4], [None, None, 3, None, 3], [7, 7, 7, 7, 7]])
+def test_repeats_of_odd_ids(spark, ids):
+    """Null ids, ids on several texts and repeated rows, each against brute force over rows."""
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    a, b = text(60), text(90)
+    texts = [text(40) + a + text(30) + b, a + text(50) + b + text(10), b + text(20), text(80), None]
+    rows = list(zip(ids, texts, strict=True)) + [(ids[3], texts[3])]
+    want = _removed(list(enumerate(t for _, t in rows)), 200, False)
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == sorted((str(i), *want[k]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_repeats_of_a_common_line(spark, first):
+    """One line among many others: its anchors' groups are dealt again and again."""
+    import random
+
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    lines = [text(48), text(90)]
+    rows = [(i, text(rng.randrange(60)) + lines[i % 2] + text(rng.randrange(60))) for i in range(120)]
+    want = _removed(rows, 40, first)
+    out = got(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 40, 12, first, 5))
+    assert {i: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i, r in out.items()} == want
+
+
+def test_long_text(spark):
+    """A text of two megabytes goes whole through every operator by rows."""
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(11)
+    part = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(1000))
+    long = "".join(f"{part} {i} call (212) 555-0147 or a{i}@b.org. " for i in range(380))
+    docs = spark.createDataFrame([(1, long), (2, long + "x"), (3, part)], "doc_id long, text string")
+    out = got(suffix.remove_repeats(docs))
+    assert out[1]["n_bytes"] == len(long) > 2_000_000 and out[1]["n_removed"] == len(long) and out[3]["n_removed"] == len(part)
+    found = got(pii.find_pii(docs))
+    assert found[1]["n_email"] == 380 and len(re.findall("phone:", found[1]["spans"])) == 380
+    f = got(versions.fingerprints(docs))
+    assert f[1]["n_chars"] == len(long) and f[1]["near_next"] > 0.99
+    assert got(tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")))[1]["n_tokens"] > 400_000
+    bench = spark.createDataFrame([(1, part[:400])], "item_id long, text string")
+    assert {r["doc_id"] for r in leaks.find_leaks(docs, bench).collect()} == {1, 2, 3}
+    assert {r["keeper"] for r in simhash.near_duplicates(docs).collect()} == {1, 3}
+
+
 def test_mixing(spark, docs, empty, rows):
     out = got(mixing.mix(docs))
     size = {i: len(SPACE.findall(t or "")) for i, t, *_ in rows}
@@ -433,6 +511,31 @@ def test_pii_kernel():
     assert pii._spans(["1" * 50_000 + "@" * 10 + "+" * 50_000 + "a" * 100_000], pii.trained())[0] == [[]]
 
 
+def test_pii_decoding():
+    """Viterbi against all label sequences."""
+    import itertools
+
+    import numpy as np
+
+    w, t = pii.trained()
+    for words in (["call", "(212)", "555-0147", "now"], ["a", "dot", "b"], ["10.0.0.1"], ["mail", "x", "[at]", "y.org"]):
+        e = w[np.array(pii.features(words))].sum(axis=1)
+        score = lambda y: e[np.arange(len(y)), list(y)].sum() + sum(t[a, b] for a, b in itertools.pairwise(y)) if pii._allowed[0][y[0]] else -1e9  # noqa: E731, B023
+        best = max(itertools.product(range(pii.LABELS), repeat=len(words)), key=score)
+        assert pii.viterbi([pii.features(words)], (w, t))[0].tolist() == list(best)
+
+
+def test_pii_long_windows():
+    """A span is found wherever it stands in a long run of hints."""
+    text = " ".join(f"{i % 7} words and" for i in range(800))
+    for at in (180, 199, 200, 201, 700):
+        parts = text.split(" ")
+        parts[at:at] = ["call", "(212)", "555-0147", "now"]
+        line = " ".join(parts)
+        s = line.index("(212)")
+        assert pii._spans([line], pii.trained())[1] == [[(s, 3, s + 14)]]
+
+
 def test_urls(spark):
     data = [
         (1, "HTTP://WWW.Example.COM/en/7?x"), (2, "http://example.com/en/1"), (3, "https://a.example.net/de/8#t"), (4, "https://b.net/de/1"), (5, "http://x.org/es/"), (6, "http://x.org/ES/"),
