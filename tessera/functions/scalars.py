@@ -113,3 +113,56 @@ def sap_date(s: Column) -> Column:
 def confidence(n: Column) -> Column:
     """0.6 for the first resolution, 0.15 more for each further one, 0.95 at most."""
     return round_half_up(F.least(F.lit(0.95), 0.6 + 0.15 * (n - 1)), 2)
+
+
+def ident(name: Column) -> Column:
+    """Names are told in upper case."""
+    return F.upper(name)
+
+
+def strip_quotes(s: Column, marks: str = "'\"`") -> Column:
+    """A text without the given marks."""
+    return F.translate(s, marks, "")
+
+
+def capture(s: Column, pattern: str, group: int = 1) -> Column:
+    """The first capture; empty if there is none."""
+    return F.regexp_extract(s, pattern, group)
+
+
+def captures(s: Column, pattern: str, group: int = 1) -> Column:
+    """All captures."""
+    return F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
+
+
+def escape_pattern(s: Column) -> Column:
+    """A text as a pattern that matches it and nothing else."""
+    return F.regexp_replace(s, r"([.*+?^$(){}|\[\]\\])", r"\\$1")
+
+
+def sha256_hex(s: Column) -> Column:
+    """X7."""
+    return F.sha2(s, 256)
+
+
+def disposition_hint(tag: Column, family: Column, hints: list[tuple[str, str]]) -> Column:
+    """The tag if there is one; style for style rules; else the hint of the first pattern that a family matches, style without any."""
+    out = F.when(tag.isNotNull(), tag).when(family == "abaplint", "style")
+    for pattern, hint in hints:
+        out = out.when(family.rlike(pattern), hint)
+    return out.otherwise("style")
+
+
+def island(json: Column) -> Column:
+    """JSON that may stand within a script element of a page."""
+    return F.replace(F.replace(F.replace(json, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e")), F.lit("&"), F.lit("\\u0026"))
+
+
+def evidence_union(*lists: Column) -> Column:
+    """Distinct values of several lists, in order; a null list is empty."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.array()) for x in lists]))))
+
+
+def counter_get(counter: Column, key: str) -> Column:
+    """A map's value of a key, zero without one."""
+    return F.coalesce(F.try_element_at(counter, F.lit(key)), F.lit(0))

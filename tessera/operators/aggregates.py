@@ -103,3 +103,87 @@ def gate(expected: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     v = expected.select(key).join(verdicts.select(key, "failed"), key, "left")
     bad = F.col("failed").isNull() | (F.col("failed") > 0)
     return v.agg(F.count("*").alias("expected"), F.sum(F.col("failed").isNull().cast("long")).alias("missing"), F.sum(bad.cast("long")).alias("blocking"), F.max(bad).alias("blocked"))
+
+
+def namespace_summary(nodes: DataFrame) -> DataFrame:
+    """Customer, sap, registered: nodes by namespace (members of objects aren't counted)."""
+    n = F.col("namespace")
+    return nodes.agg(F.count_if(n.isin("Z", "Y")).alias("customer"), F.count_if(n == "sap").alias("sap"), F.count_if(n == "registered").alias("registered"))
+
+
+def object_health(findings: DataFrame) -> DataFrame:
+    """Object, findings, performance findings, the first rule of its worst severity."""
+    rank = F.when(F.col("severity") == "p1", 1).when(F.col("severity") == "p2", 2).when(F.col("severity") == "p3", 3).otherwise(4)
+    return findings.groupBy("object").agg(F.count("*").alias("n"), F.count_if(F.col("family") == "performance").alias("perf"), F.min(F.struct(rank.alias("r"), "rule_id"))["rule_id"].alias("worst"))
+
+
+def abstractness(methods: DataFrame) -> DataFrame:
+    """Object, abstractness: 1 of interfaces, else the share of abstract methods(object, interface, abstract)."""
+    each = methods.groupBy("object").agg(F.max("interface").alias("i"), F.avg(F.col("abstract").cast("int")).alias("a"))
+    return each.select("object", F.when(F.col("i"), 1.0).otherwise(F.col("a")).alias("abstractness"))
+
+
+def branch_counts(statements: DataFrame, keys: list[str], kinds: tuple[str, ...]) -> DataFrame:
+    """Keys, cyclomatic: one more than the branches of a routine."""
+    return statements.groupBy(*keys).agg((1 + F.count_if(F.col("kind").isin(*kinds))).alias("cyclomatic"))
+
+
+def size_metrics(lines: DataFrame, key: str) -> DataFrame:
+    """Loc, longest, chars, blank of the lines(raw) of each file."""
+    n = F.length("raw")
+    return lines.groupBy(key).agg(F.count("*").alias("loc"), F.max(n).cast("long").alias("longest"), F.sum(n).cast("long").alias("chars"), F.count_if(F.trim("raw") == "").alias("blank"))
+
+
+def plan_summary(nodes: DataFrame, *keys: str) -> DataFrame:
+    """Counts by all keys, by fewer of them and over all (nulls stand for all)."""
+    return nodes.rollup(*keys).agg(F.count("*").alias("n"))
+
+
+def clean_core_debt(findings: DataFrame) -> DataFrame:
+    """Object, debt: ten for each finding of the first priority, five of the second, one of the third."""
+    n = lambda x: F.count_if(F.col("severity") == x)
+    return findings.groupBy("object").agg((10 * n("p1") + 5 * n("p2") + n("p3")).alias("debt"))
+
+
+def namespaces_of(names: DataFrame, name: str, pattern: str) -> DataFrame:
+    """The distinct namespaces that a pattern's first group finds in names."""
+    return names.select(F.regexp_extract(name, pattern, 1).alias("space")).distinct()
+
+
+def blast_sum(edges: DataFrame) -> DataFrame:
+    """Source, blast: how many objects depend on its distinct direct targets, in all."""
+    n = edges.groupBy("target").agg(F.countDistinct("source").alias("n"))
+    return edges.select("source", "target").distinct().join(n, "target").groupBy("source").agg(F.sum("n").alias("blast"))
+
+
+def super_node_keys(members: DataFrame, node: str) -> DataFrame:
+    """Weakest rank, highest complexity and blast of the members of a component."""
+    return members.groupBy(node).agg(F.min("rank").alias("rank"), F.max("complexity").alias("complexity"), F.max("blast").alias("blast"))
+
+
+def kind_tallies(statements: DataFrame, key: str, **kinds: str) -> DataFrame:
+    """Statements of each named kind and the number of different kinds, of each bundle."""
+    return statements.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()], F.countDistinct("kind").alias("kinds"))
+
+
+def lint_summary(findings: DataFrame, error: str = "error") -> DataFrame:
+    """Errors, warnings."""
+    return findings.agg(F.count_if(F.col("severity") == error).alias("errors"), F.count_if(F.col("severity") != error).alias("warnings"))
+
+
+def status_counts(nodes: DataFrame) -> DataFrame:
+    """Status, n."""
+    return nodes.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def range_digest(rows: DataFrame, number: str, digest: str, joint: str = "||", fan: int = 1024, levels: int = 4) -> DataFrame:
+    """One digest of all rows' digests in order of their numbers (0 and up), by a tree.
+
+    A node of the tree joins the digests of `fan` neighbouring numbers, so no row ever holds more of them; four levels
+    are enough for 10^12 numbers.
+    """
+    now = rows.select(F.col(number).cast("long").alias("n"), F.col(digest).alias("d"))
+    for _ in range(levels):
+        each = F.array_sort(F.collect_list(F.struct("n", "d")))
+        now = now.groupBy(F.floor(F.col("n") / fan).cast("long").alias("n")).agg(F.sha2(F.array_join(each["d"], joint), 256).alias("d"))
+    return now.select(F.col("d").alias(digest))

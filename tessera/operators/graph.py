@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder that the cluster names (a temporary one if none is)."""
+    """End the lineage in the checkpoint folder that the cluster names; a temporary one serves a single process only."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
@@ -19,10 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
     """Id, affected: nodes that depend on it in at most `depth` steps, itself not counted."""
     back = edges.select(F.col("target").alias("id"), F.col("source").alias("hit")).distinct()
-    seen = front = back
+    seen = front = back = cut(back)
     for _ in range(min(5, max(1, depth)) - 1):
         nxt = front.join(back.select(F.col("id").alias("hit"), F.col("hit").alias("far")), "hit").select("id", F.col("far").alias("hit")).distinct()
-        front = nxt.join(seen, ["id", "hit"], "left_anti")
+        front = cut(nxt.join(seen, ["id", "hit"], "left_anti"))  # read twice: by the next step and by the sum
         seen = seen.unionByName(front)
     return seen.where("id <> hit").groupBy("id").agg(F.count("*").alias("affected"))
 
@@ -181,3 +184,34 @@ def object_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     from tessera.operators.joins import with_owners
 
     return with_owners(edges, nodes).where("source_owner <> target_owner").groupBy("source_owner", "target_owner", "kind").agg(F.count("*").alias("links"))
+
+
+def build_nodes(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """G1: id, kind of the objects and of all ends of edges; an object's kind wins, an end that is no object is unknown."""
+    ends = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().withColumn("kind", F.lit(None).cast("string"))
+    return objects.select("id", "kind").unionByName(ends).groupBy("id").agg(F.coalesce(F.max("kind"), F.lit("unknown")).alias("kind"))
+
+
+def capped(nodes: DataFrame, key: str, order: str, cap: int) -> DataFrame:
+    """Nodes with kept: whether they are among the first of their graph; edges to the others stay."""
+    return nodes.withColumn("kept", F.row_number().over(W.partitionBy(key).orderBy(order)) <= cap)
+
+
+def successors(edges: DataFrame, backwards: bool = False) -> DataFrame:
+    """Id, nodes: distinct targets of each node (sources, backwards), in order."""
+    a, b = ("target", "source") if backwards else ("source", "target")
+    return edges.groupBy(F.col(a).alias("id")).agg(F.array_sort(F.collect_set(b)).alias("nodes"))
+
+
+def group_evidence(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Grp, members, linked: how many members(grp, id) have links(id)."""
+    with_link = linked.select("id").distinct().withColumn("l", F.lit(1))
+    return members.join(with_link, "id", "left").groupBy("grp").agg(F.count("*").alias("members"), F.count("l").alias("linked"))
+
+
+def possible_cycles(edges: DataFrame) -> DataFrame:
+    """A, b, possible_cycle of the distinct edges: whether b leads back to a, as both are in one strong component."""
+    e = edges.where("a <> b").distinct()
+    root = strong_components(edges)
+    j = e.join(root.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    return j.select("a", "b", (F.col("ra") == F.col("rb")).alias("possible_cycle"))

@@ -60,3 +60,81 @@ def conformance(before: DataFrame, after: DataFrame, key: str, value: str) -> Da
     a = after.select(key, F.col(value).alias("va"), F.lit(True).alias("ina"))
     change = F.when(F.col("inb").isNull(), "added").when(F.col("ina").isNull(), "removed").when(~F.col("vb").eqNullSafe(F.col("va")), "changed").otherwise("same")
     return b.join(a, key, "full").select(key, change.alias("change"))
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame, *cols: str) -> DataFrame:
+    """Edges with columns of the nodes at both ends (source_..., target_...); null where the graph has no such node."""
+    out = edges
+    for end in ("source", "target"):
+        out = out.join(nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end, "left")
+    return out
+
+
+def element_domains(elements: DataFrame, domains: DataFrame) -> DataFrame:
+    """Data elements(name, domain) with the columns of their domain; domains are told by upper-case names."""
+    return elements.withColumn("domain", F.upper("domain")).join(domains.withColumn("domain", F.upper("domain")), "domain")
+
+
+def key_coverage(statements: DataFrame, tables: DataFrame, key: str, covered: Column) -> DataFrame:
+    """Statements with a verdict: unknown-table (not in the bundle), covered (by the table's key) or partial."""
+    known = tables.withColumn("_in_bundle", F.lit(True))
+    verdict = F.when(F.col("_in_bundle").isNull(), "unknown-table").when(covered, "covered").otherwise("partial")
+    return statements.join(known, key, "left").withColumn("verdict", verdict).drop("_in_bundle")
+
+
+def strict_classes(classes: DataFrame, behaviors: DataFrame) -> DataFrame:
+    """Classes that implement behaviours(class, strict), with the highest of their strict levels."""
+    return classes.join(behaviors.groupBy("class").agg(F.max("strict").alias("strict")), "class")
+
+
+def object_facts(objects: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """Objects with one number of each fact table(object, value); none counts as zero."""
+    for name, df in facts.items():
+        objects = objects.join(df.select("object", F.col("value").alias(name)), "object", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return objects
+
+
+def service_chain(bindings: DataFrame, definitions: DataFrame, views: DataFrame) -> DataFrame:
+    """bindings(definition) to definitions(definition, entity) to views(entity); a chain with a missing link is left out."""
+    return bindings.join(definitions, "definition").join(views, "entity")
+
+
+def extended_views(extensions: DataFrame, views: DataFrame, named: Column) -> DataFrame:
+    """Extensions with the view that their text names."""
+    return extensions.withColumn("view", named).join(views, "view")
+
+
+def unbound(declared: DataFrame, bound: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Declared operations without a handler."""
+    return declared.select(*keys).distinct().join(bound.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def unmentioned(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """names(name) that no text(text) holds, in any case.  Names go to all workers: a class's public methods are few."""
+    each = F.broadcast(names.select("name").distinct())
+    found = texts.select(F.lower("text").alias("t")).join(each, F.contains(F.col("t"), F.lower("name"))).select("name").distinct()
+    return names.join(found, "name", "left_anti")
+
+
+def without_sibling(rows: DataFrame, single: Column, batch: Column, keys: Sequence[str]) -> DataFrame:
+    """Rows of one kind that have no row of the other kind under the same keys."""
+    return rows.where(single).join(rows.where(batch).select(*keys).distinct(), list(keys), "left_anti")
+
+
+def unreciprocated(links: DataFrame) -> DataFrame:
+    """Links a, b without a link b, a."""
+    e = links.select("a", "b").distinct()
+    return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+
+
+def warnings_on_changes(changed: DataFrame, warnings: DataFrame) -> DataFrame:
+    """N: warnings on lines(file, line) that changed."""
+    return warnings.join(changed.select("file", "line").distinct(), ["file", "line"], "left_semi").agg(F.count("*").alias("n"))
+
+
+def with_overrides(nodes: DataFrame, overrides: DataFrame, key: str, value: str, strict: bool = True) -> DataFrame:
+    """Nodes with the values of overrides in place of their own; an override of an unknown node is an error."""
+    if strict and (unknown := overrides.join(nodes.select(key), key, "left_anti").select(key).head()):
+        raise ValueError(f"an override names the unknown node {unknown[0]}")
+    o = overrides.select(key, F.col(value).alias("_override"))
+    return nodes.join(o, key, "left").withColumn(value, F.coalesce("_override", value)).drop("_override")

@@ -116,3 +116,9 @@ def repeated_blocks(lines: DataFrame, size: int = 6) -> DataFrame:
     first = F.min("line").over(W.partitionBy("doc_id", "k"))
     hit = rows.withColumn("first", first).where(F.col("line") >= F.col("first") + size)
     return hit.groupBy("doc_id").agg(F.min(F.struct("line", "first")).alias("x")).select("doc_id", F.col("x.first").alias("first"), F.col("x.line").alias("second"))
+
+
+def last_series(rows: DataFrame, key: str, order: list[str], value: F.Column, kept: int = 5) -> DataFrame:
+    """Key, series: the last few values of each group, the latest last."""
+    latest = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))).where(F.col("_r") <= kept)
+    return latest.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("_v")))), lambda x: x["_v"]).alias("series"))

@@ -173,3 +173,32 @@ def in_plan_ancestors(edges: DataFrame, planned: DataFrame) -> DataFrame:
             break
         seen = cut(seen.unionByName(front))
     return seen.where("id <> at").join(inside.select(F.col("id").alias("at")), "at", "left_semi").select("id", F.col("at").alias("ancestor")).distinct()
+
+
+def successors_of(registry: DataFrame, levels: tuple[str, ...] = ("C", "D")) -> DataFrame:
+    """C4: name, successor, state of the successor, of entries that aren't to be used; null state where the registry has no such name."""
+    known = registry.select(F.col("name").alias("successor"), "state")
+    return registry.where(F.col("level").isin(*levels)).select("name", "successor").join(known, "successor", "left").select("name", "successor", "state")
+
+
+def harvested(texts: DataFrame, key: str, text: str, words: tuple[str, ...]) -> DataFrame:
+    """Key, ref: upper-case tokens of four characters or more in free text that are neither customer names nor words of the language."""
+    each = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z][A-Z0-9_]{3,}"), F.lit(0)))).alias("ref"))
+    return each.where(~F.col("ref").rlike("^[ZY]") & ~F.col("ref").isin(*words))
+
+
+def grounding_counts(refs: DataFrame, registry: DataFrame) -> DataFrame:
+    """State, n of references(name); unknown where the registry has no row."""
+    return refs.join(registry.select("name", "state"), "name", "left").groupBy(F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def builtin_severity(rule: Column, severity: Column, promoted: tuple[str, ...] = ("cloud_types",)) -> Column:
+    """Severities of the parser's own rules; some rules are promoted."""
+    return F.when(rule.isin(*promoted), "p1").when(severity == "Error", "p2").when(severity == "Warning", "p3").otherwise("info")
+
+
+def brief(findings: DataFrame) -> DataFrame:
+    """Object, brief: its rules in order with how often each fires."""
+    n = findings.groupBy("object", "rule_id").agg(F.count("*").alias("n"))
+    line = F.concat("rule_id", F.lit(" x"), F.col("n").cast("string"))
+    return n.groupBy("object").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rule_id", line.alias("t"))))["t"], "; ").alias("brief"))

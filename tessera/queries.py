@@ -12,8 +12,15 @@ from tessera.functions import scalars as X
 from tessera.operators import aggregates as A
 from tessera.operators import graph as G
 from tessera.operators import joins as J
+from tessera.operators import orders as O  # noqa: E741
+from tessera.operators import predicates as K
 from tessera.operators import sequence as Q
+from tessera.operators import sets as S
+from tessera.plans import facts as P
+from tessera.plans import verdicts as V
 from tessera.sources import adapters as D
+from tessera.sources import bundle as B
+from tessera.sources import records as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,18 +44,20 @@ CLASSIFIABLE = ("call-function", "uses-table", "consumes-cds", "inherits")
 
 @query("S2_canonical_files", "SELECT doc_id, len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)))::BIGINT AS n_lines FROM documents")
 def _(s, sf):
-    return D.read(s, sf, "documents").select("doc_id", F.size(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).cast("long").alias("n_lines"))
+    files = R.canonical(D.read(s, sf, "documents").select("doc_id", F.col("text").alias("source")))
+    return files.select("doc_id", F.size(F.split("source", "\n")).cast("long").alias("n_lines"))
 
 
 @query("S3_byte_cap", "SELECT octet_length(encode(text)) <= 2000 AS admitted, count(*) AS n FROM documents GROUP BY 1")
 def _(s, sf):
-    return D.read(s, sf, "documents").groupBy((F.octet_length("text") <= 2000).alias("admitted")).agg(F.count("*").alias("n"))
+    admitted, notes = B.admitted(D.read(s, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("source")), 2000)
+    n = F.count("*").alias("n")
+    return admitted.agg(n).withColumn("admitted", F.lit(True)).unionByName(notes.agg(n).withColumn("admitted", F.lit(False))).where("n > 0")
 
 
 @query("S7_priorities", "SELECT CASE WHEN l_linenumber BETWEEN 1 AND 3 THEN 'priority-'||l_linenumber ELSE 'info' END AS priority, count(*) AS n FROM lineitem GROUP BY 1")
 def _(s, sf):
-    n = F.col("l_linenumber")
-    return D.read(s, sf, "lineitem").groupBy(F.when(n.between(1, 3), F.concat(F.lit("priority-"), n.cast("string"))).otherwise("info").alias("priority")).agg(F.count("*").alias("n"))
+    return R.check_rows(D.read(s, sf, "lineitem").select(F.col("l_linenumber").alias("priority"))).groupBy("priority").agg(F.count("*").alias("n"))
 
 
 @query("S8_migration_summary", "SELECT o_orderstatus AS status, CASE WHEN count(*)=0 THEN 100.0 ELSE floor(100.0::DOUBLE*count(*) FILTER (o_totalprice>100000)/count(*)+0.5) END::DOUBLE AS pct FROM orders GROUP BY 1")
@@ -56,25 +65,27 @@ def _(s, sf):
     return D.read(s, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(X.round_half_up(100.0 * F.count_if(F.col("o_totalprice") > 100000) / F.count("*")).cast("double").alias("pct"))
 
 
-@query("S9_bundle_sources", "SELECT lang AS object, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("S9_bundle_sources", "SELECT 'O'||(doc_id//8) AS object, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
 def _(s, sf):
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    return D.read(s, sf, "documents").groupBy(F.col("lang").alias("object")).agg(F.sha2(F.array_join(rows["text"], "\n"), 256).alias("digest"))
+    name = F.concat(F.lit("o"), F.floor(F.col("doc_id") / 8).cast("string"), F.lit("."), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".abap"))
+    return R.object_sources(D.read(s, sf, "documents").select(name.alias("filename"), F.col("text").alias("source")))
 
 
 @query("S10_registry", D.with_("registry") + "SELECT state, authoritative, count(*) AS n FROM registry GROUP BY 1, 2")
 def _(s, sf):
-    return D.registry(s, sf).groupBy("state", "authoritative").agg(F.count("*").alias("n"))
+    return R.registry_index(D.registry(s, sf), "successor").groupBy("state", "authoritative").agg(F.count("*").alias("n"))
 
 
 @query("S15_usage", "SELECT user_id AS object, count(*) AS exec_count, strftime(max(ts), '%Y-%m-%d') AS last_used FROM events GROUP BY 1")
 def _(s, sf):
-    return D.read(s, sf, "events").groupBy(F.col("user_id").alias("object")).agg(F.count("*").alias("exec_count"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_used"))
+    log = D.read(s, sf, "events").groupBy(F.col("user_id").alias("object_name")).agg(F.count("*").cast("string").alias("exec_count"), F.date_format(F.max("ts"), "yyyyMMdd").alias("last_used"))
+    good, _refused = R.usage_rows(log.withColumn("object_type", F.lit("PROG")), "object_name")
+    return good.select(F.col("object_name").alias("object"), "exec_count", "last_used")
 
 
 @query("K3_sarif_rules", D.with_("findings") + "SELECT rule_id, arg_min(message, file||lpad(line::VARCHAR,9,'0')||message) AS first_message, count(*) AS results FROM findings GROUP BY 1")
 def _(s, sf):
-    return D.findings(s, sf).groupBy("rule_id").agg(F.min_by("message", F.concat("file", F.lpad(F.col("line").cast("string"), 9, "0"), "message")).alias("first_message"), F.count("*").alias("results"))
+    return R.sarif_rules(D.findings(s, sf))
 
 
 # ------------------------------------------------------------ filters and theta joins
@@ -104,24 +115,27 @@ def _(s, sf):
 
 @query("F7_statement_patterns", "SELECT event_id, CASE WHEN event_type='view' THEN 'view-k1' ELSE 'other-k1' END AS rule FROM events WHERE regexp_matches(props, '\"k\": 1') AND NOT regexp_matches(props, '\"k\": 1[05]')")
 def _(s, sf):
-    e = D.read(s, sf, "events")
-    return e.where(F.col("props").rlike('"k": 1') & ~F.col("props").rlike('"k": 1[05]')).select("event_id", F.when(F.col("event_type") == "view", "view-k1").otherwise("other-k1").alias("rule"))
+    rest = ("signup", "click", "error", "purchase")
+    patterns = [K.Pattern("view-k1", ("view",), '"k": 1', '"k": 1[05]'), K.Pattern("other-k1", rest, '"k": 1', '"k": 1[05]')]
+    return K.pattern_hits(D.read(s, sf, "events"), patterns, "event_type", "props").select("event_id", F.col("rule_id").alias("rule"))
 
 
 @query("F8_signals", "SELECT p_partkey, (p_size>25)::INT+(p_retailprice>1200)::INT+(p_partkey%2=0)::INT AS score, p_size>25 AND (p_retailprice>1200 OR p_partkey%2=0) AND p_brand<>'Brand#1' AS holds FROM part")
 def _(s, sf):
-    a, b, c = F.col("p_size") > 25, F.col("p_retailprice") > 1200, F.col("p_partkey") % 2 == 0
-    return D.read(s, sf, "part").select("p_partkey", (a.cast("int") + b.cast("int") + c.cast("int")).alias("score"), (a & (b | c) & (F.col("p_brand") != "Brand#1")).alias("holds"))
+    all_, any_, none = {"size": F.col("p_size") > 25}, {"price": F.col("p_retailprice") > 1200, "even": F.col("p_partkey") % 2 == 0}, {"brand": F.col("p_brand") == "Brand#1"}
+    return D.read(s, sf, "part").select("p_partkey", K.shape_score(all_, any_).alias("score"), K.shape_holds(all_, any_, none).alias("holds"))
 
 
 @query("F9_explain", "SELECT p_partkey, concat_ws(',', CASE WHEN NOT p_size>25 THEN 'size' END, CASE WHEN NOT p_retailprice>1200 THEN 'price' END) AS unmet FROM part")
 def _(s, sf):
-    return D.read(s, sf, "part").select("p_partkey", F.concat_ws(",", F.when(~(F.col("p_size") > 25), "size"), F.when(~(F.col("p_retailprice") > 1200), "price")).alias("unmet"))
+    gaps = K.shape_gaps({"size": F.col("p_size") > 25, "price": F.col("p_retailprice") > 1200}, {}, {})
+    return D.read(s, sf, "part").select("p_partkey", F.concat_ws(",", gaps["unmet_all"]).alias("unmet"))
 
 
 @query("F10_blockers", D.with_("findings") + "SELECT family, severity, count(*) AS n FROM findings WHERE family IN ('deprecation','modification') OR (family='released-api' AND severity IN ('p1','p2')) GROUP BY 1,2")
 def _(s, sf):
-    return D.findings(s, sf).where(F.col("family").isin("deprecation", "modification") | ((F.col("family") == "released-api") & F.col("severity").isin("p1", "p2"))).groupBy("family", "severity").agg(F.count("*").alias("n"))
+    f = D.findings(s, sf)
+    return f.where(K.s4_blocker(F.col("family"), X.severity_grade(F.col("severity")))).groupBy("family", "severity").agg(F.count("*").alias("n"))
 
 
 @query("F12_reach_edges", D.with_("nodes", "edges") + "SELECT e.kind, count(*) AS n FROM edges e LEFT JOIN nodes a ON a.id=e.source LEFT JOIN nodes b ON b.id=e.target WHERE coalesce(a.object, split_part(e.source,'.',1))<>coalesce(b.object, split_part(e.target,'.',1)) AND e.kind NOT IN ('includes','contains') GROUP BY 1")
@@ -131,7 +145,7 @@ def _(s, sf):
 
 @query("F15_search_guard", "SELECT p_partkey, regexp_full_match(p_type, '[A-Za-z0-9*_]{1,100}') AS ok, least(500, greatest(1, p_size*20))::INT AS top FROM part")
 def _(s, sf):
-    return D.read(s, sf, "part").select("p_partkey", F.col("p_type").rlike(r"^[A-Za-z0-9*_]{1,100}\z").alias("ok"), F.least(F.lit(500), F.greatest(F.lit(1), F.col("p_size") * 20)).cast("int").alias("top"))
+    return D.read(s, sf, "part").select("p_partkey", K.search_allowed(F.col("p_type")).alias("ok"), K.search_limit(F.col("p_size") * 20).alias("top"))
 
 
 # ------------------------------------------------------------ joins
@@ -139,9 +153,8 @@ def _(s, sf):
 
 @query("J1_edge_owners", D.with_("nodes", "edges") + "SELECT coalesce(a.kind,'none') AS from_kind, coalesce(b.kind,'none') AS to_kind, count(*) AS n FROM edges e LEFT JOIN nodes a ON a.id=e.source LEFT JOIN nodes b ON b.id=e.target GROUP BY 1,2")
 def _(s, sf):
-    n, e = D.nodes(s, sf), D.edges(s, sf)
-    a, b = n.select(F.col("id").alias("source"), F.col("kind").alias("ka")), n.select(F.col("id").alias("target"), F.col("kind").alias("kb"))
-    return e.join(a, "source", "left").join(b, "target", "left").groupBy(F.coalesce("ka", F.lit("none")).alias("from_kind"), F.coalesce("kb", F.lit("none")).alias("to_kind")).agg(F.count("*").alias("n"))
+    ends = J.with_ends(D.edges(s, sf), D.nodes(s, sf), "kind")
+    return ends.groupBy(F.coalesce("source_kind", F.lit("none")).alias("from_kind"), F.coalesce("target_kind", F.lit("none")).alias("to_kind")).agg(F.count("*").alias("n"))
 
 
 @query("J2_registry_levels", D.with_("edges", "registry") + "SELECT e.source, e.target, r.level FROM edges e LEFT JOIN registry r ON r.name=e.target WHERE e.kind IN ('uses-table','inherits','consumes-cds','call-function') AND e.access IS NOT NULL AND e.access='write'")
@@ -151,8 +164,9 @@ def _(s, sf):
 
 @query("J8_object_facts", D.with_("findings") + "SELECT s.s_suppkey, s.s_name, coalesce(f.n,0)::BIGINT AS n FROM supplier s LEFT JOIN (SELECT object, count(*) n FROM findings WHERE severity='p1' GROUP BY 1) f ON f.object='S'||s.s_suppkey")
 def _(s, sf):
-    f = D.findings(s, sf).where("severity = 'p1'").groupBy("object").agg(F.count("*").alias("n"))
-    return D.read(s, sf, "supplier").withColumn("object", F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).join(f, "object", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n"))
+    p1 = D.findings(s, sf).where("severity = 'p1'").groupBy("object").agg(F.count("*").alias("value"))
+    objects = D.read(s, sf, "supplier").withColumn("object", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
+    return J.object_facts(objects, {"n": p1}).select("s_suppkey", "s_name", "n")
 
 
 @query("J13_without_test", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_returnflag='R')")
@@ -187,15 +201,15 @@ def _(s, sf):
 @query("J20_warnings_on_changes", f"WITH b AS ({BEFORE}), a AS ({AFTER}) SELECT count(*) AS n FROM a JOIN b USING(k) JOIN lineitem ON l_orderkey=a.k WHERE a.v<>b.v AND l_linenumber=1")
 def _(s, sf):
     b, a = _sides(s, sf)
-    changed = a.join(b.withColumnRenamed("v", "o"), "k").where("v <> o").select(F.col("k").alias("l_orderkey"))
-    return D.read(s, sf, "lineitem").where("l_linenumber = 1").join(changed, "l_orderkey").agg(F.count("*").alias("n"))
+    changed = J.conformance(b, a, "k", "v").where("change = 'changed'").select(F.col("k").alias("file"), F.lit(1).alias("line"))
+    return J.warnings_on_changes(changed, D.read(s, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")))
 
 
 @query("J21_overrides", "SELECT p_partkey, coalesce(o.v, CASE WHEN p_size>25 THEN 'rebuild' ELSE 'keep' END) AS disposition FROM part LEFT JOIN (SELECT p_partkey AS k, 'retire' AS v FROM part WHERE p_partkey%11=0) o ON o.k=p_partkey")
 def _(s, sf):
-    p = D.read(s, sf, "part")
-    o = p.where("p_partkey % 11 = 0").select("p_partkey", F.lit("retire").alias("v"))
-    return p.join(o, "p_partkey", "left").select("p_partkey", F.coalesce("v", F.when(F.col("p_size") > 25, "rebuild").otherwise("keep")).alias("disposition"))
+    nodes = D.read(s, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, "rebuild").otherwise("keep").alias("disposition"))
+    chosen = nodes.where("p_partkey % 11 = 0").withColumn("disposition", F.lit("retire"))
+    return J.with_overrides(nodes, chosen, "p_partkey", "disposition")
 
 
 # ------------------------------------------------------------ aggregates
@@ -229,8 +243,7 @@ def _(s, sf):
 
 @query("A6_namespaces", D.with_("nodes") + "SELECT count(*) FILTER (namespace IN ('Z','Y')) AS customer, count(*) FILTER (namespace='sap') AS sap, count(*) FILTER (namespace='registered') AS registered FROM nodes")
 def _(s, sf):
-    n = F.col("namespace")
-    return D.nodes(s, sf).agg(F.count_if(n.isin("Z", "Y")).alias("customer"), F.count_if(n == "sap").alias("sap"), F.count_if(n == "registered").alias("registered"))
+    return A.namespace_summary(D.nodes(s, sf))
 
 
 @query("A7_coupling", D.with_("edges") + ", o AS (SELECT source AS id, count(DISTINCT target) n FROM edges GROUP BY 1), i AS (SELECT target AS id, count(DISTINCT source) n FROM edges GROUP BY 1) SELECT id, coalesce(i.n,0)::BIGINT AS fan_in, coalesce(o.n,0)::BIGINT AS fan_out FROM o FULL JOIN i USING(id)")
@@ -272,7 +285,7 @@ def _(s, sf):
 
 @query("A18_cyclomatic", "SELECT user_id AS file, 1+count(*) FILTER (event_type IN ('signup','view')) AS cyclomatic FROM events GROUP BY 1")
 def _(s, sf):
-    return D.statements(s, sf).groupBy("file").agg((1 + F.count_if(F.col("kind").isin("Loop", "Select"))).alias("cyclomatic"))
+    return A.branch_counts(D.statements(s, sf), ["file"], ("Loop", "Select"))
 
 
 @query("A22_resolved_states", D.with_("registry") + ", k AS (SELECT substr(name,1,3) AS key, *, CASE level WHEN 'D' THEN 0 WHEN 'C' THEN 1 WHEN 'B' THEN 2 ELSE 3 END AS r FROM registry), h AS (SELECT key, bool_or(authoritative) AS any_ FROM k GROUP BY 1), m AS (SELECT key, arg_min(struct_pack(r:=r,s:=state), r::VARCHAR||state) AS x FROM k JOIN h USING(key) WHERE authoritative=any_ GROUP BY 1) SELECT key, ['D','C','B','A'][x.r+1] AS level, x.s AS state FROM m")
@@ -292,9 +305,7 @@ def _(s, sf):
 
 @query("A26_blast_sum", D.with_("edges") + ", b AS (SELECT target AS id, count(DISTINCT source) AS n FROM edges GROUP BY 1) SELECT e.source, sum(b.n)::BIGINT AS blast FROM (SELECT DISTINCT source, target FROM edges) e JOIN b ON b.id=e.target GROUP BY 1")
 def _(s, sf):
-    e = D.edges(s, sf)
-    n = e.groupBy("target").agg(F.countDistinct("source").alias("n"))
-    return e.select("source", "target").distinct().join(n, "target").groupBy("source").agg(F.sum("n").alias("blast"))
+    return A.blast_sum(D.edges(s, sf))
 
 
 @query("A34_gate", "SELECT count(*) AS expected, count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (l.doc_id IS NULL OR l.toxic>0) AS blocking, bool_or(l.doc_id IS NULL OR l.toxic>0) AS blocked FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING(doc_id)")
@@ -400,34 +411,28 @@ def _(s, sf):
 
 @query("T1_finding_order", D.with_("findings") + "SELECT k, row_number() OVER (ORDER BY k) AS n FROM (SELECT concat_ws('|', file, lpad(line::VARCHAR,9,'0'), rule_id, object, message) AS k FROM findings WHERE severity='p1' AND family='performance') ORDER BY k LIMIT 500")
 def _(s, sf):
-    k = F.concat_ws("|", "file", F.lpad(F.col("line").cast("string"), 9, "0"), "rule_id", "object", "message")
-    top = D.findings(s, sf).where("severity = 'p1' and family = 'performance'").select(k.alias("k")).orderBy("k").limit(500)
-    return top.withColumn("n", F.row_number().over(W.orderBy("k")).cast("long"))
+    return O.finding_order(D.findings(s, sf).where("severity = 'p1' and family = 'performance'"), 500, "message")
 
 
 @query("T3_digest_objects", D.with_("edges", "nodes") + ", r AS (SELECT target AS id, count(*) n FROM edges GROUP BY 1) SELECT id, kind, coalesce(r.n,0)::BIGINT AS n FROM nodes LEFT JOIN r USING(id) ORDER BY namespace NOT IN ('Z','Y'), coalesce(r.n,0) DESC, id LIMIT 500")
 def _(s, sf):
-    r = D.edges(s, sf).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
-    return D.nodes(s, sf).join(r, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).orderBy(~F.col("namespace").isin("Z", "Y"), F.col("n").desc(), "id").limit(500).select("id", "kind", "n")
+    r = D.edges(s, sf).groupBy(F.col("target").alias("object")).agg(F.count("*").alias("value"))
+    return O.digest_objects(J.object_facts(D.nodes(s, sf), {"n": r})).select("id", "kind", "n")
 
 
 @query("T4_digest_findings", D.with_("findings") + "SELECT severity, rule_id, object, file, line, message FROM findings ORDER BY severity='info', severity, rule_id, object, file, line, message LIMIT 200")
 def _(s, sf):
-    return D.findings(s, sf).orderBy(F.col("severity") == "info", "severity", "rule_id", "object", "file", "line", "message").limit(200).select("severity", "rule_id", "object", "file", "line", "message")
+    return O.digest_findings(D.findings(s, sf)).select("severity", "rule_id", "object", "file", "line", "message")
 
 
 @query("T7_transport_order", D.with_("nodes") + "SELECT id, row_number() OVER (ORDER BY CASE kind WHEN 'cds' THEN 1 WHEN 'interface' THEN 2 WHEN 'class' THEN 3 WHEN 'behavior' THEN 4 ELSE 99 END, id) AS n FROM nodes WHERE kind IN ('cds','interface','class')")
 def _(s, sf):
-    rank = F.when(F.col("kind") == "cds", 1).when(F.col("kind") == "interface", 2).when(F.col("kind") == "class", 3).when(F.col("kind") == "behavior", 4).otherwise(99)
-    by_kind = D.nodes(s, sf).where("kind in ('cds', 'interface', 'class')").withColumn("k", rank)
-    before = by_kind.groupBy("k").agg(F.count("*").alias("c")).withColumn("off", F.coalesce(F.sum("c").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    return by_kind.join(F.broadcast(before), "k").select("id", (F.col("off") + F.row_number().over(W.partitionBy("k").orderBy("id"))).cast("long").alias("n"))
+    return O.transport_order(D.nodes(s, sf).where("kind in ('cds', 'interface', 'class')"))
 
 
 @query("T12_hub", D.with_("edges") + "SELECT source AS id, arg_min(target, lpad((99999-n)::VARCHAR,6,'0')||target) AS hub FROM (SELECT source, target, count(*) n FROM edges WHERE kind='uses-table' GROUP BY 1,2) WHERE n>1 GROUP BY 1")
 def _(s, sf):
-    n = D.edges(s, sf).where("kind = 'uses-table'").groupBy("source", "target").agg(F.count("*").alias("n")).where("n > 1")
-    return n.groupBy(F.col("source").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("m"), "target"))["target"].alias("hub"))
+    return O.hubs(D.edges(s, sf).where("kind = 'uses-table'"))
 
 
 # ------------------------------------------------------------ set operations
@@ -436,25 +441,24 @@ def _(s, sf):
 @query("U1_union_defaults", D.with_("findings") + "SELECT rule_id, family, count(*) AS n FROM findings GROUP BY 1,2 UNION ALL SELECT 'page', 'metadata', count(*) FROM pages")
 def _(s, sf):
     a = D.findings(s, sf).groupBy("rule_id", "family").agg(F.count("*").alias("n"))
-    b = D.read(s, sf, "pages").agg(F.count("*").alias("n")).withColumn("rule_id", F.lit("page"))
-    return a.unionByName(b, allowMissingColumns=True).withColumn("family", F.coalesce("family", F.lit("metadata")))
+    return S.union_findings({"rules": a, "page": D.read(s, sf, "pages").agg(F.count("*").alias("n"))}, "metadata").select("rule_id", "family", "n")
 
 
 @query("U2_symmetric_difference", f"WITH b AS ({BEFORE}), a AS ({AFTER}) SELECT k, v, 'before' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT k, v, 'after' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
 def _(s, sf):
-    b, a = _sides(s, sf)
-    return b.exceptAll(a).withColumn("side", F.lit("before")).union(a.exceptAll(b).withColumn("side", F.lit("after")))
+    return S.symmetric_difference(*_sides(s, sf))
 
 
 @query("U4_set_equality", "SELECT count(*) FILTER (a=b) AS equal, count(*) AS n FROM (SELECT l_suppkey, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber<=2)) AS a, list_sort(list(DISTINCT l_returnflag)) AS b FROM lineitem GROUP BY 1)")
 def _(s, sf):
-    g = D.read(s, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_linenumber") <= 2, F.col("l_returnflag")))).alias("a"), F.array_sort(F.collect_set("l_returnflag")).alias("b"))
-    return g.agg(F.count_if(F.col("a") == F.col("b")).alias("equal"), F.count("*").alias("n"))
+    g = S.equal_sets(D.read(s, sf, "lineitem"), "l_suppkey", F.when(F.col("l_linenumber") <= 2, F.col("l_returnflag")), F.col("l_returnflag"))
+    return g.agg(F.count_if(F.col("equal")).alias("equal"), F.count("*").alias("n"))
 
 
 @query("U5_union_distinct", "SELECT c_nationkey::BIGINT AS k FROM customer WHERE c_acctbal>9000 UNION SELECT s_nationkey::BIGINT FROM supplier")
 def _(s, sf):
-    return D.read(s, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").cast("long").alias("k")).union(D.read(s, sf, "supplier").select(F.col("s_nationkey").cast("long"))).distinct()
+    c, p = D.read(s, sf, "customer").where("c_acctbal > 9000"), D.read(s, sf, "supplier")
+    return S.swapped_or_succeeded(c.select(F.col("c_nationkey").cast("long").alias("k")), p.select(F.col("s_nationkey").cast("long").alias("k")))
 
 
 @query("U6_plan_diff", f"WITH b AS ({BEFORE}), a AS ({AFTER}) SELECT count(*) FILTER (b.k IS NULL) AS added, count(*) FILTER (a.k IS NULL) AS removed, count(*) FILTER (a.v<>b.v) AS moved FROM b FULL JOIN a ON a.k=b.k")
@@ -465,9 +469,12 @@ def _(s, sf):
 
 @query("U11_report_delta", "SELECT unnest(['orders','price']) AS metric, unnest([count(*) FILTER (o_orderkey%2=0), floor(sum(o_totalprice) FILTER (o_orderkey%2=0))::BIGINT]) AS before, unnest([count(*), floor(sum(o_totalprice))::BIGINT]) AS after FROM orders")
 def _(s, sf):
-    even = F.col("o_orderkey") % 2 == 0
-    row = D.read(s, sf, "orders").agg(F.count_if(even).alias("ob"), F.count("*").alias("oa"), F.floor(F.sum(F.when(even, F.col("o_totalprice")))).alias("pb"), F.floor(F.sum("o_totalprice")).alias("pa"))
-    return row.select(F.expr("stack(2, 'orders', ob, oa, 'price', pb, pa) as (metric, before, after)"))
+    def report(o):
+        row = o.agg(F.count("*").alias("n"), F.floor(F.sum("o_totalprice")).alias("p"))
+        return row.select(F.expr("stack(2, 'orders', n, 'price', p) as (metric, value)"))
+
+    o = D.read(s, sf, "orders")
+    return S.report_delta(report(o.where("o_orderkey % 2 = 0")), report(o)).drop("delta")
 
 
 # ------------------------------------------------------------ scalars
@@ -521,7 +528,7 @@ def _(s, sf):
 
 @query("G9_successors", D.with_("edges") + "SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM edges WHERE kind<>'uses-table' GROUP BY 1")
 def _(s, sf):
-    return D.edges(s, sf).where("kind <> 'uses-table'").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))
+    return G.successors(D.edges(s, sf).where("kind <> 'uses-table'")).select(F.col("id").alias("source"), F.array_join("nodes", ",").alias("targets"))
 
 
 @query("G10_blast_radius", D.with_("edges") + ", b AS (SELECT DISTINCT target AS id, source AS hit FROM edges), two AS (SELECT a.id, c.hit FROM b a JOIN b c ON c.id=a.hit), three AS (SELECT a.id, c.hit FROM (SELECT DISTINCT * FROM two) a JOIN b c ON c.id=a.hit) SELECT id, count(*) AS affected FROM (SELECT * FROM b UNION SELECT * FROM two UNION SELECT * FROM three) WHERE id<>hit GROUP BY 1")
@@ -529,15 +536,18 @@ def _(s, sf):
     return G.blast_radius(D.edges(s, sf), 3)
 
 
-PR = "ids AS (SELECT a AS id FROM cyc UNION SELECT b FROM cyc), n AS (SELECT count(*)::DOUBLE AS n FROM ids), deg AS (SELECT a AS id, count(*) AS deg FROM cyc GROUP BY 1), base AS (SELECT id, deg FROM ids LEFT JOIN deg USING(id)), r0 AS (SELECT id, 1/n AS rank FROM ids, n)"
-for _k in range(1, 4):
-    PR += f", r{_k} AS (SELECT base.id, 0.15::DOUBLE/n + 0.85::DOUBLE*(coalesce(g.got,0)+(SELECT coalesce(sum(rank),0) FROM r{_k - 1} JOIN base USING(id) WHERE deg IS NULL)/n) AS rank FROM base CROSS JOIN n LEFT JOIN (SELECT b AS id, sum(r.rank/d.deg) AS got FROM cyc JOIN r{_k - 1} r ON r.id=cyc.a JOIN deg d ON d.id=cyc.a GROUP BY 1) g ON g.id=base.id)"
+PR = "ids AS (SELECT a AS id FROM cyc UNION SELECT b FROM cyc), n AS (SELECT count(*)::DOUBLE AS n FROM ids), deg AS (SELECT a AS id, count(*) AS deg FROM cyc GROUP BY 1), base AS MATERIALIZED (SELECT id, deg FROM ids LEFT JOIN deg USING(id)), r0 AS MATERIALIZED (SELECT id, 1/n AS rank FROM ids, n)"
+for _k in range(1, 31):
+    PR += f", r{_k} AS MATERIALIZED (SELECT base.id, 0.15::DOUBLE/n + 0.85::DOUBLE*(coalesce(g.got,0)+(SELECT coalesce(sum(rank),0) FROM r{_k - 1} JOIN base USING(id) WHERE deg IS NULL)/n) AS rank FROM base CROSS JOIN n LEFT JOIN (SELECT b AS id, sum(r.rank/d.deg) AS got FROM cyc JOIN r{_k - 1} r ON r.id=cyc.a JOIN deg d ON d.id=cyc.a GROUP BY 1) g ON g.id=base.id)"
+#: all rounds, and the last one that counts: the first that moves no rank by a millionth
+PR += ", every AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {_k} AS k, a.id, a.rank, abs(a.rank-b.rank) AS moved FROM r{_k} a JOIN r{_k - 1} b USING(id)" for _k in range(1, 31)) + "), moves AS (SELECT k, max(moved) AS m FROM every GROUP BY 1), last_ AS (SELECT coalesce(min(k) FILTER (m<1e-6), 30) AS k FROM moves)"
 
 
-@query("G11_pagerank", D.with_("cyc") + ", " + PR + " SELECT id, floor(rank*1e8+0.5)/1e8 AS rank FROM r3")
+@query("G11_pagerank", D.with_("cyc") + ", " + PR + " SELECT id, floor(rank/(SELECT max(rank) FROM every WHERE k=(SELECT k FROM last_))*1e4+0.5)/1e4 AS rank FROM every WHERE k=(SELECT k FROM last_)")
 def _(s, sf):
-    e = D.cyclic_edges(s, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
-    return G.pagerank(e, 3).select("id", (F.floor(F.col("rank") * 1e8 + 0.5) / 1e8).alias("rank"))
+    ranks = G.pagerank(D.cyclic_edges(s, sf).select(F.col("a").alias("source"), F.col("b").alias("target")), 30, tolerance=1e-6)
+    top = ranks.agg(F.max("rank").alias("top"))
+    return ranks.join(F.broadcast(top)).select("id", X.round_half_up(F.col("rank") / F.col("top"), 4).alias("rank"))
 
 
 @query("G12_strong_components", D.with_("cyc", recursive=True) + ", r AS (SELECT DISTINCT a, b FROM cyc WHERE a<>b UNION SELECT r.a, c.b FROM r JOIN cyc c ON c.a=r.b), ids AS (SELECT a AS id FROM cyc UNION SELECT b FROM cyc) SELECT id, least(id, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a=x.b AND y.b=x.a WHERE x.a=id), id)) AS root FROM ids")
@@ -568,9 +578,9 @@ def _(s, sf):
     return G.object_graph(D.edges(s, sf).where("kind <> 'uses-table'"), D.nodes(s, sf))
 
 
-@query("G23_conflict_groups", D.with_("cyc", recursive=True) + ", e AS (SELECT a, b FROM cyc WHERE a%4<>1 AND b%4<>1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a=r.b) SELECT a AS id, least(a, min(b)) AS root FROM r GROUP BY a")
+@query("G23_conflict_groups", D.with_("cyc", recursive=True) + ", s AS (SELECT a, b FROM cyc UNION SELECT b, a FROM cyc), r(a, root) AS (SELECT a, 0::BIGINT FROM cyc WHERE a=0 UNION SELECT s.b, r.root FROM r JOIN s ON s.a=r.a) SELECT DISTINCT x.id, coalesce(r.root, x.id) AS root FROM (SELECT a AS id FROM s UNION SELECT b FROM s) x LEFT JOIN r ON r.a=x.id")
 def _(s, sf):
-    return G.components(D.cyclic_edges(s, sf).where("a % 4 <> 1 and b % 4 <> 1"))
+    return G.components(D.cyclic_edges(s, sf))
 
 
 # ------------------------------------------------------------ enrichment, verdicts, validators
@@ -593,44 +603,41 @@ def _(s, sf):
 
 @query("C4_successors", D.with_("registry") + "SELECT a.name, a.successor, b.state FROM registry a LEFT JOIN registry b ON b.name=a.successor WHERE a.level IN ('C','D')")
 def _(s, sf):
-    r = D.registry(s, sf)
-    return r.where("level in ('C', 'D')").select("name", "successor").join(r.select(F.col("name").alias("successor"), "state"), "successor", "left").select("name", "successor", "state")
+    return P.successors_of(D.registry(s, sf))
 
 
 @query("C5_harvested_references", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][A-Z0-9_]{3,}')) AS ref FROM documents) SELECT ref, count(DISTINCT doc_id) AS docs FROM t WHERE ref[1] NOT IN ('Z','Y') AND ref NOT IN ('THAT','WITH','THIS','FROM') GROUP BY 1")
 def _(s, sf):
-    t = D.read(s, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Z0-9_]{3,}"), F.lit(0))).alias("ref"))
-    return t.where(~F.col("ref").rlike("^[ZY]") & ~F.col("ref").isin("THAT", "WITH", "THIS", "FROM")).groupBy("ref").agg(F.countDistinct("doc_id").alias("docs"))
+    refs = P.harvested(D.read(s, sf, "documents"), "doc_id", "text", ("THAT", "WITH", "THIS", "FROM"))
+    return refs.groupBy("ref").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 @query("C24_risk_flags", "SELECT d.doc_id, concat_ws(',', CASE WHEN l.toxic IS NULL THEN 'missing-evidence' END, CASE WHEN l.toxic>0 THEN 'P1' END, CASE WHEN l.quality=0 THEN 'P2' END, CASE WHEN d.n_chars>5000 THEN 'blast' END) AS flags FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) toxic, min(quality) quality FROM labels GROUP BY 1) l USING(doc_id)")
 def _(s, sf):
     v = D.read(s, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    flags = F.concat_ws(",", F.when(F.col("toxic").isNull(), "missing-evidence"), F.when(F.col("toxic") > 0, "P1"), F.when(F.col("quality") == 0, "P2"), F.when(F.col("n_chars") > 5000, "blast"))
-    return D.read(s, sf, "documents").join(v, "doc_id", "left").select("doc_id", flags.alias("flags"))
+    flags = V.reasons({"missing-evidence": F.col("toxic").isNull(), "P1": F.col("toxic") > 0, "P2": F.col("quality") == 0, "blast": F.col("n_chars") > 5000})
+    return D.read(s, sf, "documents").join(v, "doc_id", "left").select("doc_id", F.concat_ws(",", flags).alias("flags"))
 
 
 @query("D5_parity", "SELECT o_orderkey, CASE WHEN o_totalprice>400000 THEN 'fail' WHEN 1-0.3*(o_orderstatus='P')::INT-0.4*(o_totalprice>200000)::INT-0.2*(o_custkey%3=0)::INT<0.3 THEN 'fail' WHEN 1-0.3*(o_orderstatus='P')::INT-0.4*(o_totalprice>200000)::INT-0.2*(o_custkey%3=0)::INT<=0.7 THEN 'needs_review' ELSE 'pass' END AS verdict FROM orders")
 def _(s, sf):
-    points = 10 - 3 * (F.col("o_orderstatus") == "P").cast("int") - 4 * (F.col("o_totalprice") > 200000).cast("int") - 2 * (F.col("o_custkey") % 3 == 0).cast("int")
-    return D.read(s, sf, "orders").select("o_orderkey", F.when((F.col("o_totalprice") > 400000) | (points < 3), "fail").when(points <= 7, "needs_review").otherwise("pass").alias("verdict"))
+    points = V.parity_points({"lost_path": F.col("o_orderstatus") == "P", "lost_effect": F.col("o_totalprice") > 200000, "idiom": F.col("o_custkey") % 3 == 0})
+    return D.read(s, sf, "orders").select("o_orderkey", V.parity(points, F.col("o_totalprice") > 400000).alias("verdict"))
 
 
 @query("D9_verdict_reasons", "SELECT d.doc_id, concat_ws(',', CASE WHEN l.n IS NULL THEN 'no-evidence' END, CASE WHEN l.toxic>0 THEN 'p1' END, CASE WHEN l.quality=0 THEN 'p2' END) AS reasons, l.n IS NOT NULL AND l.toxic=0 AND l.quality=1 AS green FROM documents d LEFT JOIN (SELECT doc_id, count(*) n, max(toxic) toxic, min(quality) quality FROM labels GROUP BY 1) l USING(doc_id)")
 def _(s, sf):
     v = D.read(s, sf, "labels").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    why = F.concat_ws(",", F.when(F.col("n").isNull(), "no-evidence"), F.when(F.col("toxic") > 0, "p1"), F.when(F.col("quality") == 0, "p2"))
-    return D.read(s, sf, "documents").join(v, "doc_id", "left").select("doc_id", why.alias("reasons"), (why == "").alias("green"))
+    why = V.reasons({"no-evidence": F.col("n").isNull(), "p1": F.col("toxic") > 0, "p2": F.col("quality") == 0})
+    rows = D.read(s, sf, "documents").join(v, "doc_id", "left").withColumn("why", why)
+    return rows.select("doc_id", F.concat_ws(",", "why").alias("reasons"), (V.node_verdict(F.col("why"), F.lit(False)) == "GREEN").alias("green"))
 
 
 @query("D11_transitions", "SELECT conv_id, count(*) FILTER (prev IS NOT NULL AND prev=role) AS illegal FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1")
 def _(s, sf):
-    prev = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))
-    return D.read(s, sf, "conversations").withColumn("prev", prev).groupBy("conv_id").agg(F.count_if(F.col("prev") == F.col("role")).alias("illegal"))
+    return V.illegal_steps(D.read(s, sf, "conversations"), "conv_id", "turn", lambda a, b: a != b, "role")
 
 
 @query("V1_violations", D.with_("findings") + "SELECT 'bad-severity' AS violation, count(*) AS n FROM findings WHERE severity NOT IN ('p1','p2','p3') UNION ALL SELECT 'late-line', count(*) FROM findings WHERE line>6")
 def _(s, sf):
-    f = D.findings(s, sf)
-    checks = F.array_compact(F.array(F.when(~F.col("severity").isin("p1", "p2", "p3"), "bad-severity"), F.when(F.col("line") > 6, "late-line")))
-    return f.select(F.explode(checks).alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
+    return V.violations(D.findings(s, sf), V.finding_errors(("p1", "p2", "p3"), 6))
\ No newline at end of file

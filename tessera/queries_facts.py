@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
+from tessera.operators import aggregates as A
 from tessera.operators import graph as G
 from tessera.plans import facts as P
 from tessera.queries_plan import ORACLES, QUERIES
@@ -17,12 +18,12 @@ __all__ = ["ORACLES", "QUERIES"]
 NAMES = ("CL_GUI_ALV_GRID", "GUI_UPLOAD", "CL_GUI_CONTAINER", "IDOC_INPUT_ORDERS", "MASTER_IDOC_DISTRIBUTE", "BAPI_PO_CREATE", "ZCL_LOCAL", "RFC_PING", "EDI_DOCUMENT_STATUS_SET", "/ACME/TORDER", "/SAPAPO/MATKEY", "ZORDERS", "MARA")
 _SQL_NAMES = "[" + ",".join(f"'{n}'" for n in NAMES) + "]"
 #: edges of objects to those names (source, target, kind, access, destination)
-CALLS = f"calls AS (SELECT DISTINCT 'S'||l_suppkey AS source, ({_SQL_NAMES})[l_partkey%{len(NAMES)}+1] AS target, CASE WHEN l_partkey%{len(NAMES)}>=9 THEN 'uses-table' ELSE 'calls' END AS kind, CASE WHEN l_returnflag='R' THEN 'write' END AS access, CASE WHEN l_partkey%{len(NAMES)}=6 AND l_suppkey%2=0 THEN 'DEST' END AS destination FROM lineitem WHERE l_partkey%400<l_suppkey)"
+CALLS = f"calls AS (SELECT DISTINCT 'S'||l_suppkey AS source, ({_SQL_NAMES})[l_partkey%{len(NAMES)}+1] AS target, CASE WHEN l_partkey%{len(NAMES)}>=9 THEN 'uses-table' ELSE 'calls' END AS kind, CASE WHEN l_returnflag='R' THEN 'write' END AS access, CASE WHEN l_partkey%{len(NAMES)}=6 AND l_suppkey%2=0 THEN 'DEST' END AS destination FROM lineitem)"
 _CASE = lambda ps, x: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in ps) + " END"
 
 
 def calls(s, sf):
-    li = D.read(s, sf, "lineitem").where("l_partkey % 400 < l_suppkey")
+    li = D.read(s, sf, "lineitem")
     k = F.col("l_partkey") % len(NAMES)
     return li.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.element_at(F.array(*map(F.lit, NAMES)), (k + 1).cast("int")).alias("target"), F.when(k >= 9, "uses-table").otherwise("calls").alias("kind"),
@@ -60,7 +61,7 @@ def _(s, sf):
 @query("C6_grounding", D.with_("registry") + "SELECT coalesce(r.state,'unknown') AS state, count(*) AS n FROM (SELECT DISTINCT l_partkey FROM lineitem) l LEFT JOIN registry r ON r.name='P'||l_partkey GROUP BY 1")
 def _(s, sf):
     refs = D.read(s, sf, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name")).distinct()
-    return refs.join(D.registry(s, sf).select("name", "state"), "name", "left").groupBy(F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("n"))
+    return P.grounding_counts(refs, D.registry(s, sf))
 
 
 @query("C11_candidates", D.with_("edges", "registry", "findings") + ", e AS (SELECT e.source, e.target, r.level, CASE WHEN r.name IS NULL OR r.state='noAPI' THEN 0 ELSE 1 END AS successors FROM edges e LEFT JOIN registry r ON r.name=e.target WHERE e.kind='uses-table'), f AS (SELECT object, count(*) FILTER (severity='p1' AND family IN ('released-api','deprecation'))=0 AS clean FROM findings WHERE line<=2 AND file LIKE '%7' GROUP BY 1), b AS (SELECT source AS object, count(*) AS n, count(*) FILTER (coalesce(level,'-')<>'A') AS bad, string_agg(DISTINCT CASE WHEN level IN ('B','C','D') AND successors=0 THEN target END, ',' ORDER BY target) AS refs FROM (SELECT *, target AS t2 FROM e) GROUP BY 1) SELECT 'S'||s_suppkey AS object, coalesce(clean,false) AS released_clean, CASE WHEN coalesce(clean,false) AND coalesce(n,0)>0 AND bad=0 THEN 1.0 ELSE 0.8 END::DOUBLE AS certainty, coalesce(refs,'') AS refs FROM supplier LEFT JOIN f ON f.object='S'||s_suppkey LEFT JOIN b ON b.object='S'||s_suppkey".replace("string_agg(DISTINCT CASE WHEN level IN ('B','C','D') AND successors=0 THEN target END, ',' ORDER BY target)", "array_to_string(list_sort(list_distinct(list(CASE WHEN level IN ('B','C','D') AND successors=0 THEN target END))), ',')"))
@@ -85,8 +86,8 @@ _FACTS = "fact AS (SELECT 'P'||p_partkey AS object, 'f'||(p_size%5) AS fact FROM
 _STR = "e AS (SELECT 'P'||a AS source, 'P'||b AS target FROM cyc WHERE a<>b)"
 
 
-def _string_edges(s, sf, below=500):
-    return D.cyclic_edges(s, sf, below).where("a <> b").select(F.concat(F.lit("P"), F.col("a").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("b").cast("string")).alias("target"))
+def _string_edges(s, sf):
+    return D.cyclic_edges(s, sf).where("a <> b").select(F.concat(F.lit("P"), F.col("a").cast("string")).alias("source"), F.concat(F.lit("P"), F.col("b").cast("string")).alias("target"))
 
 
 def _facts(s, sf):
@@ -111,16 +112,15 @@ def _(s, sf):
     return P.condensed(D.cyclic_edges(s, sf))[1]
 
 
-@query("G22_ancestors", "WITH RECURSIVE " + D.SQL["cyc"] + f", {_STR}, inside AS (SELECT 'P'||p_partkey AS id FROM part WHERE p_partkey%5=0 AND p_partkey<500), w(id, place) AS (SELECT target, source FROM e WHERE target IN (SELECT id FROM inside) UNION SELECT w.id, e.source FROM w JOIN e ON e.target=w.place WHERE w.place NOT IN (SELECT id FROM inside)) SELECT DISTINCT id, place AS ancestor FROM w WHERE place IN (SELECT id FROM inside) AND id<>place")
+@query("G22_ancestors", "WITH RECURSIVE " + D.SQL["cyc"] + f", {_STR}, inside AS (SELECT 'P'||p_partkey AS id FROM part WHERE p_partkey%5=0), w(id, place) AS (SELECT target, source FROM e WHERE target IN (SELECT id FROM inside) UNION SELECT w.id, e.source FROM w JOIN e ON e.target=w.place WHERE w.place NOT IN (SELECT id FROM inside)) SELECT DISTINCT id, place AS ancestor FROM w WHERE place IN (SELECT id FROM inside) AND id<>place")
 def _(s, sf):
-    inside = D.read(s, sf, "part").where("p_partkey % 5 = 0 and p_partkey < 500").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    inside = D.read(s, sf, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
     return P.in_plan_ancestors(_string_edges(s, sf), inside)
 
 
-@query("G24_program_pools", "WITH RECURSIVE c AS (SELECT p_partkey AS a, p_partkey//3 AS b FROM part WHERE p_partkey%10<>0 AND p_partkey<1000), u AS (SELECT a,b FROM c UNION SELECT b,a FROM c), r(a,b) AS (SELECT a,b FROM u UNION SELECT r.a,u.b FROM r JOIN u ON u.a=r.b) SELECT a AS id, min(least(a,b)) AS root FROM r GROUP BY 1")
+@query("G24_program_pools", "WITH RECURSIVE c AS (SELECT p_partkey AS a, p_partkey//3 AS b FROM part), u AS (SELECT a,b FROM c UNION SELECT b,a FROM c), r(a) AS (SELECT 0::BIGINT UNION SELECT u.b FROM r JOIN u ON u.a=r.a) SELECT DISTINCT u.a AS id, CASE WHEN u.a IN (SELECT a FROM r) THEN 0 ELSE u.a END::BIGINT AS root FROM u")
 def _(s, sf):
-    p = D.read(s, sf, "part").where("p_partkey % 10 <> 0 and p_partkey < 1000")
-    return G.components(p.select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 3).cast("long").alias("b")))
+    return G.components(D.read(s, sf, "part").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 3).cast("long").alias("b")))
 
 
 # ------------------------------------------------------------ scalars
@@ -152,25 +152,26 @@ def _(s, sf):
 
 @query("X1_upper", "SELECT p_partkey, upper(p_type) AS ident, sha256(upper(p_type)) AS digest, regexp_replace(p_type, '([^A-Za-z0-9_ ])', '\\\\\\1', 'g') AS escaped FROM part")
 def _(s, sf):
-    return D.read(s, sf, "part").select("p_partkey", F.upper("p_type").alias("ident"), F.sha2(F.upper("p_type"), 256).alias("digest"), F.regexp_replace("p_type", r"([^A-Za-z0-9_ ])", r"\\$1").alias("escaped"))
+    t = F.col("p_type")
+    return D.read(s, sf, "part").select("p_partkey", X.ident(t).alias("ident"), X.sha256_hex(X.ident(t)).alias("digest"), F.regexp_replace(t, r"([^A-Za-z0-9_ ])", r"\\$1").alias("escaped"))
 
 
 @query("X33_arrays", "WITH g AS (SELECT p_brand, list(p_size ORDER BY p_partkey) AS xs, list(p_partkey%7 ORDER BY p_partkey) AS ys FROM part GROUP BY 1) SELECT p_brand, array_to_string(list_sort(list_distinct(xs)), ',') AS sorted, array_to_string(list_sort(list_distinct(list_concat(xs,ys))), ',') AS joined, list_contains(xs, 7) AS has7, array_to_string(list_sort(list_distinct(xs))[1:3], ',') AS head FROM g")
 def _(s, sf):
     g = D.read(s, sf, "part").groupBy("p_brand").agg(F.collect_list("p_size").alias("xs"), F.collect_list((F.col("p_partkey") % 7).cast("int")).alias("ys"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
-    each = F.array_sort(F.array_distinct("xs"))
-    return g.select("p_brand", text(each).alias("sorted"), text(F.array_sort(F.array_union("xs", "ys"))).alias("joined"), F.array_contains("xs", 7).alias("has7"), text(F.slice(each, 1, 3)).alias("head"))
+    each = X.evidence_union(F.col("xs"))
+    return g.select("p_brand", text(each).alias("sorted"), text(X.evidence_union(F.col("xs"), F.col("ys"))).alias("joined"), F.array_contains("xs", 7).alias("has7"), text(F.slice(each, 1, 3)).alias("head"))
 
 
 @query("X34_maps", "SELECT user_id, count(*) FILTER (event_type='view') AS views, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def _(s, sf):
     n = D.read(s, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     m = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
-    return m.select("user_id", F.coalesce(F.try_element_at("m", F.lit("view")), F.lit(0)).alias("views"), F.size(F.map_entries("m")).cast("long").alias("kinds"))
+    return m.select("user_id", X.counter_get(F.col("m"), "view").alias("views"), F.size(F.map_entries("m")).cast("long").alias("kinds"))
 
 
 @query("A17_abstractness", "SELECT 'S'||l_suppkey AS object, CASE WHEN l_suppkey%10=0 THEN 1.0 ELSE avg((l_returnflag='N')::INT) END::DOUBLE AS abstractness FROM lineitem GROUP BY 1, l_suppkey")
 def _(s, sf):
-    share = F.avg((F.col("l_returnflag") == "N").cast("int"))
-    return D.read(s, sf, "lineitem").groupBy("l_suppkey").agg(share.alias("a")).select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("object"), F.when(F.col("l_suppkey") % 10 == 0, 1.0).otherwise(F.col("a")).alias("abstractness"))
+    methods = D.read(s, sf, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("object"), (F.col("l_suppkey") % 10 == 0).alias("interface"), (F.col("l_returnflag") == "N").alias("abstract"))
+    return A.abstractness(methods)
\ No newline at end of file

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.operators import aggregates as A
+from tessera.operators import graph as G
+from tessera.operators import joins as J
+from tessera.operators import orders as O  # noqa: E741
 from tessera.operators import sequence as Q
+from tessera.operators import sets as S
+from tessera.plans import facts as N
 from tessera.plans import verdicts as P
 from tessera.queries import ORACLES, QUERIES, query
 from tessera.sources import adapters as D
+from tessera.sources import records as R
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -23,37 +28,40 @@ def _(s, sf):
 
 @query("U7_disposition_delta", "SELECT p_partkey, CASE WHEN p_size>25 THEN 'rebuild' ELSE 'keep' END AS before, CASE WHEN p_partkey%11=0 THEN 'retire' WHEN p_size>25 THEN 'rebuild' ELSE 'keep' END AS after FROM part WHERE p_partkey%11=0")
 def _(s, sf):
-    old = F.when(F.col("p_size") > 25, "rebuild").otherwise("keep")
-    return D.read(s, sf, "part").select("p_partkey", old.alias("before"), F.when(F.col("p_partkey") % 11 == 0, "retire").otherwise(old).alias("after")).where("before <> after")
+    old = D.read(s, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, "rebuild").otherwise("keep").alias("disposition"))
+    new = old.withColumn("disposition", F.when(F.col("p_partkey") % 11 == 0, "retire").otherwise(F.col("disposition")))
+    return S.disposition_delta(old, new, "p_partkey")
 
 
 @query("U9_merged_groups", "SELECT p_brand AS label, count(DISTINCT p_type) AS types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS members FROM part GROUP BY 1")
 def _(s, sf):
-    return D.read(s, sf, "part").groupBy(F.col("p_brand").alias("label")).agg(F.countDistinct("p_type").alias("types"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("members"))
+    g = S.merged_groups(D.read(s, sf, "part").select(F.col("p_brand").alias("label"), F.col("p_type").alias("member")))
+    return g.select("label", F.size("members").cast("long").alias("types"), F.array_join("members", ",").alias("members"))
 
 
 @query("U10_coverage_note", "SELECT 'large: '||count(*) FILTER (n_chars>5000)||' | empty: '||count(*) FILTER (n_chars=0) AS note FROM documents")
 def _(s, sf):
     n = F.col("n_chars")
-    return D.read(s, sf, "documents").agg(F.concat_ws(" | ", F.concat(F.lit("large: "), F.count_if(n > 5000)), F.concat(F.lit("empty: "), F.count_if(n == 0))).alias("note"))
+    return D.read(s, sf, "documents").agg(R.coverage_note(large=F.count_if(n > 5000), empty=F.count_if(n == 0)).alias("note"))
 
 
-@query("U12_reassembly", "SELECT a.o_orderkey AS k FROM orders a WHERE a.o_orderkey%5=0 AND a.o_orderkey%4<>0 AND sha256(a.o_orderstatus)<>sha256(CASE WHEN a.o_orderkey%3=0 THEN 'X' ELSE a.o_orderstatus END)")
+@query("U12_reassembly", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey%4<>0 AND o_orderkey%7<>0 AND sha256(o_orderstatus)<>sha256(CASE WHEN o_orderkey%3=0 THEN 'X' ELSE o_orderstatus END)")
 def _(s, sf):
-    o = D.read(s, sf, "orders").where("o_orderkey % 5 = 0")
-    after = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.sha2(F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")), 256).alias("ha"))
-    return o.select(F.col("o_orderkey").alias("k"), F.sha2("o_orderstatus", 256).alias("hb")).join(after, "k").where("ha <> hb").select("k")
+    o = D.read(s, sf, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderstatus").alias("source"))
+    after = o.where("file % 4 <> 0").withColumn("source", F.when(F.col("file") % 3 == 0, "X").otherwise(F.col("source")))
+    return S.reassembly_broken(o, after, o.where("file % 7 = 0")).select(F.col("file").alias("k"))
 
 
 @query("T5_blast_order", D.with_("edges") + "SELECT target AS id, count(DISTINCT source) AS n FROM edges GROUP BY 1 ORDER BY n DESC, id LIMIT 100")
 def _(s, sf):
-    return D.edges(s, sf).groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("n")).orderBy(F.col("n").desc(), "id").limit(100)
+    n = D.edges(s, sf).groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("n"))
+    return O.by_count(n, "n", "id", 100)
 
 
 @query("T8_worst_first", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size%5, p_size DESC, p_retailprice DESC, p_partkey) AS n, p_brand FROM part QUALIFY n<=10")
 def _(s, sf):
-    w = W.partitionBy("p_brand").orderBy(F.col("p_size") % 5, F.col("p_size").desc(), F.col("p_retailprice").desc(), "p_partkey")
-    return D.read(s, sf, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("n"), "p_brand").where("n <= 10")
+    rows = D.read(s, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", (F.col("p_size") % 5).alias("rank"), F.col("p_size").alias("complexity"), F.col("p_retailprice").alias("blast"))
+    return O.worst_first(rows, "p_brand", 10).select(F.col("id").alias("p_partkey"), "n", "p_brand")
 
 
 @query("T10_surfacing", "SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey)<=5 THEN 'surfaced' ELSE 'queued' END AS state FROM orders")
@@ -63,13 +71,13 @@ def _(s, sf):
 
 @query("T14_sweep_order", "SELECT o_orderkey FROM orders WHERE o_orderstatus='P' ORDER BY o_custkey%7, o_orderkey LIMIT 300")
 def _(s, sf):
-    return D.read(s, sf, "orders").where("o_orderstatus = 'P'").orderBy(F.col("o_custkey") % 7, "o_orderkey").limit(300).select("o_orderkey")
+    nodes = D.read(s, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 7).alias("wave"), F.lit(False).alias("swept"))
+    return O.sweep_order(nodes, ["P"], 300).select(F.col("id").alias("o_orderkey"))
 
 
 @query("A11_object_health", D.with_("findings") + "SELECT object, count(*) AS n, count(*) FILTER (family='performance') AS perf, arg_min(rule_id, CASE severity WHEN 'p1' THEN '1' WHEN 'p2' THEN '2' WHEN 'p3' THEN '3' ELSE '4' END||rule_id) AS worst FROM findings GROUP BY 1")
 def _(s, sf):
-    rank = F.when(F.col("severity") == "p1", 1).when(F.col("severity") == "p2", 2).when(F.col("severity") == "p3", 3).otherwise(4)
-    return D.findings(s, sf).groupBy("object").agg(F.count("*").alias("n"), F.count_if(F.col("family") == "performance").alias("perf"), F.min(F.struct(rank.alias("r"), "rule_id"))["rule_id"].alias("worst"))
+    return A.object_health(D.findings(s, sf))
 
 
 @query("A10_clarity", "SELECT p_brand AS object, floor(100*(1-avg(greatest(least(1.0,greatest(0.0,(p_size-10)/30.0)), least(1.0,greatest(0.0,(p_retailprice-1000)/1000))))::DOUBLE)*100+0.5)/100::DOUBLE AS clarity FROM part GROUP BY 1")
@@ -87,41 +95,39 @@ def _(s, sf):
 
 @query("A19_size_metrics", D.with_("lines") + "SELECT doc_id, count(*) AS loc, max(length(raw))::BIGINT AS longest, sum(length(raw))::BIGINT AS chars, count(*) FILTER (trim(raw)='') AS blank FROM lines GROUP BY 1")
 def _(s, sf):
-    n = F.length("raw")
-    return D.lines(s, sf).groupBy("doc_id").agg(F.count("*").alias("loc"), F.max(n).cast("long").alias("longest"), F.sum(n).cast("long").alias("chars"), F.count_if(F.trim("raw") == "").alias("blank"))
+    return A.size_metrics(D.lines(s, sf), "doc_id")
 
 
 @query("A20_plan_summary", "SELECT CASE WHEN p_size>40 THEN 'XL' WHEN p_size>20 THEN 'L' ELSE 'S' END AS effort, p_brand AS brand, count(*) AS n FROM part GROUP BY ROLLUP(1,2)")
 def _(s, sf):
     e = F.when(F.col("p_size") > 40, "XL").when(F.col("p_size") > 20, "L").otherwise("S")
-    return D.read(s, sf, "part").select(e.alias("effort"), F.col("p_brand").alias("brand")).rollup("effort", "brand").agg(F.count("*").alias("n"))
+    return A.plan_summary(D.read(s, sf, "part").select(e.alias("effort"), F.col("p_brand").alias("brand")), "effort", "brand")
 
 
 @query("A21_clean_core_debt", D.with_("findings") + "SELECT object, (10*count(*) FILTER (severity='p1')+5*count(*) FILTER (severity='p2')+count(*) FILTER (severity='p3'))::BIGINT AS debt FROM findings GROUP BY 1")
 def _(s, sf):
-    c = lambda x: F.count_if(F.col("severity") == x)
-    return D.findings(s, sf).groupBy("object").agg((10 * c("p1") + 5 * c("p2") + c("p3")).alias("debt"))
+    return A.clean_core_debt(D.findings(s, sf))
 
 
 @query("A23_namespaces_of_names", "SELECT DISTINCT regexp_extract(url, '://[^/]*?([a-z]+\\.[a-z]+)/', 1) AS space FROM pages")
 def _(s, sf):
-    return D.read(s, sf, "pages").select(F.regexp_extract("url", r"://[^/]*?([a-z]+\.[a-z]+)/", 1).alias("space")).distinct()
+    return A.namespaces_of(D.read(s, sf, "pages"), "url", r"://[^/]*?([a-z]+\.[a-z]+)/")
 
 
 @query("A27_super_node_keys", "SELECT p_partkey//10 AS node, min(p_size%5)::INT AS rank, max(p_size)::INT AS complexity, max(p_retailprice) AS blast FROM part GROUP BY 1")
 def _(s, sf):
-    return D.read(s, sf, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("node")).agg(F.min(F.col("p_size") % 5).alias("rank"), F.max("p_size").alias("complexity"), F.max("p_retailprice").alias("blast"))
+    members = D.read(s, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("node"), (F.col("p_size") % 5).alias("rank"), F.col("p_size").alias("complexity"), F.col("p_retailprice").alias("blast"))
+    return A.super_node_keys(members, "node")
 
 
 @query("A29_feature_tallies", D.with_("statements") + "SELECT file, count(*) FILTER (kind='Loop') AS loops, count(*) FILTER (kind='Select') AS selects, count(*) FILTER (kind='AuthorityCheck') AS checks, count(DISTINCT kind) AS kinds FROM statements GROUP BY 1")
 def _(s, sf):
-    c = lambda x: F.count_if(F.col("kind") == x)
-    return D.statements(s, sf).groupBy("file").agg(c("Loop").alias("loops"), c("Select").alias("selects"), c("AuthorityCheck").alias("checks"), F.countDistinct("kind").alias("kinds"))
+    return A.kind_tallies(D.statements(s, sf), "file", loops="Loop", selects="Select", checks="AuthorityCheck")
 
 
 @query("A31_lint_summary", D.with_("findings") + "SELECT count(*) FILTER (severity='p1') AS errors, count(*) FILTER (severity<>'p1') AS warnings FROM findings")
 def _(s, sf):
-    return D.findings(s, sf).agg(F.count_if(F.col("severity") == "p1").alias("errors"), F.count_if(F.col("severity") != "p1").alias("warnings"))
+    return A.lint_summary(D.findings(s, sf), "p1")
 
 
 @query("A32_coverage", "SELECT p_brand AS node, CASE WHEN sum(p_size) FILTER (p_partkey%2=0)=0 THEN NULL ELSE floor(100.0::DOUBLE*sum(CASE WHEN p_partkey%4=0 THEN p_size ELSE 0 END) FILTER (p_partkey%2=0)/sum(p_size) FILTER (p_partkey%2=0)*100+0.5)/100 END::DOUBLE AS pct FROM part GROUP BY 1")
@@ -132,13 +138,13 @@ def _(s, sf):
 
 @query("A33_status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def _(s, sf):
-    return D.read(s, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return A.status_counts(D.read(s, sf, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
 @query("W13_bounded_history", D.with_("statements") + "SELECT file, string_agg(substr(kind,1,1), '' ORDER BY ts, seq) AS series FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, seq DESC) AS r FROM statements) WHERE r<=5 GROUP BY 1")
 def _(s, sf):
-    last = D.statements(s, sf).withColumn("r", F.row_number().over(W.partitionBy("file").orderBy(F.col("ts").desc(), F.col("seq").desc()))).where("r <= 5")
-    return last.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ts", "seq", F.substring("kind", 1, 1).alias("k"))))["k"], "").alias("series"))
+    last = Q.last_series(D.statements(s, sf), "file", ["ts", "seq"], F.substring("kind", 1, 1))
+    return last.select("file", F.array_join("series", "").alias("series"))
 
 
 @query("W6_latest_fill", D.with_("statements") + ", x AS (SELECT *, last_value(CASE WHEN kind='Other' THEN value END IGNORE NULLS) OVER (PARTITION BY file ORDER BY ts,seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS guard FROM statements) SELECT file, seq, guard FROM x WHERE kind='Select'")
@@ -148,18 +154,19 @@ def _(s, sf):
 
 @query("X2_strip_quotes", "SELECT event_id, regexp_replace(props, '[{}\"]', '', 'g') AS plain FROM events")
 def _(s, sf):
-    return D.read(s, sf, "events").select("event_id", F.regexp_replace("props", r'[{}"]', "").alias("plain"))
+    return D.read(s, sf, "events").select("event_id", X.strip_quotes(F.col("props"), '{}"').alias("plain"))
 
 
 @query("X4_captures", "SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, 'href=\"/([^\"]*)', 1))::BIGINT AS links FROM pages")
 def _(s, sf):
-    return D.read(s, sf, "pages").select("page_id", F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r'href="/([^"]*)'), F.lit(1))).cast("long").alias("links"))
+    h = F.col("html")
+    return D.read(s, sf, "pages").select("page_id", X.capture(h, r"<title>([^<]*)").alias("title"), F.size(X.captures(h, r'href="/([^"]*)')).cast("long").alias("links"))
 
 
-@query("X9_source_hash", "SELECT sha256(string_agg(sha256(doc_id||'|'||text), '||' ORDER BY doc_id)) AS source_hash FROM documents")
+@query("X9_source_hash", "WITH a AS (SELECT doc_id//1024 AS n, sha256(string_agg(sha256(doc_id||'|'||text), '||' ORDER BY doc_id)) AS d FROM documents GROUP BY 1), b AS (SELECT n//1024 AS n, sha256(string_agg(d, '||' ORDER BY n)) AS d FROM a GROUP BY n//1024) SELECT sha256(string_agg(d, '||' ORDER BY n)) AS source_hash FROM b")
 def _(s, sf):
-    each = D.read(s, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", "d")))["d"], "||"), 256).alias("source_hash"))
+    each = D.read(s, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("source_hash"))
+    return A.range_digest(each, "doc_id", "source_hash", levels=3)
 
 
 @query("X20_impact", D.with_("edges") + ", n AS (SELECT target AS id, count(DISTINCT source) AS n FROM edges GROUP BY 1) SELECT id, CASE WHEN n>=50 THEN 'critical' WHEN n>=20 THEN 'high' WHEN n>=5 THEN 'medium' ELSE 'low' END AS impact FROM n")
@@ -181,8 +188,8 @@ def _(s, sf):
 
 @query("X26_disposition_hint", D.with_("findings") + "SELECT family, CASE WHEN family='abaplint' THEN 'style' WHEN family LIKE '%api%' THEN 'replace' WHEN family LIKE 'dep%' THEN 'migrate' ELSE 'style' END AS hint, count(*) AS n FROM findings GROUP BY 1,2")
 def _(s, sf):
-    f = F.col("family")
-    return D.findings(s, sf).groupBy("family", F.when(f == "abaplint", "style").when(f.rlike("api"), "replace").when(f.rlike("^dep"), "migrate").otherwise("style").alias("hint")).agg(F.count("*").alias("n"))
+    hint = X.disposition_hint(F.lit(None).cast("string"), F.col("family"), [("api", "replace"), ("^dep", "migrate")])
+    return D.findings(s, sf).groupBy("family", hint.alias("hint")).agg(F.count("*").alias("n"))
 
 
 @query("X40_confidence", "SELECT o_custkey, floor(least(0.95::DOUBLE, 0.6::DOUBLE+0.15::DOUBLE*(count(*)-1))*100+0.5)/100::DOUBLE AS confidence FROM orders GROUP BY 1")
@@ -193,8 +200,8 @@ def _(s, sf):
 @query("G27_group_evidence", D.with_("edges") + "SELECT target AS grp, count(*) AS members, count(*) FILTER (source IN (SELECT source FROM edges WHERE kind='uses-table')) AS linked FROM edges WHERE kind='inherits' GROUP BY 1")
 def _(s, sf):
     e = D.edges(s, sf)
-    linked = e.where("kind = 'uses-table'").select("source").distinct().withColumn("l", F.lit(1))
-    return e.where("kind = 'inherits'").join(linked, "source", "left").groupBy(F.col("target").alias("grp")).agg(F.count("*").alias("members"), F.count("l").alias("linked"))
+    members = e.where("kind = 'inherits'").select(F.col("target").alias("grp"), F.col("source").alias("id"))
+    return G.group_evidence(members, e.where("kind = 'uses-table'").select(F.col("source").alias("id")))
 
 
 @query("G28_dropped_dependencies", D.with_("edges") + ", r AS (SELECT 'P'||p_partkey AS id FROM part WHERE p_partkey%13=0 UNION ALL SELECT 'S'||s_suppkey FROM supplier WHERE s_suppkey%4=0) SELECT DISTINCT source, target FROM edges WHERE target IN (SELECT id FROM r) AND source NOT IN (SELECT id FROM r)")
@@ -211,8 +218,8 @@ def _(s, sf):
 
 @query("C7_builtin_severity", "SELECT event_type, CASE event_type WHEN 'error' THEN 'p2' WHEN 'view' THEN 'p3' ELSE 'info' END AS severity, count(*) AS n FROM events GROUP BY 1,2")
 def _(s, sf):
-    t = F.col("event_type")
-    return D.read(s, sf, "events").groupBy("event_type", F.when(t == "error", "p2").when(t == "view", "p3").otherwise("info").alias("severity")).agg(F.count("*").alias("n"))
+    given = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "view", "Warning").otherwise("Info")
+    return D.read(s, sf, "events").groupBy("event_type", N.builtin_severity(F.col("event_type"), given).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @query("C12_dispositions", "SELECT p_partkey, CASE WHEN p_partkey%4=0 AND p_size%4=0 THEN 'retire' WHEN p_partkey%4=0 THEN 'park' WHEN p_size%4=3 THEN 'keep' WHEN p_size%4=2 AND p_size<20 THEN 'wrap' WHEN p_size%4=2 THEN 'refactor' WHEN p_size>40 THEN 'rearchitect' ELSE 'rebuild' END AS disposition FROM part")
@@ -223,7 +230,8 @@ def _(s, sf):
 
 @query("C15_needs_reasoning", "SELECT o_orderkey, o_totalprice%1<0.9 OR o_custkey%20>10 AS needs FROM orders".replace("o_totalprice%1<0.9", "o_shift<0.9").replace("FROM orders", "FROM (SELECT *, (o_orderkey%100)/100.0::DOUBLE AS o_shift FROM orders)"))
 def _(s, sf):
-    return D.read(s, sf, "orders").select("o_orderkey", (((F.col("o_orderkey") % 100) / 100.0 < 0.9) | (F.col("o_custkey") % 20 > 10)).alias("needs"))
+    needs = P.needs_reasoning((F.col("o_orderkey") % 100) / 100.0, F.col("o_custkey") % 20, F.lit(1), F.lit(False))
+    return D.read(s, sf, "orders").select("o_orderkey", needs.alias("needs"))
 
 
 @query("D8_ratchet", "SELECT d.doc_id, CASE WHEN l.n IS NULL THEN 'no-evidence' WHEN d.doc_id%3=0 THEN 'no-baseline' WHEN l.n>0 THEN 'above-ceiling' ELSE 'pass' END AS gate FROM documents d LEFT JOIN (SELECT doc_id, sum(toxic)::BIGINT AS n FROM labels GROUP BY 1) l USING(doc_id)")
@@ -241,21 +249,19 @@ def _(s, sf):
 
 @query("D23_rule_gate", D.with_("findings") + "SELECT object, bool_or(severity='p1' AND rule_id IN ('RF','AF')) AS blocked FROM findings GROUP BY 1")
 def _(s, sf):
-    return D.findings(s, sf).groupBy("object").agg(F.max((F.col("severity") == "p1") & F.col("rule_id").isin("RF", "AF")).alias("blocked"))
+    return P.rule_gate(D.findings(s, sf), ("RF", "AF"))
 
 
 @query("J12_unbound_operations", "SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal<0)")
 def _(s, sf):
-    c = D.read(s, sf, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("s_nationkey"))
-    return D.read(s, sf, "supplier").select("s_nationkey").distinct().join(c, "s_nationkey", "left_anti")
+    handlers = D.read(s, sf, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("s_nationkey"))
+    return J.unbound(D.read(s, sf, "supplier"), handlers, ["s_nationkey"])
 
 
 @query("J14_unmentioned", "SELECT p.n_name FROM nation p WHERE NOT EXISTS (SELECT 1 FROM pages WHERE contains(lower(html), lower(p.n_name)))")
 def _(s, sf):
-    names = [r["n_name"] for r in D.read(s, sf, "nation").select("n_name").limit(1000).collect()]  # a closed list of a few names
-    hit = F.array_compact(F.array(*[F.when(F.lower("html").contains(n.lower()), F.lit(n)) for n in names]))
-    found = D.read(s, sf, "pages").select(F.explode(hit).alias("n_name")).distinct()
-    return D.read(s, sf, "nation").select("n_name").join(found, "n_name", "left_anti")
+    names = J.unmentioned(D.read(s, sf, "nation").select(F.col("n_name").alias("name")), D.read(s, sf, "pages").select(F.col("html").alias("text")))
+    return names.select(F.col("name").alias("n_name"))
 
 
 @query("A28_member_summary", "SELECT p_brand AS node, ['D','C','B','A'][min(p_size%4)+1] AS worst, max(p_size)::INT AS complexity, sum(p_size)::BIGINT AS blast FROM part GROUP BY 1")

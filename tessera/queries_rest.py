@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera import queries_facts as facts
+from tessera.functions import scalars as X
 from tessera.operators import graph as G
 from tessera.operators import joins as J
+from tessera.operators import orders as O  # noqa: E741
+from tessera.operators import predicates as K
 from tessera.plans import documents as M
 from tessera.plans import facts as P
 from tessera.queries import query
 from tessera.queries_schedule import ORACLES, QUERIES
 from tessera.sources import adapters as D
+from tessera.sources import records as R
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -23,7 +25,7 @@ def _key(prefix, col):
 
 @query("F11_transformations", D.with_("findings") + "SELECT object, count(*) AS n FROM findings WHERE family IS NOT NULL AND family<>'abaplint' GROUP BY 1")
 def _(s, sf):
-    return D.findings(s, sf).where("family <> 'abaplint'").groupBy("object").agg(F.count("*").alias("n"))
+    return D.findings(s, sf).where(K.transformation(F.col("family"))).groupBy("object").agg(F.count("*").alias("n"))
 
 
 @query("F13_owners", "SELECT event_id, coalesce(CASE WHEN event_id%3=0 THEN 'O'||user_id END, split_part('Z'||user_id||'.'||event_type, '.', 1)) AS owner FROM events")
@@ -33,104 +35,100 @@ def _(s, sf):
 
 @query("F14_digest_projections", D.with_("findings") + "SELECT object, rule_id, severity, family, message FROM findings WHERE severity='p1'")
 def _(s, sf):
-    return D.findings(s, sf).where("severity = 'p1'").select("object", "rule_id", "severity", "family", "message")
+    return R.digest_findings(D.findings(s, sf).where("severity = 'p1'"))
 
 
 @query("J3_source_lines", D.with_("lines") + "SELECT d.doc_id, 1+d.n_chars%40 AS line, sha256(coalesce(raw,'')) AS digest FROM documents d LEFT JOIN lines l ON l.doc_id=d.doc_id AND l.line=1+d.n_chars%40")
 def _(s, sf):
-    f = D.read(s, sf, "documents").select("doc_id", (1 + F.col("n_chars") % 40).alias("line"))
-    return f.join(D.lines(s, sf), ["doc_id", "line"], "left").select("doc_id", "line", F.sha2(F.coalesce("raw", F.lit("")), 256).alias("digest"))
+    f = D.read(s, sf, "documents").select(F.col("doc_id").alias("file"), (1 + F.col("n_chars") % 40).alias("line"))
+    return R.source_lines(f, D.lines(s, sf).withColumnRenamed("doc_id", "file")).select(F.col("file").alias("doc_id"), "line", F.sha2("raw", 256).alias("digest"))
 
 
 @query("J4_file_owners", "SELECT o_orderkey, coalesce('C'||c.c_custkey, upper('f'||o_orderkey)) AS owner FROM orders o LEFT JOIN customer c ON c.c_custkey=o.o_custkey AND c.c_acctbal>0")
 def _(s, sf):
-    c = D.read(s, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), _key("C", "c_custkey").alias("known"))
-    fallback = F.upper(F.substring_index(F.concat(_key("f", "o_orderkey"), F.lit(".prog.abap")), ".", 1))
-    return D.read(s, sf, "orders").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("known", fallback).alias("owner"))
+    o = D.read(s, sf, "orders").select("o_orderkey", "o_custkey", F.concat(_key("src/f", "o_orderkey"), F.lit(".prog.abap")).alias("file"))
+    c = D.read(s, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), _key("C", "c_custkey").alias("object"))
+    return R.file_owners(o, o.join(c, "o_custkey")).select("o_orderkey", "owner")
 
 
 @query("J5_domains", "SELECT s_suppkey, n_name AS domain FROM supplier JOIN nation ON upper('n'||s_nationkey)='N'||n_nationkey WHERE n_regionkey<3")
 def _(s, sf):
-    n = D.read(s, sf, "nation").where("n_regionkey < 3").select(_key("N", "n_nationkey").alias("k"), F.col("n_name").alias("domain"))
-    return D.read(s, sf, "supplier").withColumn("k", F.upper(_key("n", "s_nationkey"))).join(n, "k").select("s_suppkey", "domain")
+    domains = D.read(s, sf, "nation").where("n_regionkey < 3").select(_key("N", "n_nationkey").alias("domain"), "n_name")
+    elements = D.read(s, sf, "supplier").select("s_suppkey", _key("n", "s_nationkey").alias("domain"))
+    return J.element_domains(elements, domains).select("s_suppkey", F.col("n_name").alias("domain"))
 
 
 @query("J6_table_keys", "SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'unknown-table' WHEN l_quantity<=p_size THEN 'covered' ELSE 'partial' END AS verdict FROM lineitem LEFT JOIN part ON p_partkey=l_partkey AND p_partkey%5<>0")
 def _(s, sf):
-    p = D.read(s, sf, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    v = F.when(F.col("p_size").isNull(), "unknown-table").when(F.col("l_quantity") <= F.col("p_size"), "covered").otherwise("partial")
-    return D.read(s, sf, "lineitem").join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", v.alias("verdict"))
+    tables = D.read(s, sf, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    return J.key_coverage(D.read(s, sf, "lineitem"), tables, "l_partkey", F.col("l_quantity") <= F.col("p_size")).select("l_orderkey", "l_linenumber", "verdict")
 
 
 @query("J7_strict_classes", "SELECT s_suppkey, m.strict FROM supplier JOIN (SELECT l_suppkey, max(l_linenumber) AS strict FROM lineitem WHERE l_returnflag='A' GROUP BY 1) m ON l_suppkey=s_suppkey")
 def _(s, sf):
-    m = D.read(s, sf, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_linenumber").alias("strict"))
-    return D.read(s, sf, "supplier").join(m, "s_suppkey").select("s_suppkey", "strict")
+    behaviors = D.read(s, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("class"), F.col("l_linenumber").alias("strict"))
+    return J.strict_classes(D.read(s, sf, "supplier").select(F.col("s_suppkey").alias("class")), behaviors).select(F.col("class").alias("s_suppkey"), "strict")
 
 
 @query("J9_theta_rules", "SELECT page_id, r.id AS rule_id FROM pages, (VALUES ('script','<script'),('nav','<nav'),('number','[0-9]{4}')) r(id,p) WHERE regexp_matches(html, r.p)")
 def _(s, sf):
-    hits = F.array_compact(F.array(*[F.when(F.col("html").rlike(p), F.lit(n)) for n, p in (("script", "<script"), ("nav", "<nav"), ("number", "[0-9]{4}"))]))
-    return D.read(s, sf, "pages").select("page_id", F.explode(hits).alias("rule_id"))
+    return K.text_hits(D.read(s, sf, "pages"), [("script", "<script"), ("nav", "<nav"), ("number", "[0-9]{4}")], "html").select("page_id", "rule_id")
 
 
 @query("J10_service_chain", "SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1,2")
 def _(s, sf):
     r, n, p = (D.read(s, sf, t) for t in ("region", "nation", "supplier"))
-    by = p.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    return r.withColumnRenamed("r_regionkey", "n_regionkey").join(n, "n_regionkey").join(by, "n_nationkey").select("r_name", "n_name", "n")
+    views = p.groupBy(F.col("s_nationkey").alias("entity")).agg(F.count("*").alias("n"))
+    return J.service_chain(r.withColumnRenamed("r_regionkey", "definition"), n.select(F.col("n_regionkey").alias("definition"), F.col("n_nationkey").alias("entity"), "n_name"), views).select("r_name", "n_name", "n")
 
 
 @query("J11_extensions", "SELECT page_id, l.doc_id FROM (SELECT page_id, regexp_extract(url,'/([0-9]+)',1) AS k FROM pages) p JOIN documents l ON l.doc_id::VARCHAR=p.k")
 def _(s, sf):
-    d = D.read(s, sf, "documents").select(F.col("doc_id").cast("string").alias("k"), "doc_id")
-    return D.read(s, sf, "pages").withColumn("k", F.regexp_extract("url", "/([0-9]+)", 1)).join(d, "k").select("page_id", "doc_id")
+    views = D.read(s, sf, "documents").select(F.col("doc_id").cast("string").alias("view"), "doc_id")
+    return J.extended_views(D.read(s, sf, "pages"), views, F.regexp_extract("url", "/([0-9]+)", 1)).select("page_id", "doc_id")
 
 
 @query("J15_batch_siblings", "SELECT p_partkey FROM part p WHERE p_partkey%3=0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand=p.p_brand AND q.p_size=p.p_size AND q.p_partkey%3=1)")
 def _(s, sf):
-    p = D.read(s, sf, "part")
-    return p.where("p_partkey % 3 = 0").join(p.where("p_partkey % 3 = 1").select("p_brand", "p_size").distinct(), ["p_brand", "p_size"], "left_anti").select("p_partkey")
+    k = F.col("p_partkey") % 3
+    return J.without_sibling(D.read(s, sf, "part"), k == 0, k == 1, ["p_brand", "p_size"]).select("p_partkey")
 
 
-@query("J16_reciprocals", "WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey<=100 AND l_suppkey<=100) SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.a=e.b AND r.b=e.a)")
+@query("J16_reciprocals", "WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.a=e.b AND r.b=e.a)")
 def _(s, sf):
-    e = D.read(s, sf, "lineitem").where("l_partkey <= 100 and l_suppkey <= 100").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    return J.unreciprocated(D.read(s, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
 
 
 @query("S12_business_functions", "SELECT p_partkey, 'BF'||(p_size%10) AS bf FROM part WHERE p_size%10 IN (SELECT n_nationkey FROM nation WHERE n_regionkey=1)")
 def _(s, sf):
-    off = D.read(s, sf, "nation").where("n_regionkey = 1").select(_key("BF", "n_nationkey").alias("bf"))
-    return D.read(s, sf, "part").select("p_partkey", F.concat(F.lit("BF"), (F.col("p_size") % 10).cast("string")).alias("bf")).join(off, "bf", "left_semi")
+    functions = D.read(s, sf, "nation").where("n_regionkey = 1").select(_key("BF", "n_nationkey").alias("bf"), F.lit("always-off").alias("state"))
+    objects = D.read(s, sf, "part").select("p_partkey", F.concat(F.lit("BF"), (F.col("p_size") % 10).cast("string")).alias("bf"))
+    return R.always_off(objects, functions).select("p_partkey", "bf")
 
 
 @query("S11_provenance", "SELECT doc_id, CASE WHEN doc_id%3=0 THEN NULL ELSE doc_id%3=1 END AS matches_sidecar FROM documents")
 def _(s, sf):
-    d = D.read(s, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    sidecar = d.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.col("sha")).otherwise("0").alias("noted"))
-    return d.join(sidecar, "doc_id", "left").select("doc_id", (F.col("sha") == F.col("noted")).alias("matches_sidecar"))
+    d = D.read(s, sf, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("content"))
+    sidecar = d.where("name % 3 <> 0").select("name", F.when(F.col("name") % 3 == 1, F.sha2("content", 256)).otherwise("0").alias("sha256"))
+    return R.provenance(d, sidecar).select(F.col("name").alias("doc_id"), "matches_sidecar")
 
 
 @query("S17_datasets", "SELECT coalesce(u.k,m.k) AS object, u.n AS uses, m.n AS changes FROM (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type='view' GROUP BY 1) u FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type='error' AND value>50 GROUP BY 1) m ON u.k=m.k")
 def _(s, sf):
     e = D.read(s, sf, "events").withColumnRenamed("user_id", "object")
-    u = e.where("event_type = 'view'").groupBy("object").agg(F.count("*").alias("uses"))
-    return u.join(e.where("event_type = 'error' and value > 50").groupBy("object").agg(F.count("*").alias("changes")), "object", "full")
+    count = lambda rows, name: rows.groupBy("object").agg(F.count("*").alias(name))
+    return R.dataset(count(e.where("event_type = 'view'"), "uses"), count(e.where("event_type = 'error' and value > 50"), "changes"))
 
 
 @query("G1_nodes", D.with_("nodes", "edges") + "SELECT id, coalesce(max(kind),'unknown') AS kind FROM (SELECT id, kind FROM nodes WHERE kind<>'table' UNION ALL SELECT source, NULL FROM edges UNION ALL SELECT target, NULL FROM edges) GROUP BY 1")
 def _(s, sf):
-    e = D.edges(s, sf)
-    ends = e.select(F.col("source").alias("id")).union(e.select("target")).distinct().withColumn("kind", F.lit(None).cast("string"))
-    return D.nodes(s, sf).where("kind <> 'table'").select("id", "kind").unionByName(ends).groupBy("id").agg(F.coalesce(F.max("kind"), F.lit("unknown")).alias("kind"))
+    return G.build_nodes(D.nodes(s, sf).where("kind <> 'table'"), D.edges(s, sf))
 
 
 @query("G8_node_cap", "SELECT n_name, s_suppkey, r<=3 AS kept FROM (SELECT n_name, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier JOIN nation ON n_nationkey=s_nationkey)")
 def _(s, sf):
     n = D.read(s, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    r = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return D.read(s, sf, "supplier").join(n, "s_nationkey").select("n_name", "s_suppkey", (r <= 3).alias("kept"))
+    return G.capped(D.read(s, sf, "supplier").join(n, "s_nationkey"), "s_nationkey", "s_suppkey", 3).select("n_name", "s_suppkey", "kept")
 
 
 @query("G16_waves", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey//2 AS b FROM part WHERE p_partkey BETWEEN 1 AND 900 UNION SELECT p_partkey, p_partkey//3 FROM part WHERE p_partkey BETWEEN 1 AND 900), w(id, n) AS (SELECT 0::BIGINT, 0 UNION SELECT e.a, w.n+1 FROM e JOIN w ON w.id=e.b AND e.a<>e.b) SELECT id, max(n)::BIGINT AS level FROM w GROUP BY 1")
@@ -145,44 +143,36 @@ def _(s, sf):
     return G.object_graph(D.edges(s, sf), D.nodes(s, sf)).groupBy(F.col("source_owner").alias("object")).agg(F.countDistinct("target_owner").alias("needs"))
 
 
-def possible_cycles(edges):
-    e = edges.where("a <> b").distinct()
-    members = P.condensed(edges)[0]
-    j = e.join(members.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(members.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-    return j.select("a", "b", (F.col("ra") == F.col("rb")).alias("possible_cycle"))
-
-
 @query("G26_possible_cycles", "WITH RECURSIVE " + D.SQL["cyc"] + ", r(a,b) AS (SELECT a,b FROM cyc UNION SELECT r.a, cyc.b FROM r JOIN cyc ON cyc.a=r.b) SELECT DISTINCT c.a, c.b, EXISTS (SELECT 1 FROM r WHERE r.a=c.b AND r.b=c.a) AS possible_cycle FROM cyc c WHERE c.a<>c.b")
 def _(s, sf):
-    return possible_cycles(D.cyclic_edges(s, sf))
+    return G.possible_cycles(D.cyclic_edges(s, sf))
 
 
 @query("G15_feedback_arcs")
 def _(s, sf):
-    return M.feedback_arcs(D.cyclic_edges(s, sf, None), 4)
+    return M.feedback_arcs(D.cyclic_edges(s, sf), 4)
 
 
 @query("T6_debt_order", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey) AS symbols FROM orders GROUP BY 1")
 def _(s, sf):
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey")))
-    return D.read(s, sf, "orders").groupBy("o_custkey").agg(F.array_join(rows["o_orderkey"].cast("array<string>"), ",").alias("symbols"))
+    return O.debt_order(D.read(s, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
 @query("T9_shape_order", "SELECT p_brand, p_partkey, r::INT AS place FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part) WHERE r<=3")
 def _(s, sf):
-    r = F.row_number().over(W.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey"))
-    return D.read(s, sf, "part").select("p_brand", "p_partkey", r.alias("place")).where("place <= 3")
+    rows = D.read(s, sf, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").alias("score"))
+    return O.best_shapes(rows, "p_brand", 3).select("p_brand", F.col("id").alias("p_partkey"), "place")
 
 
 @query("T2_json_order", "SELECT s_nationkey, sha256(string_agg('{\"id\":\"S'||s_suppkey||'\",\"kind\":\"class\"}', ',' ORDER BY '{\"id\":\"S'||s_suppkey||'\",\"kind\":\"class\"}')) AS digest FROM supplier GROUP BY 1")
 def _(s, sf):
-    text = F.to_json(F.struct(_key("S", "s_suppkey").alias("id"), F.lit("class").alias("kind")))
-    return D.read(s, sf, "supplier").groupBy("s_nationkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ","), 256).alias("digest"))
+    rows = D.read(s, sf, "supplier").select("s_nationkey", _key("S", "s_suppkey").alias("id"), F.lit("class").alias("kind"))
+    return O.json_order(rows, "s_nationkey", "id", "kind")
 
 
 @query("T13_top_objects", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 200")
 def _(s, sf):
-    return D.read(s, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(200)
+    return O.by_count(D.read(s, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), "n", "l_partkey", 200)
 
 
 @query("X11_node_ids", "SELECT p_partkey, sha256('rule|'||p_brand||'|s'||(p_size%3)) AS id FROM part")
@@ -198,9 +188,7 @@ def _(s, sf):
 
 @query("X39_brief", D.with_("findings") + "SELECT object, string_agg(rule_id||' x'||n, '; ' ORDER BY rule_id) AS brief FROM (SELECT object, rule_id, count(*) AS n FROM findings GROUP BY 1,2) GROUP BY 1")
 def _(s, sf):
-    n = D.findings(s, sf).groupBy("object", "rule_id").agg(F.count("*").alias("n"))
-    line = F.concat("rule_id", F.lit(" x"), F.col("n").cast("string"))
-    return n.groupBy("object").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rule_id", line.alias("t"))))["t"], "; ").alias("brief"))
+    return P.brief(D.findings(s, sf))
 
 
 @query("V2_digest_errors", "SELECT s_nationkey, len(list_filter([CASE WHEN s_nationkey%4=0 THEN 1 END, CASE WHEN count(*)>3 THEN 1 END, CASE WHEN bool_or(s_suppkey%7=0) THEN 1 END], lambda x: x IS NOT NULL))::INT AS errors FROM supplier GROUP BY 1")
@@ -229,12 +217,12 @@ def _(s, sf):
 
 @query("X5_escape", "SELECT p_partkey, regexp_replace(p_name||'.*(x)', '([.*+?^$(){}|\\[\\]\\\\])', '\\\\\\1', 'g') AS escaped FROM part")
 def _(s, sf):
-    return D.read(s, sf, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit(".*(x)")), r"([.*+?^$(){}|\[\]\\])", r"\\$1").alias("escaped"))
+    return D.read(s, sf, "part").select("p_partkey", X.escape_pattern(F.concat("p_name", F.lit(".*(x)"))).alias("escaped"))
 
 
 @query("X7_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(s, sf):
-    return D.read(s, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return D.read(s, sf, "documents").select("doc_id", X.sha256_hex(F.col("text")).alias("digest"))
 
 
 @query("X10_config_hash", "SELECT p_partkey, sha256('{\"brand\":\"'||p_brand||'\",\"size\":'||p_size||'}') AS config_hash FROM part")
@@ -249,57 +237,3 @@ def _(s, sf):
     from tessera.plans.features import check_only_document
 
     return check_only_document(D.findings(s, sf).where("line > 1 or object like '%7'")).select("objects", "p1", "p2", "readiness")
-
-
-# ------------------------------------------------------------ whole tables, where the SQL of a query reads a part of them
-
-
-@query("G12_strong_components_whole")
-def _(s, sf):
-    return G.strong_components(D.cyclic_edges(s, sf, None))
-
-
-@query("G13_condensation_whole")
-def _(s, sf):
-    return P.condensed(D.cyclic_edges(s, sf, None))[1]
-
-
-@query("G21_reached_facts_whole")
-def _(s, sf):
-    return P.reached(facts._facts(s, sf), facts._string_edges(s, sf, None))
-
-
-@query("G22_ancestors_whole")
-def _(s, sf):
-    inside = D.read(s, sf, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))  # the plan's nodes among all
-    return P.in_plan_ancestors(facts._string_edges(s, sf, None), inside)
-
-
-@query("G23_conflict_groups_whole")
-def _(s, sf):
-    return G.components(D.cyclic_edges(s, sf, None))
-
-
-@query("G26_possible_cycles_whole")
-def _(s, sf):
-    return possible_cycles(D.cyclic_edges(s, sf, None))
-
-
-@query("G11_pagerank_whole")
-def _(s, sf):
-    from tessera.functions.scalars import round_half_up
-
-    ranks = G.pagerank(D.cyclic_edges(s, sf, None).select(F.col("a").alias("source"), F.col("b").alias("target")), 30, tolerance=1e-6)
-    return ranks.crossJoin(F.broadcast(ranks.agg(F.max("rank").alias("top")))).select("id", round_half_up(F.col("rank") / F.col("top"), 4).alias("rank"))
-
-
-@query("J16_reciprocals_whole")
-def _(s, sf):
-    e = D.read(s, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-
-
-@query("G24_program_pools_whole")
-def _(s, sf):
-    p = D.read(s, sf, "part")
-    return G.components(p.select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 3).cast("long").alias("b")))

@@ -42,9 +42,9 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def cyclic_edges(spark: SparkSession, sf: str, below: int | None = 500) -> DataFrame:
-    """a, b: a tree over the parts, with local rings; of the parts below 500 for the queries that have SQL, of all if `below` is None."""
-    p = read(spark, sf, "part").where("true" if below is None else f"p_partkey < {below}").select(F.col("p_partkey").cast("long").alias("a"))
+def cyclic_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """a, b: a tree over all parts, with local rings."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("a"))
     tree = p.where("a >= 1").select("a", F.floor(F.col("a") / 2).cast("long").alias("b"))
     ring = p.where("a % 50 < 10").select("a", (10 * F.floor(F.col("a") / 10) + (F.col("a") + 1) % 10).cast("long").alias("b"))
     return tree.union(ring)
@@ -90,7 +90,7 @@ SQL = {
     "edges": """edges AS (SELECT 'C'||c_custkey AS source,'N'||c_nationkey AS target,'calls' AS kind,NULL::VARCHAR AS access FROM customer
  UNION ALL SELECT 'S'||s_suppkey,'N'||s_nationkey,'inherits',NULL FROM supplier UNION ALL SELECT 'N'||n_nationkey,'R'||n_regionkey,'consumes-cds',NULL FROM nation
  UNION ALL SELECT DISTINCT 'S'||l_suppkey,'P'||l_partkey,'uses-table',CASE WHEN l_returnflag='R' THEN 'write' ELSE 'read' END FROM lineitem)""",
-    "cyc": """p AS (SELECT p_partkey::BIGINT AS a FROM part WHERE p_partkey<500), cyc AS (SELECT a, a//2 AS b FROM p WHERE a>=1 UNION ALL SELECT a, 10*(a//10)+(a+1)%10 FROM p WHERE a%50<10)""",
+    "cyc": """p AS (SELECT p_partkey::BIGINT AS a FROM part), cyc AS (SELECT a, a//2 AS b FROM p WHERE a>=1 UNION ALL SELECT a, 10*(a//10)+(a+1)%10 FROM p WHERE a%50<10)""",
     "registry": """registry0 AS (SELECT p_partkey, 'P'||p_partkey AS name, ['released','classicAPI','deprecated','notToBeReleased','noAPI'][p_size%5+1] AS state, p_partkey%3=0 AS authoritative, 'P'||(p_partkey+1) AS successor FROM part WHERE p_partkey%7<>0),
  registry AS (SELECT name,state,authoritative,successor,CASE state WHEN 'released' THEN 'A' WHEN 'classicAPI' THEN 'B' WHEN 'deprecated' THEN 'C' ELSE 'D' END AS level FROM registry0)""",
     "findings": """findings AS (SELECT l_returnflag||l_linestatus AS rule_id, CASE l_linenumber WHEN 1 THEN 'p1' WHEN 2 THEN 'p2' WHEN 3 THEN 'p3' ELSE 'info' END AS severity,

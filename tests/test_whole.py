@@ -47,10 +47,10 @@ def root(reach):
 
 
 def test_components(spark, edges, root):
-    assert run(spark, "G12_strong_components_whole", "id", "root") == set(root.items())
-    assert run(spark, "G13_condensation_whole", "a", "b") == {(root[a], root[b]) for a, b in edges if root[a] != root[b]}
-    assert run(spark, "G26_possible_cycles_whole", "a", "b", "possible_cycle") == {(a, b, root[a] == root[b]) for a, b in edges if a != b}
-    assert run(spark, "G23_conflict_groups_whole", "id", "root") == {(x, 0) for x in root}
+    assert run(spark, "G12_strong_components", "id", "root") == set(root.items())
+    assert run(spark, "G13_condensation", "a", "b") == {(root[a], root[b]) for a, b in edges if root[a] != root[b]}
+    assert run(spark, "G26_possible_cycles", "a", "b", "possible_cycle") == {(a, b, root[a] == root[b]) for a, b in edges if a != b}
+    assert run(spark, "G23_conflict_groups", "id", "root") == {(x, 0) for x in root}
 
 
 def test_feedback_arcs(spark, edges, root):
@@ -71,7 +71,7 @@ def test_reached_facts(spark, edges, reach):
         for f in known[b] if a != b else ():
             if own.get(a) != f:
                 via.setdefault((f"P{a}", f), set()).add(f"P{b}")
-    assert run(spark, "G21_reached_facts_whole", "object", "fact", "via") == {(*k, min(v)) for k, v in via.items()}
+    assert run(spark, "G21_reached_facts", "object", "fact", "via") == {(*k, min(v)) for k, v in via.items()}
 
 
 def test_ancestors(spark, edges):
@@ -88,7 +88,7 @@ def test_ancestors(spark, edges):
                 if y % 5:
                     todo.append(y)
         want |= {(f"P{x}", f"P{y}") for y in seen if y % 5 == 0 and y != x}
-    assert run(spark, "G22_ancestors_whole", "id", "ancestor") == want
+    assert run(spark, "G22_ancestors", "id", "ancestor") == want
 
 
 def test_pagerank(spark, edges):
@@ -105,18 +105,18 @@ def test_pagerank(spark, edges):
         change, rank = max(abs(new[x] - rank[x]) for x in ids), new
         if change < 1e-6:
             break
-    got = dict(run(spark, "G11_pagerank_whole", "id", "rank"))
+    got = dict(run(spark, "G11_pagerank", "id", "rank"))
     assert set(got) == ids and max(got.values()) == 1
     assert all(abs(got[x] - rank[x] / max(rank.values())) <= 0.000051 for x in ids)
 
 
 def test_reciprocals(spark):
     e = set(sql("select distinct l_suppkey, l_partkey from '{}/lineitem.parquet'"))
-    assert run(spark, "J16_reciprocals_whole", "a", "b") == {(a, b) for a, b in e if (b, a) not in e}
+    assert run(spark, "J16_reciprocals", "a", "b") == {(a, b) for a, b in e if (b, a) not in e}
 
 
 def test_program_pools(spark):
-    assert run(spark, "G24_program_pools_whole", "id", "root") == {(p, 0) for (p,) in sql("select p_partkey from '{}/part.parquet'")}
+    assert run(spark, "G24_program_pools", "id", "root") == {(p, 0) for (p,) in sql("select p_partkey from '{}/part.parquet'")}
 
 
 def test_frontier(spark):
