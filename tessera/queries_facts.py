@@ -19,7 +19,10 @@ NAMES = ("CL_GUI_ALV_GRID", "GUI_UPLOAD", "CL_GUI_CONTAINER", "IDOC_INPUT_ORDERS
 _SQL_NAMES = "[" + ",".join(f"'{n}'" for n in NAMES) + "]"
 #: edges of objects to those names (source, target, kind, access, destination)
 CALLS = f"calls AS (SELECT DISTINCT 'S'||l_suppkey AS source, ({_SQL_NAMES})[l_partkey%{len(NAMES)}+1] AS target, CASE WHEN l_partkey%{len(NAMES)}>=9 THEN 'uses-table' ELSE 'calls' END AS kind, CASE WHEN l_returnflag='R' THEN 'write' END AS access, CASE WHEN l_partkey%{len(NAMES)}=6 AND l_suppkey%2=0 THEN 'DEST' END AS destination FROM lineitem)"
-_CASE = lambda ps, x: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in ps) + " END"
+_OR = lambda parts: "(" + " OR ".join(parts) + ")"
+_CONSTRUCT = lambda x: "CASE " + " ".join(f"WHEN {_OR([f'starts_with({x},{p!r})' for p in starts] + [f'contains({x},{p!r})' for p in held])} THEN '{n}'" for n, (starts, held) in P.CONSTRUCTS.items()) + f" WHEN list_contains(string_split({x},'_'),'RFC') THEN 'remote_rfc' END"
+_WAY = lambda x: "CASE " + " ".join(f"WHEN {_OR([f'starts_with({x},{p!r})' for p in starts])} THEN '{n}'" for n, starts in P.DIRECTIONS.items()) + " END"
+_WRITES = lambda x: _OR([f"starts_with({x},{p!r})" for p in P.WRITERS] + [f"starts_with({x},'BAPI_') AND contains({x},'_{p}')" for p in P.WRITING])
 
 
 def calls(s, sf):
@@ -35,13 +38,13 @@ def objects(s, sf):
     return D.read(s, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("object"))
 
 
-@query("C8_consumption", f"WITH {CALLS}, f AS (SELECT source AS object, coalesce({_CASE(P.CONSTRUCTS, 'target')}, CASE WHEN destination IS NOT NULL THEN 'remote_rfc' END, CASE WHEN target='MARA' THEN 'classic_api_surface' END) AS fact FROM calls UNION ALL SELECT source, {_CASE(P.DIRECTIONS, 'target')} FROM calls) SELECT 'S'||s_suppkey AS object, coalesce((SELECT string_agg(DISTINCT fact, ',' ORDER BY fact) FROM f WHERE f.object='S'||s_suppkey), 'no_surface_evidence') AS facts FROM supplier")
+@query("C8_consumption", f"WITH {CALLS}, f AS (SELECT source AS object, coalesce({_CONSTRUCT('target')}, CASE WHEN destination IS NOT NULL THEN 'remote_rfc' END, CASE WHEN target='MARA' THEN 'classic_api_surface' END) AS fact FROM calls UNION ALL SELECT source, {_WAY('target')} FROM calls) SELECT 'S'||s_suppkey AS object, coalesce((SELECT string_agg(DISTINCT fact, ',' ORDER BY fact) FROM f WHERE f.object='S'||s_suppkey), 'no_surface_evidence') AS facts FROM supplier")
 def _(s, sf):
     facts = calls(s, sf).select(F.col("source").alias("object"), F.explode(P.surface(F.col("target"), F.col("destination"), F.col("target") == "MARA")).alias("fact"))
     return P.with_absence(objects(s, sf), facts, P.NO_SURFACE).select("object", F.array_join("facts", ",").alias("facts"))
 
 
-@query("C9_persistence", f"WITH {CALLS}, f AS (SELECT source AS object, CASE WHEN kind='uses-table' THEN CASE WHEN target[1] IN ('Z','Y') OR target LIKE '/ACME/%' THEN CASE WHEN access='write' THEN 'owns_customer_table' ELSE 'reads_customer_table' END ELSE CASE WHEN access='write' THEN 'writes_sap_table' ELSE 'reads_sap_table' END END WHEN regexp_matches(target,'^[ZY]') THEN NULL WHEN regexp_matches(target, '{P.WRITERS}') THEN 'writes_via_sap_api' END AS fact FROM calls) SELECT 'S'||s_suppkey AS object, coalesce((SELECT string_agg(DISTINCT fact, ',' ORDER BY fact) FROM f WHERE f.object='S'||s_suppkey), 'no_persistence_evidence') AS facts FROM supplier")
+@query("C9_persistence", f"WITH {CALLS}, f AS (SELECT source AS object, CASE WHEN kind='uses-table' THEN CASE WHEN target[1] IN ('Z','Y') OR target LIKE '/ACME/%' THEN CASE WHEN access='write' THEN 'owns_customer_table' ELSE 'reads_customer_table' END ELSE CASE WHEN access='write' THEN 'writes_sap_table' ELSE 'reads_sap_table' END END WHEN regexp_matches(target,'^[ZY]') THEN NULL WHEN {_WRITES('target')} THEN 'writes_via_sap_api' END AS fact FROM calls) SELECT 'S'||s_suppkey AS object, coalesce((SELECT string_agg(DISTINCT fact, ',' ORDER BY fact) FROM f WHERE f.object='S'||s_suppkey), 'no_persistence_evidence') AS facts FROM supplier")
 def _(s, sf):
     own = P.owns(F.col("target"), customer=("/ACME/",))
     facts = calls(s, sf).select(F.col("source").alias("object"), P.persistence(F.col("target"), F.col("kind"), F.col("access"), own).alias("fact")).where("fact is not null")
