@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import hot_join, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Each node hands its larger neighbours to the smallest of its neighbourhood."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+    return hot_join(both, low, ["a"], 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them."""
     down = links.where("a > b")
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+    moved = hot_join(down, low, ["a"], n).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds go on until nothing changes, their number grows with the logarithm of
     the nodes; every round is written to the shared folder.  No row reaches the driver.
+    The links of a node that has many don't meet in one task: it joins by broadcast.
     """
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
@@ -36,5 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         if not row[0] or tuple(row) == state:
             break
         state = tuple(row)
-        now = written(_small_star(_large_star(now)), "links")
+        star = written(_large_star(now, row[0]), "star")
+        now = written(_small_star(star, row[0]), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps, texts, written
+from tessera.llm.common import hot_join, steps, texts, written
 from tessera.llm.graph import components
 
 BUDGET = 4
@@ -228,12 +228,13 @@ def simhash_components(docs: DataFrame, size: int = 4, budget: int = BUDGET, spl
     zero, linked like any other.  A null id takes no part in the smallest id.
     """
     prints = written(fingerprints(docs, size), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    total = prints.count()
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")), "fingerprints")
     linked = components(trie_links(nodes.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("node")), budget, split))
-    roots = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(low, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = written(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "k", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    low = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
+    named = written(hot_join(roots.select("fp", "root", F.col("k").alias("copies")), low, ["root"], total).select("fp", F.col("copies").alias("k"), "component_id"), "named")
+    return hot_join(prints, named, ["fp"], total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Near copies share this much of their shingles.
@@ -406,9 +407,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         dealt_ = dealt_.select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
         blocks = dealt_.join(sets.select("node", "tag", "shingles"), "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
         linked = components(links.union(blocks.mapInArrow(join_blocks, "a long, b long")))
-    first = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    keeper = first.join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("keeper"))
-    return prints.join(keeper, "digest", "left").select("doc_id", "keeper")
+    first = prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("k"))
+    keeper = written(first.join(linked, "node", "left").select("digest", "k", F.coalesce("root", "node").alias("keeper")), "keeper")
+    return hot_join(prints, keeper, ["digest"], prints.count()).select("doc_id", "keeper")
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:

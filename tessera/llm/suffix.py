@@ -37,13 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, id_type, steps, texts, written
+from tessera.llm.common import HOT, flat, hot_join, id_type, steps, texts, written
 
 LENGTH, KEY = 200, 32
 #: Bytes of contexts that go into one suffix array, and contexts of one group that do; larger groups are dealt again.
 BLOCK, CROWD = 1 << 20, 3_000
-#: A key with more than one HOT-th of all rows is joined by broadcast: there are fewer than HOT such keys.
-HOT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -207,13 +205,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def hot_join(rows: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Inner join with right(keys, k, ...), k being the rows of a key among the total: keys with many rows don't meet in one task."""
-    hot = F.col("k") > max(1, total // HOT)
-    large = F.broadcast(right.where(hot))
-    return rows.join(large, keys).unionByName(rows.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys))
-
-
 def anchor_place(context: bytes, length: int, key: int) -> int:
     """Where the anchor of a context's windows is."""
     return int(np.argmin(rolling(np.frombuffer(context[:length], np.uint8), key) & ~np.uint64(0xFFFFFFFF)))

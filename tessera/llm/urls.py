@@ -7,7 +7,8 @@ Urls that no rule fits are judged by two variable-order Markov models, one of th
 rules reject.  Characters are folded to 64 symbols, so a context of up to ORDER symbols is one of a fixed number of cells whatever the
 input; longer contexts are smoothed by shorter ones (counts plus SMOOTH times the shorter context's
 probability).  The models meet in one row, an array of log ratios of 64 ** (ORDER + 1) numbers.  A url's score is the mean log
-ratio of its characters; the cut is where errors on accepted and rejected urls add up to least.  Equal scores at the cut are accepted.
+ratio of its characters; the cut is where errors on accepted and rejected urls add up to least, among urls that the models haven't counted (every fifth
+id; with too few urls for that, all count for both).  Equal scores at the cut are accepted.
 
 Null urls and urls without `://` have an empty host and path; empty texts score 0.  Without rules of both kinds everything is accepted.
 """
@@ -127,16 +128,20 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     for r in reversed(best):
         rule, decided = F.when(fits(r), r.name).otherwise(rule), F.when(fits(r), r.verdict).otherwise(decided)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), decided.alias("decided"), cells(F.col("url")).alias("codes"))
-    known = rows.where("decided is not null").select((F.col("decided") == "allow").alias("accepted"), "codes")
-    kinds = {r["accepted"] for r in known.select("accepted").distinct().collect()}
-    if kinds != {True, False}:
+    rows = rows.withColumn("tunes", F.pmod(F.coalesce(F.expr("try_cast(page_id as long)"), F.lit(0)), F.lit(5)) == 0)
+    known = rows.where("decided is not null").select((F.col("decided") == "allow").alias("accepted"), "codes", "tunes")
+    kinds = {(r["accepted"], r["tunes"]) for r in known.select("accepted", "tunes").distinct().collect()}
+    tunes = F.col("tunes")
+    if len({a for a, _ in kinds}) < 2:
         out = rows.withColumn("score", F.lit(0.0))
         cut = 0.0
     else:
-        one = written(model(known), "urls")  # a single row of fixed size
+        if len(kinds) < 4:  # too few urls to keep some of both kinds apart
+            known, tunes = known.withColumn("tunes", F.lit(False)), F.lit(True)
+        one = written(model(known.where("not tunes")), "urls")  # a single row of fixed size
         out = rows.withColumn("ratios", one.scalar()).withColumn("score", score(F.col("codes"), F.col("ratios")))
         step = F.floor(F.col("score") * STEPS / 10)
-        found = out.where("decided is not null").groupBy(step.alias("s")).agg(F.sum((F.col("decided") == "allow").cast("long")).alias("a"), F.sum((F.col("decided") == "block").cast("long")).alias("b"))
+        found = out.where(F.col("decided").isNotNull() & tunes).groupBy(step.alias("s")).agg(F.sum((F.col("decided") == "allow").cast("long")).alias("a"), F.sum((F.col("decided") == "block").cast("long")).alias("b"))
         cut = best_cut([(r["s"], r["a"], r["b"]) for r in found.orderBy("s").collect()]) * 10 / STEPS  # scores lie within +-20: few rows
     verdict = F.coalesce("decided", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
@@ -172,12 +177,12 @@ def oracle_sql() -> str:
  c AS (SELECT page_id, decided, unnest(string_split(translate(url,'{_UPPER}','{_LOWER}'),'')) AS ch, unnest(range(length(url))) AS i FROM d WHERE url<>''),
  s AS (SELECT page_id, decided, i, CASE WHEN instr('{alphabet}', ch)>0 THEN instr('{alphabet}', ch) ELSE {57}+unicode(ch)%{SYMBOLS - 57} END AS sym FROM c),
  g AS (SELECT page_id, decided, {code} AS code FROM s WINDOW w AS (PARTITION BY page_id ORDER BY i)),
- n AS (SELECT code, count(*) FILTER (decided='allow') AS x1, count(*) FILTER (decided='block') AS x0 FROM g WHERE decided IS NOT NULL GROUP BY 1),
+ n AS (SELECT code, count(*) FILTER (decided='allow') AS x1, count(*) FILTER (decided='block') AS x0 FROM g WHERE decided IS NOT NULL AND page_id%5<>0 GROUP BY 1),
  cells AS (SELECT a.code, coalesce(x1,0) AS x1, coalesce(x0,0) AS x0 FROM (SELECT unnest(range({cells_})) AS code) a LEFT JOIN n ON n.code=a.code){steps},
  v AS (SELECT code, round((ln(p{ORDER}_x1)-ln(p{ORDER}_x0))*1000000)::BIGINT AS v FROM q{ORDER}),
  t AS (SELECT page_id, sum(v)::DOUBLE/1e6::DOUBLE/count(*) AS score FROM g JOIN v USING(code) GROUP BY 1),
  o AS (SELECT d.*, coalesce(t.score,0::DOUBLE) AS score FROM d LEFT JOIN t USING(page_id)),
- b AS (SELECT floor(score*{STEPS}/10)::BIGINT AS s, count(*) FILTER (decided='allow') AS a, count(*) FILTER (decided='block') AS b FROM o WHERE decided IS NOT NULL GROUP BY 1),
+ b AS (SELECT floor(score*{STEPS}/10)::BIGINT AS s, count(*) FILTER (decided='allow') AS a, count(*) FILTER (decided='block') AS b FROM o WHERE decided IS NOT NULL AND page_id%5=0 GROUP BY 1),
  k AS (SELECT s+1 AS s, sum(a) OVER w/(SELECT sum(a) FROM b)::DOUBLE + ((SELECT sum(b) FROM b)-sum(b) OVER w)/(SELECT sum(b) FROM b)::DOUBLE AS e FROM b WINDOW w AS (ORDER BY s) UNION ALL SELECT min(s), 1::DOUBLE FROM b),
  m AS (SELECT s*10/{STEPS}::DOUBLE AS cut FROM k ORDER BY e, s LIMIT 1)
  SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score>=(SELECT cut FROM m) THEN 'allow' ELSE 'block' END) AS verdict, score FROM o"""
