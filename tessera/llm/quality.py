@@ -87,6 +87,7 @@ def learn(rows: list[tuple[str, int]], counts: dict[int, int]) -> Quality:
     up = np.stack([y > k for k in range(len(grades) - 1)], axis=1)
     v[below] = -np.log((up[:, 0] * share).sum() / max(1e-9, (~up[:, 0] * share).sum()))
     m1, m2 = np.zeros(size), np.zeros(size)
+    before = np.inf
     for t in range(1, ROUNDS + 1):
         cuts = v[below] + np.concatenate(([0], np.cumsum(np.exp(v[below + 1 :]))))
         s = np.bincount(row, value * v[slot], len(rows)) * scale + rate @ v[1 << BITS : below]
@@ -95,6 +96,10 @@ def learn(rows: list[tuple[str, int]], counts: dict[int, int]) -> Quality:
         wide = np.concatenate((np.ones((len(y), 1)), p, np.zeros((len(y), 1))), axis=1)
         at = np.arange(len(y))
         prob = np.maximum(wide[at, y] - wide[at, y + 1], 1e-9)
+        loss = -(np.log(prob) * share).sum()
+        if abs(before - loss) < 1e-7 * max(1e-3, loss):
+            break
+        before = loss
         slope = wide * (1 - wide)
         hi, lo = slope[at, y] / prob * share, slope[at, y + 1] / prob * share
         g = np.zeros(size)

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import STEP_BYTES, texts
 
 CELLS, HASHES = 16, 3
+#: Ranges of ids that a corpus is cut into at most: their bounds go into the plan.
+MOST = 20_000
 
 
 def digests(text: str) -> np.ndarray:
@@ -172,12 +174,12 @@ def rows_of(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
 def with_next(docs: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     """bucket, doc_id, text, key, head: rows to be read in order of (bucket, key, head, text).
 
-    Buckets are ranges of ids.  Each ends in a copy of the first row of the next one (head), so a row's next
+    Buckets are ranges of ids, one to a task, MOST at most (a task reads its bucket as a stream).  Each ends in a copy of the first row of the next one (head), so a row's next
     document is the row after it.  The driver holds one id for each bucket.
     """
     rows = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     spark = docs.sparkSession
-    n = max(1, rows.count() // per_bucket, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, min(MOST, rows.count() // per_bucket), int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = [i / n for i in range(1, n)]
     bounds = sorted({int(b) for b in rows.select("key").approxQuantile("key", at, min(0.01, 0.2 / n))}) if at else []
     # binary search for the number of bounds that are not above the key
@@ -193,7 +195,7 @@ def with_next(docs: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     copies = rows.join(lead, "key").groupBy("into", "key").agg(F.min(F.struct("text", "doc_id")).alias("x"))
     heads_df = copies.select(F.col("into").alias("bucket"), "x.doc_id", "x.text", "key", F.lit(True).alias("head"))
     both = rows.withColumn("head", F.lit(False)).unionByName(heads_df)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "head", "key", "text")
+    return both.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "head", "key", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -88,6 +88,26 @@ def test_quality(spark, docs, labels, empty, rows):
     assert (m.cuts[1:] > m.cuts[:-1]).all() and tails[0, 0] < 0.5 < tails[1, 0] and tails[1, 1] < 0.5 < tails[2, 1]
 
 
+def test_quality_optimum():
+    """The fitted cuts and the scale of the weights are where a plain search over them ends too."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 12, p=p)), y) for y, p in enumerate(([0.55, 0.15, 0.15, 0.15], [0.25, 0.25, 0.25, 0.25], [0.15, 0.15, 0.15, 0.55])) for _ in range(60)]
+    m = quality.learn(rows, {0: 60, 1: 60, 2: 60})
+    s, y = m.scores([t for t, _ in rows]), np.array([v for _, v in rows])
+
+    def loss(scale, first, step):
+        p = 1 / (1 + np.exp(-(scale * s[:, None] - np.array([first, first + step]))))
+        wide = np.concatenate((np.ones((len(y), 1)), p, np.zeros((len(y), 1))), axis=1)
+        at = np.arange(len(y))
+        return -np.log(np.maximum(wide[at, y] - wide[at, y + 1], 1e-9)).mean()
+
+    found = loss(1.0, m.cuts[0], m.cuts[1] - m.cuts[0])
+    best = min(loss(a, m.cuts[0] + b, (m.cuts[1] - m.cuts[0]) * c) for a in (0.9, 1, 1.1) for b in (-0.2, -0.05, 0, 0.05, 0.2) for c in (0.9, 1, 1.1))
+    assert found < 0.8 * np.log(3) and found - best < 0.01
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     y = {r["doc_id"]: r["quality"] for r in labels.collect()}
@@ -107,8 +127,16 @@ def test_token_counts(docs, empty, rows):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (out[i]["n_tokens"], out[i]["n_bytes"], out[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
     assert tokens.token_counts(empty, path).count() == 0
-    for name in ("word_bpe_49k.json",):  # a tokenizer of another kind goes through the library
-        assert tokens._quick(public_tokenizers.path(name)) is None if tokens._quick is not None else True
+    other = public_tokenizers.path("word_bpe_49k.json")  # a tokenizer of another kind goes through the library
+    library = Tokenizer.from_file(other)
+    out = got(tokens.token_counts(docs, other))
+    assert all(out[i]["n_tokens"] == len(library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows)
+    import sentencepiece
+
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    out = got(tokens.token_counts(docs, pieces))
+    assert all(out[i]["n_tokens"] == len(library.encode(t or "")) for i, t, *_ in rows)
 
 
 def test_leaks(spark, docs, empty, rows):
