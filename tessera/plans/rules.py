@@ -30,7 +30,9 @@ RULES = (
     Rule("talos-commit-in-loop", "p1", ("Commit",), in_loop=True),
     Rule("talos-free-in-loop", "p2", has="^FREE ", in_loop=True),
     Rule("talos-itab-fulltable-op-in-loop", "p2", ("Sort",), in_loop=True),
-    Rule("talos-assign-component-in-loop", "info", has="^ASSIGN COMPONENT ", in_loop=True),
+    Rule("talos-itab-fulltable-op-in-loop", "p2", ("DeleteInternal",), has=r"(?<!\w)(WHERE|ADJACENT DUPLICATES)(?!\w)", in_loop=True), Rule("talos-sync-http-in-loop", "p1", has=r"\w->\s*(SEND|RECEIVE)\s*\(", in_loop=True),
+    Rule("talos-window-function-candidate", "p2", has=r"^(\w+)\s*=\s*\1\s*[+-]", in_loop=True), Rule("talos-scalar-fn-in-loop", "p2", ("CallFunction",), has="'(CONVERT_TO_(LOCAL|FOREIGN)_CURRENCY|UNIT_CONVERSION_SIMPLE|CURRENCY_CONVERSION|FISCAL_[^']*)'", in_loop=True),
+    Rule("talos-excessive-secondary-keys", "info", ("Data", "ClassData", "Types"), has=r"((?<!\w)KEY(?!\w).*){4}"), Rule("talos-assign-component-in-loop", "info", has="^ASSIGN COMPONENT ", in_loop=True),
     Rule("talos-aggregation-in-loop", "p2", has="^COLLECT ", in_loop=True),
     Rule("talos-enqueue-no-wait", "p1", ("CallFunction",), has="'ENQUEUE_", lacks="_WAIT"),
     Rule("talos-endselect-no-package-size", "p2", ("SelectLoop",), lacks="PACKAGE SIZE"),
@@ -94,3 +96,44 @@ def cyclomatic(statements: DataFrame) -> DataFrame:
     opener = F.col("kind").isin("MethodImplementation", "Form", "FunctionModule")
     unit = F.sum(opener.cast("int")).over(W.partitionBy("filename").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
     return statements.withColumn("unit", unit).where("unit > 0").groupBy("filename", "unit").agg((1 + F.count_if(branch & (F.col("kind") != "Select"))).alias("cyclomatic"))
+
+
+@dataclass(frozen=True)
+class Seed:
+    """A rule about lines: has (any case) on a line of an object of the types (all if none), if the file matches `when` and not `unless`; comments are scanned only if asked for."""
+
+    id: str
+    severity: str
+    family: str
+    has: str
+    example: str
+    counter: str
+    types: tuple[str, ...] = ()
+    when: str = ""
+    unless: str = ""
+    comments: bool = False
+
+
+#: A small table of our own under known ids; a JSON file of such rows may take its place.
+SEEDS = (
+    Seed("talos-native-sql", "p1", "clean-core", r"^\s*EXEC\s+SQL", "EXEC SQL.", "x = 'EXEC SQL'."),
+    Seed("talos-os-command", "p1", "security", r"(?<!\w)SXPG_(CALL|COMMAND)\w*|OPEN\s+DATASET.*FILTER", "CALL FUNCTION 'SXPG_COMMAND_EXECUTE'.", "CALL FUNCTION 'ZSX'."),
+    Seed("talos-cloud-006-write", "p2", "clean-core", r"^\s*WRITE[\s:/]", "WRITE / 'x'.", "rewrite = 1."),
+    Seed("talos-cloud-001-call-function", "p2", "clean-core", r"(?<!\w)CALL\s+FUNCTION(?!\w)", "CALL FUNCTION 'X'.", "call_function( )."),
+    Seed("talos-rap-commit-work-in-handler", "p1", "rap-odata", r"(?<!\w)(COMMIT|ROLLBACK)\s+WORK(?!\w)", "COMMIT WORK. \" cl_abap_behavior_handler", "COMMIT ENTITIES. \" cl_abap_behavior_handler", when=r"cl_abap_behavior_(handler|saver)"),
+    Seed("talos-cloud-020-sap-modification-marker", "p1", "modification", r"\*\$\*\$-(Start|End)", "*$*$-Start: (1)", "* start of block", comments=True),
+    Seed("talos-dynamic-where-subquery", "p2", "security", r"(?<!\w)WHERE\s+\(", "SELECT a FROM t WHERE (lv_cond).", "SELECT a FROM t WHERE a = 1."),
+    Seed("talos-adbc-native-bypass", "p1", "security", r"(?<!\w)CL_SQL_(STATEMENT|CONNECTION|PREPARED_STATEMENT)(?!\w)", "lo = NEW cl_sql_statement( ).", "lo = NEW cl_sql( )."),
+    Seed("talos-perf-73-eml-local-mode", "p3", "rap-odata", r"(?<!\w)IN\s+LOCAL\s+MODE(?!\w)", "READ ENTITIES OF zi IN LOCAL MODE", "READ ENTITIES OF zi"),
+    Seed("talos-eml-local-mode-outside-test", "p3", "rap-odata", r"(?<!\w)IN\s+LOCAL\s+MODE(?!\w)", "READ ENTITIES OF zi IN LOCAL MODE", "READ ENTITIES OF zi", unless=r"FOR\s+TESTING"),
+)
+
+
+def seed_findings(files: DataFrame, seeds: tuple[Seed, ...] = SEEDS) -> DataFrame:
+    """F1, 2.12.1: rule_id, severity, family, object, file, line of files(object, object_type, file, source): one pass over the lines, gates once a file."""
+    like = lambda c, p: F.col(c).rlike("(?i)" + p)
+    on = {s.id: (like("source", s.when) if s.when else F.lit(True)) & (~like("source", s.unless) if s.unless else F.lit(True)) & (F.col("object_type").isin(*s.types) if s.types else F.lit(True)) for s in seeds}
+    rows = files.withColumn("gates", F.struct(*[c.alias(f"g{i}") for i, c in enumerate(on.values())]))
+    rows = rows.select("object", "file", "gates", F.posexplode(F.split("source", "\n")).alias("at", "raw")).withColumn("comment", F.col("raw").rlike(r"^\s*[*\"]"))
+    hits = [F.when(F.col("gates")[f"g{i}"] & like("raw", s.has) & (F.lit(s.comments) | ~F.col("comment")), F.struct(F.lit(s.id).alias("rule_id"), F.lit(s.severity).alias("severity"), F.lit(s.family).alias("family"))) for i, s in enumerate(seeds)]
+    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h"), "object", "file", (F.col("at") + 1).cast("long").alias("line")).select("h.rule_id", "h.severity", "h.family", "object", "file", "line")

@@ -88,7 +88,7 @@ def analyse(spark: SparkSession, path: str, registry: DataFrame | None = None, c
     b = behaviors.select("object", "file", "source", F.col("behavior.class").alias("class"))
     keys = spark.createDataFrame([], "object string, keys array<string>, leads array<string>")
     all_ = {
-        "statements": lambda: rules.findings(statements), "invariant": lambda: rules.unchecked_authority(statements), "context": lambda: packs.statement_context(statements, keys), "files": lambda: packs.statement_files(statements), "graph": lambda: packs.graph_pack(edges, nodes), "flow": lambda: packs.flow(statements),
+        "lines": lambda: rules.seed_findings(named), "statements": lambda: rules.findings(statements, tuple(r for r in rules.RULES if r.id.startswith("talos"))), "invariant": lambda: rules.unchecked_authority(statements), "context": lambda: packs.statement_context(statements, keys), "files": lambda: packs.statement_files(statements), "graph": lambda: packs.graph_pack(edges, nodes), "flow": lambda: packs.flow(statements),
         "metadata": lambda: packs.metadata(named), "views": lambda: packs.view_structure(suffix(".asddls")), "behaviors": lambda: packs.behavior_context(b, statements, keys), "tests": lambda: packs.missing_tests(named), "test-quality": lambda: packs.test_quality(statements), "interfaces": lambda: packs.interfaces(statements), "services": lambda: packs.services(named),
     }
     if registry is not None:

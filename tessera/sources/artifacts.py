@@ -147,7 +147,7 @@ def behavior(source: str) -> dict:
         entities.append({
             "entity": d[1].upper(), "alias": d[2].upper() if d[2] else None, "authorization": a[1].lower() if a else None, "scope": [x for x in scope if x], "lock": (_one(r"\block\s+dependent\s+by\s+_(\w+)", part) or "").upper() or None,
             "compositions": [x.upper() for x in re.findall(r"\bassociation\s+_(\w+)", part, re.IGNORECASE)],
-            "operations": sorted({x.lower() for x in re.findall(r"^\s*(?:internal\s+)?(create|update|delete)\b", body(part), re.IGNORECASE | re.MULTILINE)}) + re.findall(r"\b(?:action|function)\b(?:\s*\([^)]*\))?\s+(\w+)", body(part), re.IGNORECASE),
+            "operations": sorted({x.lower() for x in re.findall(r"(?:^|[;{}])\s*(?:internal\s+)?(create|update|delete)\b", body(part), re.IGNORECASE | re.MULTILINE)}) + re.findall(r"\b(?:action|function)\b(?:\s*\([^)]*\))?\s+(\w+)", body(part), re.IGNORECASE),
         })
     return {"implementation": kind, "needs_saver": kind == "unmanaged" or " with " in kind, "class": (_one(rf"implementation\s+in\s+class\s+({NAME})", s) or "").upper() or None, "entities": entities}
 

@@ -1,4 +1,8 @@
-"""A node state machine over a stream of reports: retry ceiling and the last five verdicts are state."""
+"""A node state machine over a stream of reports: retry ceiling and the last five verdicts are state.
+
+Reports of one micro-batch are taken in order of their times; a report that comes in a later batch than younger ones counts when it comes.
+A node's state is as small as its last five verdicts and stays while its plan lives: nodes are as many as the plan has, whatever the number of reports.
+"""
 
 from __future__ import annotations
 

@@ -133,3 +133,31 @@ def test_frontier_is_the_greedy_choice(spark):
     args = spark.createDataFrame([(i, rank[i]) for i in ids], "id long, r long"), spark.createDataFrame(links, "source long, target long"), spark.createDataFrame(keys, "id long, key long")
     assert {r["id"] for r in schedule.frontier(*args, [F.col("r")]).collect()} == set(taken)
     assert {r["id"] for r in schedule.frontier(*args, [F.col("r")], cap=5).collect()} == set(taken[:5])
+
+
+def test_seed_rules(spark):
+    rows = [(s.id, "CLAS", f"{s.id}:{kind}", text) for s in rules.SEEDS for kind, text in (("hit", s.example), ("miss", s.counter))]
+    files = spark.createDataFrame(rows, "object string, object_type string, file string, source string")
+    got = {(r["rule_id"], r["file"]) for r in rules.seed_findings(files).collect()}
+    for s in rules.SEEDS:
+        assert (s.id, f"{s.id}:hit") in got and (s.id, f"{s.id}:miss") not in got, s.id
+
+
+def test_loop_patterns(spark):
+    code = "LOOP AT lt INTO ls.\nDELETE lt WHERE a = 1.\nlo->send( ).\nlv = lv + 1.\nCALL FUNCTION 'FISCAL_YEAR'.\nENDLOOP.\nDATA lt TYPE TABLE OF x WITH KEY a WITH KEY b WITH KEY c WITH KEY d.\nlv = lv + 1.\n"
+    files = spark.createDataFrame([("z.prog.abap", code, "Z", "PROG")], "filename string, source string, object string, object_type string")
+    got = [(r["rule_id"], r["line"]) for r in rules.findings(bundle.statements(files)).collect()]
+    assert {("talos-itab-fulltable-op-in-loop", 2), ("talos-sync-http-in-loop", 3), ("talos-window-function-candidate", 4), ("talos-scalar-fn-in-loop", 5), ("talos-excessive-secondary-keys", 7)} <= set(got)
+    assert ("talos-window-function-candidate", 8) not in got
+
+
+def test_escalations(spark, tmp_path):
+    from tessera.streaming import escalations
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("a", 1, "raise"), ("a", 2, "raise"), ("a", 3, "resolve"), ("a", 4, "raise"), ("b", 1, "resolve"), ("b", 2, "raise")], "id string, at long, action string").write.parquet(src)
+    stream = escalations.escalations(spark.readStream.schema("id string, at long, action string").parquet(src))
+    q = stream.writeStream.outputMode("append").format("memory").queryName("escalated").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {tuple(r) for r in spark.table("escalated").collect()} == {("a", 1, "OPEN"), ("a", 3, "RESOLVED"), ("a", 4, "OPEN"), ("b", 2, "OPEN")}

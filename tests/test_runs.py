@@ -69,7 +69,6 @@ def test_requests(spark, folder, tmp_path):
     assert ask("nothing")["error"]["code"] == -32601 and "error" in ask("lint_abap_cloud")
     assert ask("validate_fe_descriptor", manifest={"sap.app": 1})["result"]["findings"]
     assert ask("ground_released_apis", registry=[{"name": "VBAK", "state": "noAPI"}], files=[{"object": "Z", "file": "z", "source": "select from vbak"}])["result"]["findings"][0]["rule_id"] == "gf-ground-no-api"
-    assert ask("plan", path=folder)["result"]["nodes"]
 
 
 def test_commands(folder, capsys, monkeypatch, tmp_path):
