@@ -260,6 +260,46 @@ def _groups(texts, least=0.8):
     return _components([(a, b) for a in range(len(sets)) for b in range(a) if near(a, b) >= least], range(len(sets)))
 
 
+def near_pairs(texts, least=0.8):
+    """All pairs whose five-word shingles are `least` alike, without any sketch: rare shingles first, a pair must share one of the first few of each."""
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (SPACE.findall((t or "").lower()) for t in texts)]
+    often = Counter(x for s in sets for x in s)
+    held, out = defaultdict(list), []
+    for b, s in enumerate(sets):
+        first = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-len(s) * 4 // 5) + 1]
+        for a in {a for x in first for a in held[x]}:
+            both = len(s & sets[a])
+            if both >= least * (len(s) + len(sets[a]) - both):
+                out.append((a, b))
+        for x in first:
+            held[x].append(b)
+    return out
+
+
+def test_near_duplicates_recall(spark):
+    """Every near pair of the driver's documents is in one group, and groups are what near pairs join."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    pairs = [(rows[a][0], rows[b][0]) for a, b in near_pairs([t for _, t in rows])]
+    out = {r["doc_id"]: r["keeper"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(pairs) > 100 and sum(out[a] == out[b] for a, b in pairs) >= 0.99 * len(pairs)
+    want = _components(pairs, list(out))
+    assert sum(out[i] == want[i] for i in out) >= 0.99 * len(out)
+
+
+def test_trie_chain(spark):
+    """Prints 0, 0x0f, 0xff are one component, though the first and the last differ in eight bits; as texts, no link goes beyond a near pair."""
+    import numpy as np
+
+    assert simhash.trie_forest(np.zeros(3, np.int64), np.array([0, 0x0F, 0xFF], np.uint64)).tolist() == [0, 0, 0]
+    rng = np.random.default_rng(8)
+    word = lambda: f"c{rng.integers(10**9)}"
+    base = [word() for _ in range(400)]
+    other = [word() for _ in range(400)]
+    texts = [" ".join(x) for x in (other, base, _changed(rng, base, 4, word))]
+    assert _keepers(spark, texts) == {0: 0, 1: 1, 2: 1}
+
+
 def _keepers(spark, texts):
     out = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     return {r["doc_id"]: r["keeper"] for r in out.collect()}
