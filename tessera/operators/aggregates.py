@@ -176,14 +176,14 @@ def status_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def range_digest(rows: DataFrame, number: str, digest: str, joint: str = "||", fan: int = 1024, levels: int = 4) -> DataFrame:
-    """One digest of all rows' digests in order of their numbers (0 and up), by a tree.
+def range_digest(rows: DataFrame, number: str, digest: str, joint: str = "||", fan: int = 1024, levels: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """One digest of all rows' digests (of each group, if by) in order of their numbers (0 and up), by a tree.
 
     A node of the tree joins the digests of `fan` neighbouring numbers, so no row ever holds more of them; four levels
     are enough for 10^12 numbers.
     """
-    now = rows.select(F.col(number).cast("long").alias("n"), F.col(digest).alias("d"))
+    now = rows.select(*by, F.col(number).cast("long").alias("_n"), F.col(digest).alias("_d"))
     for _ in range(levels):
-        each = F.array_sort(F.collect_list(F.struct("n", "d")))
-        now = now.groupBy(F.floor(F.col("n") / fan).cast("long").alias("n")).agg(F.sha2(F.array_join(each["d"], joint), 256).alias("d"))
-    return now.select(F.col("d").alias(digest))
+        each = F.array_sort(F.collect_list(F.struct("_n", "_d")))
+        now = now.groupBy(*by, F.floor(F.col("_n") / fan).cast("long").alias("_n")).agg(F.sha2(F.array_join(each["_d"], joint), 256).alias("_d"))
+    return now.select(*by, F.col("_d").alias(digest))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
+from pathlib import Path
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -150,6 +152,26 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def write_durable(path: str, text: str) -> None:
+    """K6: a small file as a whole or not at all: written beside its place, flushed to disk, then moved there."""
+    target = Path(path)
+    beside = target.with_name(f".{target.name}.{os.getpid()}.tmp")
+    with open(beside, "w", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(beside, target)
+
+
+def write_baseline(folder: str, document: str, digest: str) -> None:
+    """K6: a baseline and its digest; the pair before stays as previous, and a reader that finds a digest that doesn't fit takes that one."""
+    for name in ("baseline.json", "baseline.sha256"):
+        if (Path(folder) / name).exists():
+            write_durable(f"{folder}/previous.{name}", (Path(folder) / name).read_text(encoding="utf-8"))
+    write_durable(f"{folder}/baseline.json", document)
+    write_durable(f"{folder}/baseline.sha256", digest)
+
+
 def terminal_report(findings: DataFrame, rows: int = 10) -> list[str]:
     """K5: tallies by severity, and the first findings; a top-k report."""
     tally = [f"{r['severity']}: {r['n']}" for r in findings.groupBy("severity").agg(F.count("*").alias("n")).orderBy("severity").collect()]
@@ -280,6 +302,13 @@ def adapted(scanned: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFram
 # ------------------------------------------------------------ feedback arcs
 
 
+def back_edges(order: list[int], links: set[tuple[int, int]], most: int = 16) -> list[tuple[int, int]]:
+    """Of the links that run against an order, those that span most of it, the first by their ends among equals."""
+    place = {n: i for i, n in enumerate(order)}
+    against = [(a, b) for a, b in links if place[a] > place[b]]
+    return sorted(against, key=lambda e: (place[e[1]] - place[e[0]], e))[:most]
+
+
 def _order(nodes: list[int], links: set[tuple[int, int]]) -> list[int]:
     """A vertex order with few back edges: sinks to the end, sources to the front, else the node that gives most more than it takes."""
     out: dict[int, set[int]] = {n: set() for n in nodes}

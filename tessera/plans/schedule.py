@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import range_digest
+
 from tessera.operators.graph import cut
 
 #: States, dispositions, reasons that a human may clear, the retry ceiling, decisions of the two gates, review prefixes, standard tables.
@@ -130,9 +132,9 @@ def re_enter(parked: DataFrame, available: DataFrame) -> DataFrame:
 
 
 def plan_hash(nodes: DataFrame, run: str, cols: Sequence[str]) -> DataFrame:
-    """Run, plan_hash over the digests of its nodes in order of their ids; a node's columns in alphabetic order."""
+    """Run, plan_hash over the digests of its nodes in order of their ids (numbers), by a tree; a node's columns in alphabetic order."""
     each = F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
-    return nodes.groupBy(run).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct(F.col("id"), each.alias("d"))))["d"], "|"), 256).alias("plan_hash"))
+    return range_digest(nodes.select(run, "id", each.alias("plan_hash")), "id", "plan_hash", "|", levels=3, by=(run,))
 
 
 def replan(before: DataFrame, after: DataFrame, committed: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ def _(s, sf):
     return G.capped(D.read(s, sf, "supplier").join(n, "s_nationkey"), "s_nationkey", "s_suppkey", 3).select("n_name", "s_suppkey", "kept")
 
 
-@query("G16_waves", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey//2 AS b FROM part WHERE p_partkey BETWEEN 1 AND 900 UNION SELECT p_partkey, p_partkey//3 FROM part WHERE p_partkey BETWEEN 1 AND 900), w(id, n) AS (SELECT 0::BIGINT, 0 UNION SELECT e.a, w.n+1 FROM e JOIN w ON w.id=e.b AND e.a<>e.b) SELECT id, max(n)::BIGINT AS level FROM w GROUP BY 1")
+@query("G16_waves", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey//2 AS b FROM part WHERE p_partkey>=1 UNION SELECT p_partkey, p_partkey//3 FROM part WHERE p_partkey>=1), w(id, n) AS (SELECT 0::BIGINT, 0 UNION SELECT e.a, w.n+1 FROM e JOIN w ON w.id=e.b AND e.a<>e.b) SELECT id, max(n)::BIGINT AS level FROM w GROUP BY 1")
 def _(s, sf):
-    p = D.read(s, sf, "part").where("p_partkey between 1 and 900").select("p_partkey")
+    p = D.read(s, sf, "part").where("p_partkey >= 1").select("p_partkey")
     e = p.select("p_partkey", F.floor(F.col("p_partkey") / 2).cast("long").alias("source")).union(p.select("p_partkey", F.floor(F.col("p_partkey") / 3).cast("long"))).distinct()
     return G.levels(e.select("source", F.col("p_partkey").cast("long").alias("target")).where("source <> target"))
 

@@ -89,7 +89,7 @@ def _(s, sf):
     return S.replan(p.where("id % 7 <> 0"), p.where("id % 5 <> 0").withColumn("wave", F.when(F.col("id") % 11 == 0, F.col("wave") + 1).otherwise(F.col("wave"))), p.where("id % 2 = 0"))
 
 
-@query("D20_plan_hash", "WITH n AS (SELECT s_nationkey AS run, s_suppkey AS id, sha256('{\"id\":'||s_suppkey||',\"wave\":'||(s_suppkey%3)||'}') AS d FROM supplier) SELECT run, sha256(string_agg(d,'|' ORDER BY id)) AS plan_hash FROM n GROUP BY 1")
+@query("D20_plan_hash", "WITH n AS (SELECT s_nationkey AS run, s_suppkey AS id, sha256('{\"id\":'||s_suppkey||',\"wave\":'||(s_suppkey%3)||'}') AS d FROM supplier), b AS (SELECT run, id//1024 AS id, sha256(string_agg(d,'|' ORDER BY id)) AS d FROM n GROUP BY run, id//1024), c AS (SELECT run, id//1024 AS id, sha256(string_agg(d,'|' ORDER BY id)) AS d FROM b GROUP BY run, id//1024) SELECT run, sha256(string_agg(d,'|' ORDER BY id)) AS plan_hash FROM c GROUP BY 1")
 def _(s, sf):
     return S.plan_hash(D.read(s, sf, "supplier").select(F.col("s_nationkey").alias("run"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 3).alias("wave")), "run", ["wave", "id"])
 

@@ -219,3 +219,35 @@ def _(s, sf):
 
     code: Fragments = [("true", "CLASS zc IMPLEMENTATION.\nMETHOD first.\na = 1.\nENDMETHOD.\n", []), ("p_size % 2 = 0", "METHOD second.\nb = 1.\nENDMETHOD.\n", []), ("p_size % 2 = 1", "ENDCLASS.\n", [])]
     return annotated(statements(s, sf, code)).select("object", "line", "method")
+
+
+FACTS = {
+    "consumption": ("ui_salv", "remote_rfc", "remote_idoc_outbound", "remote_idoc", "no_surface_evidence"), "persistence": ("owns_customer_table", "reads_sap_table", "no_persistence_evidence"), "disposition": ("rebuild", "replace", "keep"),
+    "target": ("RAP Business Object", "CDS View Entity"), "kind": ("class", "function"),
+}
+_FACT = "f AS (SELECT p_partkey AS id, " + ", ".join(f"([{','.join(repr(x) for x in v)}])[p_partkey//{7 * i + 1}%{len(v)}+1] AS {k}" for i, (k, v) in enumerate(FACTS.items())) + " FROM part)"
+
+
+def facts(s, sf) -> DataFrame:
+    pick = lambda i, v: F.element_at(F.array(*map(F.lit, v)), (F.floor(F.col("p_partkey") / (7 * i + 1)) % len(v) + 1).cast("int"))
+    one = [pick(i, v).alias(k) for i, (k, v) in enumerate(FACTS.items())]
+    f = D.read(s, sf, "part").select(F.col("p_partkey").alias("id"), *one)
+    none = F.array().cast("array<string>")
+    return f.withColumns({"consumption": F.array("consumption"), "persistence": F.array("persistence"), "hints": none, "rules": none, "families": none}).withColumnRenamed("id", "node")
+
+
+@query("C17_target_shapes", f"WITH {_FACT}, s AS (SELECT id, 'rap_bo_headless' AS shape, (disposition='rebuild')::INT+(target='RAP Business Object')::INT AS score FROM f WHERE (disposition='rebuild' OR target='RAP Business Object') AND consumption='remote_idoc_outbound' AND persistence<>'no_persistence_evidence' UNION ALL SELECT id, 'rap_bo_odata', 2 FROM f WHERE kind='function' AND consumption='remote_rfc' AND persistence<>'no_persistence_evidence' UNION ALL SELECT id, 'rap_bo_fiori', 2 FROM f WHERE consumption='ui_salv' AND persistence='owns_customer_table' UNION ALL SELECT id, 'fiori_list_report', 1 FROM f WHERE consumption='ui_salv' AND persistence='reads_sap_table' UNION ALL SELECT id, 'rap_bo_events', 1 FROM f WHERE consumption='remote_idoc_outbound' AND persistence<>'no_persistence_evidence' UNION ALL SELECT id, 'rap_bo_message_driven', 1 FROM f WHERE consumption='remote_idoc' AND persistence<>'no_persistence_evidence' UNION ALL SELECT id, 'analytical_cds', 1 FROM f WHERE target='CDS View Entity' AND consumption<>'no_surface_evidence' UNION ALL SELECT id, 'custom_entity_query', 1 FROM f WHERE consumption='remote_rfc' AND persistence<>'owns_customer_table' UNION ALL SELECT id, 'released_replace', 1 FROM f WHERE disposition='replace') SELECT id AS node, shape, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, shape)::INT AS place FROM s")
+def _(s, sf):
+    from tessera.operators.orders import best_shapes
+    from tessera.plans import shapes
+
+    m = shapes.matched(facts(s, sf), "node")
+    return best_shapes(m, "node", 10).join(m, ["node", "id"]).select("node", F.col("id").alias("shape"), "score", "place")
+
+
+@query("F9_shape_gaps", f"WITH {_FACT} SELECT id AS node, CASE WHEN kind='function' THEN '' ELSE 'object_kind:function' END AS unmet_all, CASE WHEN consumption='remote_rfc' THEN '' ELSE 'consumption:remote_rfc,consumption:remote_bapi' END AS unmet_any, CASE WHEN persistence='no_persistence_evidence' THEN 'persistence:no_persistence_evidence' ELSE '' END AS violated_none FROM f WHERE NOT (kind='function' AND consumption='remote_rfc' AND persistence<>'no_persistence_evidence')")
+def _(s, sf):
+    from tessera.plans import shapes
+
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return shapes.explained(facts(s, sf), "node").where("id = 'rap_bo_odata'").select("node", text("unmet_all"), text("unmet_any"), text("violated_none"))

@@ -91,3 +91,16 @@ def test_dangling_symbols(spark):
     code = "METHOD m.\nLOOP AT t ASSIGNING FIELD-SYMBOL(<a>).\n<a>-x = 1.\nENDLOOP.\n<a>-x = 2.\n<a>-x = 3.\nENDMETHOD.\nMETHOD n.\nLOOP AT t ASSIGNING <b>.\nENDLOOP.\nUNASSIGN <b>.\n<b> = 1.\n<a>-x = 2.\nENDMETHOD.\n"
     files = spark.createDataFrame([("f", code, "F", "CLAS")], "filename string, source string, object string, object_type string")
     assert [tuple(r) for r in D.dangling_symbols(bundle.statements(files)).collect()] == [("f", 5, "<A>")]
+
+
+def test_baseline_pair(tmp_path):
+    D.write_baseline(str(tmp_path), "one", "1")
+    D.write_baseline(str(tmp_path), "two", "2")
+    read = lambda n: (tmp_path / n).read_text()
+    assert (read("baseline.json"), read("baseline.sha256"), read("previous.baseline.json"), read("previous.baseline.sha256")) == ("two", "2", "one", "1")
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["baseline.json", "baseline.sha256", "previous.baseline.json", "previous.baseline.sha256"]
+
+
+def test_back_edges():
+    assert D.back_edges([1, 2, 3, 4], {(1, 2), (4, 1), (3, 1), (4, 2), (2, 3)}) == [(4, 1), (3, 1), (4, 2)]
+    assert D.back_edges([1, 2, 3, 4], {(4, 1), (3, 1)}, 1) == [(4, 1)]
