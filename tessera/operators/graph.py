@@ -35,20 +35,22 @@ def pagerank(edges: DataFrame, rounds: int, d: float = 0.85, tolerance: float |
     out = edges.select(F.col("source").alias("id"), "target")
     ids = out.select("id").union(out.select("target")).distinct()
     degree = out.groupBy("id").agg(F.count("*").alias("deg"))
-    base = cut(ids.join(degree, "id", "left"))
-    links = cut(out)
+    # links and ranks lie by id, so a round shuffles what is sent only
+    base = cut(ids.join(degree, "id", "left").repartition("id"))
+    links = cut(out.repartition("id"))
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))
     ranks = base.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
+    lost = base.where("deg is null").count() / n
+    for _ in range(rounds):
         sent = links.join(ranks.select("id", (F.col("rank") / F.col("deg")).alias("give")), "id").groupBy(F.col("target").alias("id")).agg(F.sum("give").alias("got"))
-        lost = ranks.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first()["lost"]
-        new = base.join(sent, "id", "left").withColumn("rank", (1 - d) / n + d * (F.coalesce("got", F.lit(0.0)) + lost / n)).drop("got")
+        new = ranks.join(sent, "id", "left").select("id", "deg", F.col("rank").alias("old"), ((1 - d) / n + d * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
         new = cut(new)
-        if tolerance is not None and new.join(ranks.select("id", F.col("rank").alias("old")), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-            return new.select("id", "rank")
-        ranks = new
+        row = new.agg(F.max(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        ranks, lost = new.select("id", "deg", "rank"), row[1]
+        if tolerance is not None and row[0] < tolerance:
+            break
     return ranks.select("id", "rank")
 
 

@@ -6,8 +6,8 @@ import json
 import math
 import os
 import re
-from pathlib import Path
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -343,9 +343,10 @@ def _cuts(nodes: list[int], links: set[tuple[int, int]], budget: int, tried: int
         if not big:
             return seams
         inside = {(a, b) for a, b in links if root[a] == root[b] == min(big[0])}
-        pos = {n: i for i, n in enumerate(_order(sorted(big[0]), inside))}
+        order = _order(sorted(big[0]), inside)
+        pos = {n: i for i, n in enumerate(order)}
         best = None
-        for a, b in sorted((e for e in inside if pos[e[0]] > pos[e[1]]), key=lambda e: (pos[e[1]] - pos[e[0]], e))[:tried]:
+        for a, b in back_edges(order, inside, tried):
             sizes: dict[int, int] = {}
             for r in _searched(sorted(inside - {(a, b)}) + [(n, n) for n in big[0]]).values():
                 sizes[r] = sizes.get(r, 0) + 1
