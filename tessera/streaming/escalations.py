@@ -25,8 +25,11 @@ def step(status: str, action: str) -> tuple[str, bool]:
     return status, False
 
 
-def escalations(events: DataFrame, ttl: int = TTL) -> DataFrame:
-    """id, at, status of the events(id, at, action) that count."""
+def escalations(events: DataFrame, ttl: int | None = TTL) -> DataFrame:
+    """id, at, status of the events(id, at, action) that count.
+
+    ttl: milliseconds; None keeps all state, which a run over what is there (trigger availableNow) needs to come to an end.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,8 +46,9 @@ def escalations(events: DataFrame, ttl: int = TTL) -> DataFrame:
                 if counts:
                     rows.append((key[0], at, status))
         state.update((status,))
-        state.setTimeoutDuration(ttl)
+        if ttl is not None:
+            state.setTimeoutDuration(ttl)
         if rows:
             yield pd.DataFrame(rows, columns=["id", "at", "status"])
 
-    return events.groupBy("id").applyInPandasWithState(run, "id string, at long, status string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("id").applyInPandasWithState(run, "id string, at long, status string", "status string", "append", GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -156,8 +156,9 @@ def test_escalations(spark, tmp_path):
 
     src = str(tmp_path / "in")
     spark.createDataFrame([("a", 1, "raise"), ("a", 2, "raise"), ("a", 3, "resolve"), ("a", 4, "raise"), ("b", 1, "resolve"), ("b", 2, "raise")], "id string, at long, action string").write.parquet(src)
-    stream = escalations.escalations(spark.readStream.schema("id string, at long, action string").parquet(src))
-    q = stream.writeStream.outputMode("append").format("memory").queryName("escalated").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    stream = escalations.escalations(spark.readStream.schema("id string, at long, action string").parquet(src), None)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("escalated").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    ended = q.awaitTermination(60)
     q.stop()
+    assert ended
     assert {tuple(r) for r in spark.table("escalated").collect()} == {("a", 1, "OPEN"), ("a", 3, "RESOLVED"), ("a", 4, "OPEN"), ("b", 2, "OPEN")}
