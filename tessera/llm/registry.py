@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import align, bpe, leaks, mixing, pii, quality, simhash, suffix, tokens, toxicity, urls, versions
+from tessera.llm import align, bpe, leaks, mixing, pii, quality, simhash, suffix, tokens, toxicity, tries, urls, versions
 from tessera.llm.common import table
 
 
@@ -56,15 +56,19 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.link_figures(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_quality, op3_token_counts, op4_decontamination, op5_simhash, op6_repeats, op7_mixing, op8_fingerprints, op9_pii, op10_urls, op11_alignment, op13_bpe)
+    ops = (op1_toxicity, op2_quality, op3_token_counts, op4_decontamination, op5_simhash, op6_repeats, op7_mixing, op8_fingerprints, op9_pii, op10_urls, op11_alignment, op12_prefix_trie, op13_bpe)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only op10 has a SQL form: the others hash, compress, align, train or search."""
-    return {"op10_urls": urls.oracle_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    """Only op10 and op12 have a SQL form: the others hash, compress, align, train or search."""
+    return {"op10_urls": urls.oracle_sql(), "op12_prefix_trie": tries.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
