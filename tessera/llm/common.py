@@ -156,11 +156,11 @@ def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2
     return w
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, total: int = TOTAL) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """A bounded training sample: per class at most per_class labelled texts, the first by a hash of the id.
 
     Learns from rows outside the held-out fold only.  Texts above max_bytes are no training rows,
-    and no class has more than TOTAL bytes of text: what the driver gets is bounded whatever the rows are like.
+    and no class has more than `total` bytes of text: what the driver gets is bounded whatever the rows are like.
     Conflicting or repeated labels of one id: the largest counts.  Also returns all rows by class.
     """
     rated = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -175,5 +175,5 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, m
     rows = written(texts(docs).where(F.octet_length("text").between(1, max_bytes)).join(ids, "doc_id").select("doc_id", "text", "y"), "sample")
     order = [F.xxhash64("doc_id"), "doc_id", "text"]
     running = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("total", running).where(F.col("total") <= TOTAL).select("doc_id", "text", "y").collect()
+    rows = rows.withColumn("total", running).where(F.col("total") <= total).select("doc_id", "text", "y").collect()
     return sorted({r["doc_id"]: (r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}.values()), counts

@@ -1,21 +1,21 @@
 """1. Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one for ordinary text and one for toxic text.  zstandard's trainer
-makes TRAINED bytes of each from the passages that are typical of the class: runs of GRAM-byte strings that more
-documents of the class hold than chance allows (likelihood ratio), each as often as it occurs.
+Three zstandard dictionaries are trained: one for ordinary text, one for toxic passages that tell alone, and one for those that tell by
+their number.  zstandard's trainer makes TRAINED bytes of each from the passages that are typical of the class: runs of strings of several lengths that
+rows of the class hold more often than the other's, beyond chance (likelihood ratio).
 The most frequent of these passages follow whole, since the trainer keeps parts of them only, and at the end comes a
-base of ordinary passages, trained once and shared, so common strings cost the same with either.
-A window is shorter under the toxic dictionary only as far as it holds toxic strings.
+base of ordinary passages, trained once and shared, so common strings cost the same with each.
+A window is shorter under a toxic dictionary only as far as it holds toxic strings.
 
-A text's score is a logistic function of how its windows' lengths differ (sum, largest,
-number of windows beyond each of several byte thresholds, rate), fitted on labelled rows that the dictionaries
+A text's score is a logistic function of how its windows' lengths differ under each toxic dictionary (sum, largest, number of windows beyond each
+of several byte thresholds, all of that by length), fitted on labelled rows that the dictionaries
 haven't seen, weighted to the true share of toxic rows.  0.5 is the threshold.
 
 Learns from labelled rows outside the held-out fold, at most PER_CLASS of each class,
 none above MAX_BYTES and TOTAL bytes a class (a bounded sample); every document is scored by its
 whole text, whatever type its id has.  Labels, language, source and id are no inputs of a score.
 Empty and null texts get the score of no windows.  Without labels of both classes all scores are 0.
-Repeated rows are scored each; equal texts score alike.  A null id is in the learning folds, but has no label.
+Repeated rows are scored each; equal texts score alike.  A null id counts as held out (fold 0) and has no label.
 """
 
 from __future__ import annotations
@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import by_text, fit_sample, flat, fold, id_type, newton, steps, texts
 
-PER_CLASS, MAX_BYTES = 4_000, 100_000
-GRAM, WINDOW, OVERLAP = 5, 48, 16
+PER_CLASS, MAX_BYTES, TOTAL = 4_000, 100_000, 12 << 20
+WINDOW, OVERLAP = 48, 16
+#: Bytes of the strings that tell a class's passages; how many times as often as in the other class's rows they stand in rows of the class, for the dictionary
+#: of strings that tell alone and for that of strings that tell by their number.
+GRAMS, ALONE, TOGETHER = (5, 6, 8), (40, float("inf")), (4, 40)
 #: Bytes of the shared base, of each class's trained part and of its whole passages; length of the trainer's segments.
 BASE, TRAINED, TYPICAL, SEGMENT = 6_000, 2_000, 24_000, 16
-#: Bytes put before a short text.
+#: Bytes put before each window.
 LEAD = 28
 #: Saved bytes beyond which a window counts.
 BEYOND = (0, 1, 2, 4, 8)
@@ -45,19 +48,19 @@ def folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(bytes.maketrans(b"\n\r\t", b"   "))
 
 
-def _codes(data: bytes) -> np.ndarray:
+def _codes(data: bytes, gram: int) -> np.ndarray:
     x = np.frombuffer(data, np.uint8).astype(np.uint64)
-    if len(x) < GRAM:
+    if len(x) < gram:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(x) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        out = (out << np.uint64(8)) | x[i : len(x) - GRAM + 1 + i]
+    out = np.zeros(len(x) - gram + 1, np.uint64)
+    for i in range(gram):
+        out = (out << np.uint64(8)) | x[i : len(x) - gram + 1 + i]
     return out
 
 
-def _frequencies(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of GRAM bytes and the number of rows with each."""
-    each = [np.unique(_codes(r)) for r in rows]
+def _frequencies(rows: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of `gram` bytes and the number of rows with each."""
+    each = [np.unique(_codes(r, gram)) for r in rows]
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
 
 
@@ -68,20 +71,30 @@ def _of(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(table[0][at] == codes, table[1][at], 0)
 
 
-def _typical(rows: list[bytes], mine: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int) -> list[list[bytes]]:
-    """Each row's passages made of strings that rows of this class hold more often; passages of one row only are left out."""
+def _telling(mine: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int, times: tuple[float, float]) -> np.ndarray:
+    """The strings that rows of this class hold so many times as often, beyond what the best of so many strings reaches by chance."""
     a, b = mine[1].astype(float), _of(mine[0], other).astype(float)
     p = (a + b) / max(1, n + m)
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda k, of, q: np.where(k > 0, k * np.log(k / (of * q)), 0)
         ratio = 2 * (part(a, n, p) + part(b, m, p) + part(n - a, n, 1 - p) + part(m - b, m, 1 - p))
-    # likelihood ratio beyond what the best of so many strings reaches by chance
-    good = mine[0][(a * m > 10 * (b + 0.5) * n) & (ratio > 2 * np.log(max(2, len(a))))]
+    often = a * m / ((b + 0.5) * max(1, n))
+    return mine[0][(often > times[0]) & (often <= times[1]) & (ratio > 2 * np.log(max(2, len(a))))]
+
+
+def _typical(rows: list[bytes], others: list[bytes], times: tuple[float, float]) -> list[list[bytes]]:
+    """Each row's passages that telling strings of any length make up; passages of one row only are left out."""
+    good = {g: _telling(_frequencies(rows, g), len(rows), _frequencies(others, g), len(others), times) for g in GRAMS}
     out = []
     for r in rows:
-        on = np.isin(_codes(r), good)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], on.view(np.int8), [0]))))
-        out.append([r[a : b - 1 + GRAM][:64] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+        step = np.zeros(len(r) + 1, np.int64)
+        for g, strings in good.items():
+            at = np.flatnonzero(np.isin(_codes(r, g), strings))
+            step[at] += 1
+            step[at + g] -= 1
+        on = np.concatenate(([0], np.cumsum(step) > 0)).astype(np.int8)
+        edge = np.flatnonzero(np.diff(on))
+        out.append([r[a:b][:64] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
     seen = Counter(p for x in out for p in set(x))
     return [[p for p in x if seen[p] > 1] for x in out]
 
@@ -111,11 +124,11 @@ def _base(rows: list[bytes]) -> bytes:
     return _trained([r[i : i + WINDOW] for r in rows for i in range(0, len(r), 8 * WINDOW)], BASE)
 
 
-class Pair:
-    """The two dictionaries as compressors."""
+class Dictionaries:
+    """The ordinary dictionary and the toxic ones as compressors."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.content = (ordinary, toxic)
+    def __init__(self, ordinary: bytes, *toxic: bytes):
+        self.content = (ordinary, *toxic)
         self.lead = ordinary[-LEAD:]
         self._made: list | None = None
 
@@ -134,76 +147,87 @@ class Pair:
                 p = zstandard.ZstdCompressionParameters(compression_level=3, window_log=17, min_match=5, target_length=16, search_log=4, chain_log=15, hash_log=15, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
                 d.precompute_compress(compression_params=p)
                 self._made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
-        places = np.column_stack((start, size)).astype("<u8").tobytes()
+        # each window follows some bytes that all dictionaries know: alone it may be too little to compress, and told raw
+        lead = np.frombuffer(self.lead, np.uint8)
+        windows = np.empty((len(start), len(lead) + WINDOW), np.uint8)
+        windows[:, : len(lead)] = lead
+        windows[:, len(lead) :] = data[np.minimum(start[:, None] + np.arange(WINDOW), len(data) - 1)]
+        places = np.column_stack((np.arange(len(start)) * windows.shape[1], size + len(lead))).astype("<u8").tobytes()
         out = []
         for c in self._made:
-            frames = c.multi_compress_to_buffer(zstandard.BufferWithSegments(data.tobytes(), places), threads=1)
+            frames = c.multi_compress_to_buffer(zstandard.BufferWithSegments(windows.tobytes(), places), threads=1)
             out.append(np.fromiter((len(frames[i]) for i in range(len(frames))), np.int64, len(frames)))
         return np.stack(out)
 
 
-def described(rows: list[str], pair: Pair) -> np.ndarray:
-    """Features of each text: what its windows' lengths tell."""
-    # a short text follows some bytes that both dictionaries know: alone it may be too little to compress, and told raw
-    known = [folded(t) for t in rows]
-    data, offsets = flat(pa.array([pair.lead + t if 0 < len(t) < 3 * WINDOW else t for t in known], pa.large_binary()))
+def described(rows: list[str], known: Dictionaries) -> np.ndarray:
+    """Features of each text: what its windows' lengths under each toxic dictionary tell."""
+    data, offsets = flat(pa.array(list(map(folded, rows)), pa.large_binary()))
     size = np.diff(offsets)
     n = np.maximum(1, -(-(size - OVERLAP) // (WINDOW - OVERLAP)))
     n[size == 0] = 0
     row = np.repeat(np.arange(len(rows)), n)
     start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW - OVERLAP)
     length = np.minimum(WINDOW, offsets[row + 1] - start)
-    x = np.zeros((len(rows), 5 + len(BEYOND)))
+    each = 4 + 2 * len(BEYOND)
+    kilo = np.maximum(size, 100) / 1000
+    x = np.zeros((len(rows), each * (len(known.content) - 1) + 1))
     if len(row):
-        a, b = pair.lengths(data, start, length)
-        d = a - b
-        gain, loss = np.maximum(d, 0), np.maximum(-d, 0)
-        total = np.bincount(row, gain, len(rows))
-        np.maximum.at(x[:, 1], row, gain)
-        x[:, 0] = np.log1p(total)
-        x[:, 2] = np.log1p(np.bincount(row, loss, len(rows)))
-        x[:, 3] = np.log1p(1000 * total / np.maximum(size, 1))
-        for i, k in enumerate(BEYOND):
-            x[:, 4 + i] = np.log1p(np.bincount(row, gain > k, len(rows)))
-    x[:, 1] = np.log1p(x[:, 1])
+        ordinary, *toxic = known.lengths(data, start, length)
+        for k, b in enumerate(toxic):
+            own = x[:, k * each : (k + 1) * each]
+            d = ordinary - b
+            gain = np.maximum(d, 0)
+            total = np.bincount(row, gain, len(rows))
+            np.maximum.at(own[:, 1], row, gain)
+            own[:, 0] = np.log1p(total)
+            own[:, 1] = np.log1p(own[:, 1])
+            own[:, 2] = np.log1p(np.bincount(row, np.maximum(-d, 0), len(rows)))
+            own[:, 3] = np.log1p(total / kilo)
+            for i, least in enumerate(BEYOND):
+                hits = np.bincount(row, gain > least, len(rows))
+                own[:, 4 + 2 * i] = np.log1p(hits)
+                own[:, 5 + 2 * i] = np.log1p(hits / kilo)
     x[:, -1] = 1
     return x
 
 
 @dataclass
 class Toxicity:
-    pair: Pair
+    known: Dictionaries
     weights: np.ndarray
 
     def scores(self, rows: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(described(rows, self.pair) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(described(rows, self.known) @ self.weights, -30, 30)))
 
 
 def learn(rows: list[tuple[str, int]], counts: dict[int, int]) -> Toxicity | None:
     """A model from labelled texts; counts: all labelled rows of each class."""
     if {y for _, y in rows} != {0, 1}:
         return None
-    data = [folded(t) for t, _ in rows]
     y = np.array([v for _, v in rows])
     nth = np.zeros(len(y), np.int64)  # of its class: the second of each three only calibrates
     for v in (0, 1):
         nth[y == v] = np.arange((y == v).sum())
     tune = (nth % 3 == 1) if min(np.bincount(y)) >= 6 else np.ones(len(y), bool)
-    known = ~tune if not tune.all() else tune
-    of = {v: [data[i] for i in np.flatnonzero(known & (y == v))] for v in (0, 1)}
-    table = {v: _frequencies(of[v]) for v in (0, 1)}
-    base = _base(of[0][:1500])
-    content = {v: _content(_typical(of[v], table[v], len(of[v]), table[1 - v], len(of[1 - v]))) for v in (0, 1)}
-    pair = Pair(content[0] + base, content[1] + base)
-    x = described([rows[i][0] for i in np.flatnonzero(tune)], pair)
+    known = _dictionaries([rows[i] for i in np.flatnonzero(~tune if not tune.all() else tune)])
+    x = described([rows[i][0] for i in np.flatnonzero(tune)], known)
     t = y[tune]
     share = np.array([counts[v] / max(1, (t == v).sum()) for v in (0, 1)])
     weight = share[t] / share[t].mean()
-    return Toxicity(pair, newton(x, t, weight, ridge=0.05))
+    return Toxicity(known, newton(x, t, weight, ridge=0.05))
+
+
+def _dictionaries(rows: list[tuple[str, int]]) -> Dictionaries:
+    """The ordinary dictionary, that of toxic passages that tell alone, and that of those that tell together."""
+    of = {v: [folded(t) for t, y in rows if y == v] for v in (0, 1)}
+    base = _base(of[0][:: 1 + len(of[0]) // 1500])
+    content = [_content(_typical(of[v], of[1 - v], times)) for v, times in ((0, (TOGETHER[0], ALONE[1])), (1, ALONE), (1, TOGETHER))]
+    return Dictionaries(*(c + base for c in content))
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity | None:
-    return learn(*fit_sample(docs, labels, label, PER_CLASS, MAX_BYTES))
+    return learn(*fit_sample(docs, labels, label, PER_CLASS, MAX_BYTES, TOTAL))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
