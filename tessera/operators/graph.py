@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder that the cluster names; a temporary one serves a single process only."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from tessera.operators.cuts import cut
+from tessera.operators.strong import strong_components
 
 
 def blast_radius(edges: DataFrame, depth: int = 3) -> DataFrame:
@@ -68,89 +59,6 @@ def components(links: DataFrame) -> DataFrame:
         label = cut(new)
 
 
-#: Distinct edges up to which strong components are found by one search on the driver.
-SMALL = 200_000
-
-
-def _searched(links: list[tuple[int, int]]) -> dict[int, int]:
-    """Smallest id of each node's strong component: order by finishing times, then search backwards."""
-    out: dict[int, list[int]] = {}
-    back: dict[int, list[int]] = {}
-    for a, b in links:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-        back.setdefault(b, []).append(a)
-    seen: set[int] = set()
-    finished: list[int] = []
-    for top in out:
-        stack = [(top, iter(out[top]))] if top not in seen else []
-        seen.add(top)
-        while stack:
-            node, rest = stack[-1]
-            for x in rest:
-                if x not in seen:
-                    seen.add(x)
-                    stack.append((x, iter(out[x])))
-                    break
-            else:
-                finished.append(node)
-                stack.pop()
-    root: dict[int, int] = {}
-    for top in reversed(finished):
-        if top in root:
-            continue
-        group, at = [top], 0
-        root[top] = top
-        while at < len(group):
-            for x in back.get(group[at], ()):
-                if x not in root:
-                    root[x] = top
-                    group.append(x)
-            at += 1
-        low = min(group)
-        for x in group:
-            root[x] = low
-    return root
-
-
-def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """Id, root of strongly connected components (a, b: edges).
-
-    Up to `small` distinct edges go to the driver.  Beyond, rounds of colouring: every open node takes the largest id that reaches it; a colour's component is what its own
-    node can be reached from within the colour.  Found components leave the graph.
-    """
-    some = edges.select("a", "b").distinct().limit(small + 1).collect() if small else []
-    if small and len(some) <= small:
-        found = _searched([(r["a"], r["b"]) for r in some])
-        return edges.sparkSession.createDataFrame(list(found.items()), "id long, root long")
-    links = cut(edges.where("a <> b").select("a", "b").distinct())
-    open_ = cut(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct())
-    done = None
-    while not open_.isEmpty():
-        colour = open_.withColumn("c", F.col("id"))
-        while True:
-            come = links.join(colour.select(F.col("id").alias("a"), "c"), "a").groupBy(F.col("b").alias("id")).agg(F.max("c").alias("m"))
-            new = cut(colour.join(come, "id", "left").select("id", F.greatest("c", "m").alias("n"), F.col("c").alias("o")))
-            colour = new.select("id", F.col("n").alias("c"))
-            if new.where("n <> o").isEmpty():
-                break
-        side = links.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", "ca")
-        side = cut(side)
-        found = front = cut(colour.where("id = c").select("id", "c"))
-        while True:
-            front = cut(side.join(front.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), F.col("ca").alias("c")).distinct().join(found, ["id", "c"], "left_anti"))
-            if front.isEmpty():
-                break
-            found = cut(found.unionByName(front))
-        done = found if done is None else cut(done.unionByName(found))
-        open_ = cut(open_.join(found, "id", "left_anti"))
-        links = cut(links.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi"))
-    if done is None:
-        return open_.withColumn("root", F.col("id"))
-    low = done.groupBy("c").agg(F.min("id").alias("root"))
-    return done.join(low, "c").select("id", "root")
-
-
 def levels(edges: DataFrame) -> DataFrame:
     """Id, level: nodes without predecessors are 0; each level is peeled off.  A cycle is an error."""
     left = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())

@@ -8,6 +8,7 @@ from tessera.functions import scalars as X
 from tessera.operators import graph as G
 from tessera.operators import joins as J
 from tessera.operators import orders as O  # noqa: E741
+from tessera.operators import patterns as N
 from tessera.operators import predicates as K
 from tessera.plans import documents as M
 from tessera.plans import facts as P
@@ -75,6 +76,21 @@ def _(s, sf):
     return K.text_hits(D.read(s, sf, "pages"), [("script", "<script"), ("nav", "<nav"), ("number", "[0-9]{4}")], "html").select("page_id", "rule_id")
 
 
+#: Syllables of the documents' invented words; rules look for two of them and what follows.
+SYLLABLES = tuple("th er on an re he in ed nd ha at en es or nt ea ti to it st io le is ou ar as de rt ve ng al te co me ll ri ro se ne ic".split())
+
+
+def many_rules(n: int) -> list[tuple[str, str]]:
+    """n line rules, numbered: two syllables, letters, then a sign; every third one in any case."""
+    k = len(SYLLABLES)
+    return [(f"r{i}", ("(?i)" if i % 3 == 0 else "") + SYLLABLES[i % k] + SYLLABLES[i // k % k] + "[a-z]*[,.]") for i in range(n)]
+
+
+@query("J9_many_rules", f"WITH s AS (SELECT ['{"','".join(SYLLABLES)}'] AS s), rules AS (SELECT 'r'||i AS rule_id, i % 3 = 0 AS any_case, s[1+i%40]||s[1+i//40%40] AS factor, CASE WHEN i % 3 = 0 THEN '(?i)' ELSE '' END||s[1+i%40]||s[1+i//40%40]||'[a-z]*[,.]' AS p FROM s, range(0, 1600) t(i)), " + D.SQL["lines"] + ", code AS (SELECT doc_id, line, raw, lower(raw) AS low FROM lines WHERE NOT regexp_matches(raw, '^\\s*[*\"]')), grams AS (SELECT DISTINCT doc_id, line, raw, substr(low, i, 4) AS factor FROM (SELECT *, unnest(range(1, length(low) - 2)) AS i FROM code)) SELECT doc_id, line, rule_id FROM grams JOIN rules USING (factor) WHERE regexp_matches(raw, p)")
+def _(s, sf):
+    return N.scanned(D.read(s, sf, "documents"), many_rules(1600))
+
+
 @query("J10_service_chain", "SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1,2")
 def _(s, sf):
     r, n, p = (D.read(s, sf, t) for t in ("region", "nation", "supplier"))
