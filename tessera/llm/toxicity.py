@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import by_text, fit_sample, flat, fold, id_type, newton, steps, texts
 
-PER_CLASS, MAX_BYTES, TOTAL = 4_000, 100_000, 12 << 20
+PER_CLASS, MAX_BYTES, TOTAL = 4_000, 100_000, 6 << 20
 WINDOW, OVERLAP = 48, 16
 #: Bytes of the strings that tell a class's passages; how many times as often as in the other class's rows they stand in rows of the class, for the dictionary
 #: of strings that tell alone and for that of strings that tell by their number.
