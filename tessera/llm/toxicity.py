@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import by_text, fit_sample, flat, fold, id_type, newton, steps, texts
 
-PER_CLASS, MAX_BYTES, TOTAL = 4_000, 100_000, 6 << 20
+PER_CLASS, MAX_BYTES, TOTAL = 4_000, 100_000, 8 << 20
 WINDOW, OVERLAP = 48, 16
 #: Bytes of the strings that tell a class's passages; how many times as often as in the other class's rows they stand in rows of the class, for the dictionary
 #: of strings that tell alone and for that of strings that tell by their number.
 GRAMS, ALONE, TOGETHER = (5, 6, 8), (40, float("inf")), (4, 40)
 #: Bytes of the shared base, of each class's trained part and of its whole passages; length of the trainer's segments.
 BASE, TRAINED, TYPICAL, SEGMENT = 6_000, 2_000, 24_000, 16
+#: Rows whose strings are counted at once.
+BLOCK = 200
 #: Bytes put before each window.
 LEAD = 28
 #: Saved bytes beyond which a window counts.
@@ -59,9 +61,13 @@ def _codes(data: bytes, gram: int) -> np.ndarray:
 
 
 def _frequencies(rows: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of `gram` bytes and the number of rows with each."""
-    each = [np.unique(_codes(r, gram)) for r in rows]
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+    """Distinct strings of `gram` bytes and the number of rows with each; some rows at a time, so only distinct strings are held."""
+    codes, counts = np.zeros(0, np.uint64), np.zeros(0)
+    for at in range(0, len(rows), BLOCK):
+        new = np.concatenate([np.unique(_codes(r, gram)) for r in rows[at : at + BLOCK]])
+        codes, place = np.unique(np.concatenate((codes, new)), return_inverse=True)
+        counts = np.bincount(place, np.concatenate((counts, np.ones(len(new)))), len(codes))
+    return codes, counts
 
 
 def _of(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
