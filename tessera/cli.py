@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import severity_grade
 from tessera.operators import orders
-from tessera.plans import descriptor, documents, linter, runs
+from tessera.operators.cuts import cut
+from tessera.plans import descriptor, documents, gate, linter, runs
 from tessera.sources import records
 
-#: Rows of a report that is shown or answered; tables that are written have all.
+#: Rows of one page of an answer, unless a request asks for another number; every answer tells how many there are in all.
 SHOWN = 200
 
 
@@ -32,8 +33,22 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _rows(df: DataFrame) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(SHOWN).collect()]
+def _rows(df: DataFrame, params: dict | None = None) -> list[dict]:
+    """The page of an ordered table that the params ask for: `limit` rows after `offset`."""
+    params = params or {}
+    return [r.asDict(recursive=True) for r in df.offset(int(params.get("offset", 0))).limit(int(params.get("limit", SHOWN))).collect()]
+
+
+def _paged(params: dict, **tables: DataFrame) -> dict:
+    """A page of each table by the same offset and limit, and how many rows each has."""
+    tables = {name: cut(df) for name, df in tables.items()}
+    return {name: _rows(df.orderBy(*_order(df)), params) for name, df in tables.items()} | {"total": {name: df.count() for name, df in tables.items()}, "offset": int(params.get("offset", 0))}
+
+
+def _order(df: DataFrame) -> list:
+    """A total order: known columns first, then the whole row."""
+    first = [c for c in ("wave", "rank", "severity", "rule_id", "object", "file", "line", "metric", "id") if c in df.columns]
+    return [*first, F.to_json(F.struct(*df.columns))]
 
 
 def page(report: runs.Report) -> str:
@@ -68,36 +83,40 @@ def _analyse(spark: SparkSession, params: dict, root: str) -> dict:
     report = runs.analyse(spark, params["path"])
     if params.get("out"):
         report.write(below(root, params["out"]))
-    return {"summary": _rows(report.summary()), "findings": _rows(report.findings.orderBy("severity", "rule_id", "object", "file", "line")), "failed": report.failed}
+    return _paged(params, summary=report.summary(), findings=report.findings) | {"failed": report.failed}
 
 
 def _report(spark: SparkSession, params: dict, root: str) -> dict:
     path = below(root, params["out"])
-    return {name: _rows(spark.read.json(f"{path}/{name}")) for name in ("summary", "findings")}
+    return _paged(params, **{name: spark.read.json(f"{path}/{name}") for name in ("summary", "findings")})
 
 
 def _lint(spark: SparkSession, params: dict, root: str) -> dict:
     found, failed = runs.linted(spark, params["path"])
-    return {"findings": _rows(found.orderBy("severity", "rule_id", "object", "file", "line")), "failed": failed}
+    return _paged(params, findings=found) | {"failed": failed}
 
 
 def _ground(spark: SparkSession, params: dict, root: str) -> dict:
     registry = spark.createDataFrame([(r["name"], r["state"]) for r in params["registry"]], "name string, state string")
     files = spark.createDataFrame([(f["object"], f["file"], f["source"]) for f in params["files"]], "object string, file string, source string")
-    return {"findings": _rows(linter.grounding(files, registry))}
+    return _paged(params, findings=linter.grounding(files, registry))
 
 
 def _descriptor(spark: SparkSession, params: dict, root: str) -> dict:
     text = params["manifest"] if isinstance(params["manifest"], str) else json.dumps(params["manifest"])
     rows = spark.createDataFrame([(text, params.get("entity"), params.get("service"))], "manifest string, entity string, service string")
-    return {"findings": _rows(descriptor.findings(rows).select("rule_id", "severity"))}
+    return _paged(params, findings=descriptor.findings(rows).select("rule_id", "severity"))
 
 
 def _plan(spark: SparkSession, params: dict, root: str) -> dict:
-    return {"nodes": _rows(runs.planned(runs.analyse(spark, params["path"])).orderBy("wave", "rank", "id"))}
+    return _paged(params, nodes=runs.planned(runs.analyse(spark, params["path"])))
+
 
+def _gate(spark: SparkSession, params: dict, root: str) -> dict:
+    return _paged(params, runs=gate.gated(gate.folder(spark, params["path"])))
 
-METHODS = {"analyse_bundle": _analyse, "get_report": _report, "lint_abap_cloud": _lint, "ground_released_apis": _ground, "validate_fe_descriptor": _descriptor, "plan": _plan}
+
+METHODS = {"analyse_bundle": _analyse, "get_report": _report, "lint_abap_cloud": _lint, "ground_released_apis": _ground, "validate_fe_descriptor": _descriptor, "plan": _plan, "gate": _gate}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -107,7 +126,10 @@ def main(argv: list[str] | None = None) -> int:
         p = sub.add_parser(name)
         p.add_argument("path")
         p.add_argument("--out")
+        p.add_argument("--offset", type=int, default=0)
+        p.add_argument("--limit", type=int, default=SHOWN)
         if name == "analyse":
+            p.add_argument("--fail-on", action="store_true", help="exit 1 for findings of the first priority and failed packs")
             p.add_argument("--html")
             p.add_argument("--sarif")
     p = sub.add_parser("compare")
@@ -119,6 +141,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--service")
     args, spark = top.parse_args(argv), session()
     show = lambda rows: print("\n".join(json.dumps(r, default=str) for r in rows))
+
+    def shown(df: DataFrame) -> None:
+        answer = _paged(vars(args), rows=df)
+        show([*answer["rows"], {"total": answer["total"]["rows"], "offset": answer["offset"]}])
+
     if args.command == "descriptor":
         show(_descriptor(spark, {"manifest": Path(args.path).read_text(encoding="utf-8"), "entity": args.entity, "service": args.service}, ".")["findings"])
         return 0
@@ -129,18 +156,18 @@ def main(argv: list[str] | None = None) -> int:
         found, _failed = runs.linted(spark, args.path)
         if args.out:
             found.write.mode("overwrite").json(below(".", args.out))
-        show(_rows(found.orderBy("severity", "rule_id", "object", "file", "line")))
+        shown(found)
         return 0
-    report = runs.analyse(spark, args.path)
     if args.command == "gate":
-        blocked, n = runs.gate(report)
-        show([{"blocked": blocked, "findings": n, "failed": [f[0] for f in report.failed]}])
-        return int(blocked)
+        row = gate.gated(gate.folder(spark, args.path)).first()
+        show([row.asDict()])
+        return int(not row["pass"])
+    report = runs.analyse(spark, args.path)
     if args.command == "plan":
-        nodes = runs.planned(report).orderBy("wave", "rank", "id")
+        nodes = cut(runs.planned(report))
         if args.out:
             nodes.write.mode("overwrite").json(below(".", args.out))
-        show(_rows(nodes))
+        shown(nodes)
         return 0
     if args.out:
         report.write(below(".", args.out))
@@ -150,7 +177,7 @@ def main(argv: list[str] | None = None) -> int:
         text = report.findings.withColumn("message", F.col("rule_id"))
         records.sarif_results(text, severity_grade(F.col("severity"))).write.mode("overwrite").json(below(".", args.sarif))
     show(documents.terminal_report(report.findings))
-    return 0
+    return int(args.fail_on and runs.blocked(report)[0])
 
 
 if __name__ == "__main__":

@@ -10,12 +10,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import identity, severity_grade
+from tessera.functions.scalars import severity_grade
 from tessera.operators import aggregates as A
 from tessera.operators import graph as G
 from tessera.operators import predicates as K
 from tessera.operators import sets as S
-from tessera.plans import linter, packs, rules
+from tessera.plans import documents, identity, linter, packs, rules, verdicts
 from tessera.plans.features import assembled, call_edges
 from tessera.sources import artifacts as P
 from tessera.sources import bundle as B
@@ -47,8 +47,9 @@ class Report:
         return ready.unionByName(by).unionByName(debt)
 
     def write(self, path: str) -> None:
-        """JSON lines of every table below a folder."""
-        for name in ("nodes", "edges", "findings", "notes"):
+        """JSON lines of every table below a folder; a finding that isn't valid fails the job before any file of findings is committed."""
+        documents.write_valid(self.findings, verdicts.finding_errors((*verdicts.SEVERITIES, "error", "warning")), f"{path}/findings")
+        for name in ("nodes", "edges", "notes"):
             getattr(self, name).write.mode("overwrite").json(f"{path}/{name}")
         self.summary().write.mode("overwrite").json(f"{path}/summary")
 
@@ -94,7 +95,7 @@ def analyse(spark: SparkSession, path: str, registry: DataFrame | None = None, c
     if registry is not None:
         all_["released-api"] = lambda: packs.released_api(edges, registry, CLASSIFIABLE)
     found, failed = joined(spark, all_ | (more or {}))
-    found = found.withColumn("finding_id", identity(F.col("rule_id"), F.col("object"), F.coalesce("file", F.lit("")), F.coalesce(F.col("line").cast("string"), F.lit(""))))
+    found = identity.identified(found, named.select("file", "source"))
     return Report(files, statements, nodes, edges, G.cut(found), failed, notes)
 
 
@@ -128,7 +129,7 @@ def planned(report: Report) -> DataFrame:
     return nodes.join(named, "id").join(waves, "id", "left").select("id", F.col("names").alias("members"), "rank", "blast", "sealed", "dependencies", F.coalesce("wave", F.lit(0)).alias("wave"))
 
 
-def gate(report: Report) -> tuple[bool, int]:
-    """Whether a finding of the first priority, or a pack that failed, blocks; and how many findings do."""
+def blocked(report: Report) -> tuple[bool, int]:
+    """Whether a finding of the first priority, or a pack that failed, blocks; and how many findings do."""
     n = report.findings.where("severity = 'p1'").count()
     return bool(n or report.failed), n

@@ -12,6 +12,7 @@ from tessera.operators import patterns as N
 from tessera.operators import predicates as K
 from tessera.plans import documents as M
 from tessera.plans import facts as P
+from tessera.plans import gate as Y
 from tessera.queries import query
 from tessera.queries_schedule import ORACLES, QUERIES
 from tessera.sources import adapters as D
@@ -220,7 +221,7 @@ def _(s, sf):
 def _(s, sf):
     kind = F.when(F.col("event_type") == "view", "security").otherwise("none")
     doc = F.when(F.col("event_type") == "view", F.concat(F.lit('{"gate":"x","pass":"maybe","range":'), F.col("event_id").cast("string"), F.lit("}")))
-    return D.read(s, sf, "events").select("event_id", F.size(M.verdict_errors(kind, doc)).alias("errors"))
+    return D.read(s, sf, "events").select("event_id", F.size(Y.verdict_errors(kind, doc)).alias("errors"))
 
 
 @query("V4_signal_errors", "SELECT event_id, CASE WHEN value IS NULL OR value<0 THEN 1 ELSE 0 END+(user_id%2)::INT AS errors FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,16 +36,10 @@ def node_kind(object_type: F.Column) -> F.Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in NODE_KINDS.items() for x in kv]), object_type)
 
 
-def source_hash(files: DataFrame) -> DataFrame:
-    """One digest of the digests of all files in order of their names (a file's text never leaves its row)."""
-    each = files.select("filename", F.sha2(F.concat_ws("|", "filename", "source"), 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("filename", "d")))["d"], "||"), 256).alias("source_hash"))
-
-
 # ------------------------------------------------------------ statements
 
 #: Statement kinds by their leading words, the first that fits.
-KINDS = [(re.compile(p, re.IGNORECASE | re.DOTALL), k) for p, k in (
+KINDS = (
     (r"LOOP\s+AT\b", "Loop"), (r"ENDLOOP\b", "EndLoop"), (r"WHILE\b", "While"), (r"ENDWHILE\b", "EndWhile"), (r"DO\b(?!\w)", "Do"), (r"ENDDO\b", "EndDo"), (r"ENDSELECT\b", "EndSelect"), (r"(WITH\b.*\b)?SELECT\b", "Select"),
     (r"IF\b", "If"), (r"ELSEIF\b", "ElseIf"), (r"ELSE\b", "Else"), (r"ENDIF\b", "EndIf"), (r"CASE\b", "Case"), (r"ENDCASE\b", "EndCase"), (r"WHEN\s+OTHERS\b", "WhenOthers"), (r"WHEN\b", "When"), (r"TRY\b", "Try"), (r"ENDTRY\b", "EndTry"), (r"CATCH\b", "Catch"),
     (r"CLASS\b.*\bDEFINITION\b", "ClassDefinition"), (r"CLASS\b.*\bIMPLEMENTATION\b", "ClassImplementation"), (r"ENDCLASS\b", "EndClass"), (r"INTERFACE\b", "Interface"), (r"INTERFACES\b", "InterfaceDef"), (r"(CLASS-)?METHODS\b", "MethodDef"), (r"METHOD\b", "MethodImplementation"), (r"ENDMETHOD\b", "EndMethod"),
@@ -54,61 +49,53 @@ KINDS = [(re.compile(p, re.IGNORECASE | re.DOTALL), k) for p, k in (
     (r"EXEC\s+SQL\b", "ExecSQL"), (r"ENDEXEC\b", "EndExec"), (r"INCLUDE\s+\w", "Include"), (r"GET\s+BADI\b", "GetBadi"), (r"GET\s+REFERENCE\b", "GetReference"), (r"TABLES\b", "Tables"), (r"WRITE\b", "Write"), (r"MESSAGE\b", "Message"), (r"CREATE\s+OBJECT\b", "CreateObject"), (r"CONCATENATE\b", "Concatenate"), (r"DESCRIBE\b", "Describe"),
     (r"BREAK(-POINT)?\b", "Break"), (r"LEAVE\b", "Leave"), (r"ENHANCEMENT-POINT\b", "EnhancementPoint"), (r"ENHANCEMENT-SECTION\b", "EnhancementSection"), (r"ENHANCEMENT\b", "Enhancement"), (r"ENDENHANCEMENT\b", "EndEnhancement"), (r"CHECK\b", "Check"), (r"ASSERT\b", "Assert"), (r"RAISE\b", "Raise"), (r"COMPUTE\b", "Compute"), (r"FIELD-SYMBOLS?\b", "FieldSymbol"),
     (r"CLASS-DATA\b", "ClassData"), (r"DATA\b", "Data"), (r"TYPES\b", "Types"), (r"MOVE\b", "Move"), (r"[\w<>~\->]+\s*\??=[^>]", "Move"),
-)]
+)
+_kind = re.compile("|".join(f"(?P<k{i}>{p})" for i, (p, _) in enumerate(KINDS)), re.IGNORECASE | re.DOTALL)
+#: What isn't plain text: literals (those in quotes end with their line), templates, comments, ends of statements and of parts of a chain.
+_marks = re.compile(r"""'[^'\n]*'?|`[^`\n]*`?|\|(?:\\.|[^|\\])*\|?|"[^\n]*|^\*[^\n]*|\.(?=\s|\Z)|:(?=\s|\Z)|,""", re.MULTILINE | re.DOTALL)
+_solid = re.compile(r"\S")
 
 
 def split_statements(source: str) -> list[tuple[int, str, str]]:
-    """Row, kind and text of each statement, in one pass: literals and templates hold periods, comments go, chains after a colon are taken apart."""
+    """Row, kind and text of each statement, in one pass from mark to mark: literals and templates hold periods, comments go, chains after a colon are taken apart."""
+    lines = [m.start() for m in re.finditer("\n", source)]
     out: list[tuple[int, str]] = []
     part: list[str] = []
-    prefix, row, start, quote, i, n = "", 1, 0, "", 0, len(source)
-
-    def end() -> None:
-        nonlocal part, start
-        text = (prefix + " " + "".join(part)).strip() if prefix else "".join(part).strip()
-        if "".join(part).strip():
-            out.append((start or row, re.sub(r"\s+", " ", text)))
-        part, start = [], 0
-
-    line_start = True
-    while i < n:
-        c = source[i]
-        if quote:
-            part.append(c)
-            if quote == "|" and c == "\\" and i + 1 < n:
-                i += 1
-                part.append(source[i])
-            elif c == quote:
-                quote = ""
-        elif c == '"' or (line_start and c == "*"):
-            while i < n and source[i] != "\n":
-                i += 1
-            continue
-        elif c in "'`|":
-            quote = c
-            start = start or row
-            part.append(c)
-        elif c == "." and (i + 1 >= n or source[i + 1].isspace()):
-            end()
+    prefix, start, at = "", 0, 0
+
+    def take(a: int, b: int) -> None:
+        nonlocal start
+        if a < b:
+            if not start and (m := _solid.search(source, a, b)):
+                start = bisect_left(lines, m.start()) + 1
+            part.append(source[a:b])
+
+    def end(place: int) -> None:
+        nonlocal start
+        text = "".join(part).strip()
+        if text:
+            out.append((start or bisect_left(lines, place) + 1, " ".join(f"{prefix} {text}".split())))
+        part.clear()
+        start = 0
+
+    for m in _marks.finditer(source):
+        a, b = m.span()
+        take(at, a)
+        at, c = b, source[a]
+        if c == ".":
+            end(a)
             prefix = ""
-        elif c == ":" and not prefix and (i + 1 >= n or source[i + 1].isspace()):
-            prefix, part = "".join(part).strip(), []
+        elif c == ":" and not prefix:
+            prefix = "".join(part).strip()
+            part.clear()
         elif c == "," and prefix:
-            end()
-        else:
-            if not c.isspace():
-                start = start or row
-            part.append(c)
-        if c == "\n":
-            row += 1
-            line_start = True
-            if quote in ("'", "`"):
-                quote = ""  # literals end with their line
-        else:
-            line_start = False
-        i += 1
-    end()
-    kinds = [next((k for p, k in KINDS if p.match(t)), "Other") for _, t in out]
+            end(a)
+        elif c not in '"*':
+            take(a, b)
+    take(at, len(source))
+    end(len(source))
+    found = [_kind.match(t) for _, t in out]
+    kinds = [KINDS[int(m.lastgroup[1:])][1] if m else "Other" for m in found]
     loops = [0] * len(out)
     open_: list[int] = []
     for j, k in enumerate(kinds):  # a SELECT is a loop if an ENDSELECT follows for it

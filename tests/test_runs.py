@@ -51,7 +51,7 @@ def test_plan(report):
 def test_summary_gate_and_page(report, tmp_path):
     summary = {r["metric"]: r["value"] for r in report.summary().collect()}
     assert summary["objects"] == 5 and summary["findings_p1"] >= 2
-    assert runs.gate(report)[0] is True
+    assert runs.blocked(report)[0] is True
     assert all(r["delta"] == 0 for r in runs.compared(report, report).collect())
     text = cli.page(report)
     assert "ZCL_A" in text and "</script>" in text and text.count("<script") == 1
@@ -65,6 +65,8 @@ def test_requests(spark, folder, tmp_path):
     assert {"gf-cloud-no-write", "gf-cds-classic-view", "gf-perf-select-in-loop", "gf-cloud-select-star"} <= lint
     done = ask("analyse_bundle", path=folder, out="a/b")["result"]
     assert done["failed"] == [] and {r["metric"] for r in ask("get_report", out="a/b")["result"]["summary"]} == {r["metric"] for r in done["summary"]}
+    pages = [ask("get_report", out="a/b", offset=i, limit=2)["result"] for i in range(0, done["total"]["findings"], 2)]
+    assert [r for p in pages for r in p["findings"]] == ask("get_report", out="a/b")["result"]["findings"] and pages[0]["total"] == done["total"]
     assert "not below" in ask("analyse_bundle", path=folder, out="../up")["error"]["message"]
     assert ask("nothing")["error"]["code"] == -32601 and "error" in ask("lint_abap_cloud")
     assert ask("validate_fe_descriptor", manifest={"sap.app": 1})["result"]["findings"]
@@ -73,8 +75,11 @@ def test_requests(spark, folder, tmp_path):
 
 def test_commands(folder, capsys, monkeypatch, tmp_path):
     monkeypatch.chdir(tmp_path)
-    assert cli.main(["gate", folder]) == 1
-    assert json.loads(capsys.readouterr().out)["blocked"] is True
+    assert cli.main(["gate", str(tmp_path)]) == 1
+    assert len(json.loads(capsys.readouterr().out)["blocks"]) == 4
+    assert cli.main(["lint", folder, "--offset", "1", "--limit", "2"]) == 0
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(rows) == 3 and rows[-1]["total"] > 3 and rows[-1]["offset"] == 1
     assert cli.main(["analyse", folder, "--html", "r.html", "--sarif", "s"]) == 0 and (tmp_path / "r.html").exists()
     (tmp_path / "m.json").write_text("{")
     assert cli.main(["descriptor", "m.json"]) == 0 and "fe-manifest-invalid-json" in capsys.readouterr().out
