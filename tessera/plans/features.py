@@ -85,7 +85,7 @@ def native_edges(statements: DataFrame) -> DataFrame:
 def call_edges(statements: DataFrame, objects: DataFrame) -> DataFrame:
     """Source, target, kind of calls that the text shows: static and functional methods, and forms; a target without a known owner falls to its own object.
 
-    There is no type resolver, so calls through references name their variable's object only if that is known.
+    Calls through references are in types.instance_edges.
     """
     t = F.upper("text")
     call = F.regexp_extract_all(t, F.lit(r"([A-Z/][A-Z0-9_/]*)=>([A-Z0-9_~]+)\("), F.lit(0))

@@ -15,7 +15,7 @@ from tessera.operators import aggregates as A
 from tessera.operators import graph as G
 from tessera.operators import predicates as K
 from tessera.operators import sets as S
-from tessera.plans import documents, identity, linter, packs, rules, verdicts
+from tessera.plans import documents, identity, linter, packs, rules, types, verdicts
 from tessera.plans.features import assembled, call_edges
 from tessera.sources import artifacts as P
 from tessera.sources import bundle as B
@@ -84,7 +84,7 @@ def analyse(spark: SparkSession, path: str, registry: DataFrame | None = None, c
     none = lambda df: df.withColumn("access", F.lit(None).cast("string"))
     objects = files.select("object", F.coalesce(B.node_kind(F.col("object_type")), F.lit("unknown")).alias("kind")).distinct()
     edges = rules.edges(statements).unionByName(none(P.view_edges(views))).unionByName(none(P.behavior_edges(behaviors)))
-    edges = G.cut(edges.unionByName(none(call_edges(statements, objects).select("source", "target", "kind"))).distinct())
+    edges = G.cut(edges.unionByName(none(call_edges(statements, objects).select("source", "target", "kind"))).unionByName(none(types.instance_edges(statements))).distinct())
     nodes = G.build_nodes(objects.select(F.col("object").alias("id"), "kind"), edges).withColumn("object", F.col("id"))
     b = behaviors.select("object", "file", "source", F.col("behavior.class").alias("class"))
     keys = spark.createDataFrame([], "object string, keys array<string>, leads array<string>")

@@ -1,4 +1,4 @@
-"""Queries of the identity of findings and of the gate over verdict documents."""
+"""Queries of the identity of findings, of the gate over verdict documents, and of types of references."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import joins as J
 from tessera.plans import gate as Y
 from tessera.plans import identity as I  # noqa: E741
+from tessera.plans import types as T
 from tessera.queries import query
 from tessera.queries_sources import ORACLES, QUERIES
 from tessera.sources import adapters as D
@@ -87,3 +88,22 @@ def _(s, sf):
     pick = lambda values: F.element_at(F.array(*values), (f + 1).cast("int"))
     docs = last.select("run", pick(map(F.lit, [*Y.HARD, Y.SOFT])).alias("file"), pick([sap, core, security, diff, design]).alias("doc"))
     return Y.gated(docs).select("run", "pass", F.array_join("blocks", "; ").alias("blocks"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+_TYPES = """WITH RECURSIVE vars AS (SELECT p_partkey AS v, p_size % 5 = 0 OR p_partkey < 2 AS known, p_size % 3 AS m FROM part),
+types(v, t) AS (SELECT v, v % 97 FROM vars WHERE known UNION SELECT d.v, t.t FROM types t JOIN vars d ON d.v // 2 = t.v AND NOT d.known AND d.v <> t.v),
+climb(t, m, o) AS (SELECT y.t, v.m, y.t FROM types y JOIN vars v ON v.v = y.v UNION SELECT t, m, o // 2 FROM climb WHERE (o + m) % 7 <> 0 AND o > 0),
+owners AS (SELECT t, m, o AS owner FROM climb WHERE (o + m) % 7 = 0)
+SELECT v AS source, owner, m AS method FROM vars JOIN types USING (v) JOIN owners USING (t, m)"""
+
+
+@query("G2_reference_types", _TYPES)
+def _(s, sf):
+    """Every part is a variable: some are declared, the others are assigned from the part of half the number; classes inherit alike."""
+    part = D.read(s, sf, "part").select(F.col("p_partkey").alias("var"), ((F.col("p_size") % 5 == 0) | (F.col("p_partkey") < 2)).alias("known"), (F.col("p_size") % 3).cast("long").alias("method"))
+    declared = part.where("known").select("var", (F.col("var") % 97).alias("type"))
+    flows = part.where("not known").select(F.floor(F.col("var") / 2).alias("src"), F.col("var").alias("dst"))
+    classes = declared.select("type").union(declared.select(F.explode(F.array(*[F.floor(F.col("type") / 2**i) for i in range(8)])))).distinct()
+    methods = classes.select("type", F.explode(F.array(*[F.lit(m).cast("long") for m in range(3)])).alias("method")).where("(type + method) % 7 = 0")
+    inherits = classes.where("type > 0").select("type", F.floor(F.col("type") / 2).alias("super"))
+    return T.resolved(part.select(F.col("var").alias("source"), "var", "method"), declared, flows, inherits, methods)
