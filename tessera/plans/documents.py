@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cuts import cut
+from tessera.operators.strong import searched
 from tessera.plans.facts import condensed
 from tessera.sources.artifacts import without_comments
 
@@ -314,52 +315,11 @@ def _order(nodes: list[int], links: set[tuple[int, int]]) -> list[int]:
     return front + end[::-1]
 
 
-def _searched(links: list[tuple[int, int]]) -> dict[int, int]:
-    """Smallest id of each node's strong component: order by finishing times, then search backwards."""
-    out: dict[int, list[int]] = {}
-    back: dict[int, list[int]] = {}
-    for a, b in links:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-        back.setdefault(b, []).append(a)
-    seen: set[int] = set()
-    finished: list[int] = []
-    for top in out:
-        stack = [(top, iter(out[top]))] if top not in seen else []
-        seen.add(top)
-        while stack:
-            node, rest = stack[-1]
-            for x in rest:
-                if x not in seen:
-                    seen.add(x)
-                    stack.append((x, iter(out[x])))
-                    break
-            else:
-                finished.append(node)
-                stack.pop()
-    root: dict[int, int] = {}
-    for top in reversed(finished):
-        if top in root:
-            continue
-        group, at = [top], 0
-        root[top] = top
-        while at < len(group):
-            for x in back.get(group[at], ()):
-                if x not in root:
-                    root[x] = top
-                    group.append(x)
-            at += 1
-        low = min(group)
-        for x in group:
-            root[x] = low
-    return root
-
-
 def _cuts(nodes: list[int], links: set[tuple[int, int]], budget: int, tried: int = 16) -> list[tuple[int, int, float]]:
     links = {(a, b) for a, b in links if a != b}
     seams = []
     while True:
-        root = _searched(sorted(links) + [(n, n) for n in nodes])
+        root = searched(sorted(links) + [(n, n) for n in nodes])
         groups: dict[int, list[int]] = {}
         for n, r in root.items():
             groups.setdefault(r, []).append(n)
@@ -372,7 +332,7 @@ def _cuts(nodes: list[int], links: set[tuple[int, int]], budget: int, tried: int
         best = None
         for a, b in back_edges(order, inside, tried):
             sizes: dict[int, int] = {}
-            for r in _searched(sorted(inside - {(a, b)}) + [(n, n) for n in big[0]]).values():
+            for r in searched(sorted(inside - {(a, b)}) + [(n, n) for n in big[0]]).values():
                 sizes[r] = sizes.get(r, 0) + 1
             key = (max(sizes.values()), pos[b] - pos[a], (a, b))
             best = min(best or key, key)

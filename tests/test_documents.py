@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tessera.plans.documents import _searched
+from tessera.operators.strong import searched as _searched
 from tessera.plans import documents as D
 from tessera.sources import bundle
 

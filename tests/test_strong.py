@@ -41,7 +41,7 @@ def plain(edges):
 
 
 def found(spark, edges):
-    return {r["id"]: r["root"] for r in strong.strong_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    return {r["id"]: r["root"] for r in strong.strong_components(spark.createDataFrame(edges, "a long, b long"), 0).collect()}
 
 
 def test_random(spark):
@@ -75,7 +75,7 @@ def test_long_paths(spark, shape, monkeypatch):
     rounds = []
     real = strong.cut
     monkeypatch.setattr(strong, "cut", lambda d: rounds.append(1) or real(d))
-    got = {r["id"]: r["root"] for r in strong.strong_components(df).collect()}
+    got = {r["id"]: r["root"] for r in strong.strong_components(df, 0).collect()}
     assert got == {i: want[i] for i in got} and len(got) == len(want)
     assert len(rounds) <= (150 if shape == "grid" else 80), len(rounds)
 
