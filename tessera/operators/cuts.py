@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder that the cluster names; a temporary one serves a single process only."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a temporary one serves a single process only."""
+    sc = spark.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage in that folder."""
+    folder(df.sparkSession)
     return df.checkpoint()

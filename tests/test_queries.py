@@ -1,5 +1,5 @@
 import pytest
-from tessera import queries_gate as queries
+from tessera import queries_runs as queries
 
 from tests.oracle import compare, connect
 
