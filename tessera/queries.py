@@ -157,9 +157,9 @@ def _(s, sf):
     return ends.groupBy(F.coalesce("source_kind", F.lit("none")).alias("from_kind"), F.coalesce("target_kind", F.lit("none")).alias("to_kind")).agg(F.count("*").alias("n"))
 
 
-@query("J2_registry_levels", D.with_("edges", "registry") + "SELECT e.source, e.target, r.level FROM edges e LEFT JOIN registry r ON r.name=e.target WHERE e.kind IN ('uses-table','inherits','consumes-cds','call-function') AND e.access IS NOT NULL AND e.access='write'")
+@query("J2_registry_levels", D.with_("edges", "registry") + "SELECT e.source, e.target, r.level FROM edges e LEFT JOIN registry r ON r.name=e.target WHERE e.kind IN ('uses-table','inherits','consumes-cds','call-function')")
 def _(s, sf):
-    return J.classified(D.edges(s, sf).where("access = 'write'"), D.registry(s, sf), CLASSIFIABLE).select("source", "target", "level")
+    return J.classified(D.edges(s, sf), D.registry(s, sf), CLASSIFIABLE).select("source", "target", "level")
 
 
 @query("J8_object_facts", D.with_("findings") + "SELECT s.s_suppkey, s.s_name, coalesce(f.n,0)::BIGINT AS n FROM supplier s LEFT JOIN (SELECT object, count(*) n FROM findings WHERE severity='p1' GROUP BY 1) f ON f.object='S'||s.s_suppkey")
@@ -169,9 +169,9 @@ def _(s, sf):
     return J.object_facts(objects, {"n": p1}).select("s_suppkey", "s_name", "n")
 
 
-@query("J13_without_test", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_returnflag='R')")
+@query("J13_without_test", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_returnflag='R' AND l_quantity>45)")
 def _(s, sf):
-    return J.unused(D.read(s, sf, "part").select("p_partkey"), D.read(s, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    return J.unused(D.read(s, sf, "part").select("p_partkey"), D.read(s, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("J17_inventory_without_usage", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice>150000)")
@@ -409,9 +409,9 @@ def _(s, sf):
 # ------------------------------------------------------------ order and top-k
 
 
-@query("T1_finding_order", D.with_("findings") + "SELECT k, row_number() OVER (ORDER BY k) AS n FROM (SELECT concat_ws('|', file, lpad(line::VARCHAR,9,'0'), rule_id, object, message) AS k FROM findings WHERE severity='p1' AND family='performance') ORDER BY k LIMIT 500")
+@query("T1_finding_order", D.with_("findings") + "SELECT k, row_number() OVER (ORDER BY k) AS n FROM (SELECT concat_ws('|', file, lpad(line::VARCHAR,9,'0'), rule_id, object, message) AS k FROM findings) ORDER BY k LIMIT 500")
 def _(s, sf):
-    return O.finding_order(D.findings(s, sf).where("severity = 'p1' and family = 'performance'"), 500, "message")
+    return O.finding_order(D.findings(s, sf), 500, "message")
 
 
 @query("T3_digest_objects", D.with_("edges", "nodes") + ", r AS (SELECT target AS id, count(*) n FROM edges GROUP BY 1) SELECT id, kind, coalesce(r.n,0)::BIGINT AS n FROM nodes LEFT JOIN r USING(id) ORDER BY namespace NOT IN ('Z','Y'), coalesce(r.n,0) DESC, id LIMIT 500")
@@ -425,14 +425,14 @@ def _(s, sf):
     return O.digest_findings(D.findings(s, sf)).select("severity", "rule_id", "object", "file", "line", "message")
 
 
-@query("T7_transport_order", D.with_("nodes") + "SELECT id, row_number() OVER (ORDER BY CASE kind WHEN 'cds' THEN 1 WHEN 'interface' THEN 2 WHEN 'class' THEN 3 WHEN 'behavior' THEN 4 ELSE 99 END, id) AS n FROM nodes WHERE kind IN ('cds','interface','class')")
+@query("T7_transport_order", D.with_("nodes") + "SELECT id, row_number() OVER (ORDER BY CASE kind WHEN 'cds' THEN 1 WHEN 'interface' THEN 2 WHEN 'class' THEN 3 WHEN 'behavior' THEN 4 ELSE 99 END, id) AS n FROM nodes")
 def _(s, sf):
-    return O.transport_order(D.nodes(s, sf).where("kind in ('cds', 'interface', 'class')"))
+    return O.transport_order(D.nodes(s, sf))
 
 
-@query("T12_hub", D.with_("edges") + "SELECT source AS id, arg_min(target, lpad((99999-n)::VARCHAR,6,'0')||target) AS hub FROM (SELECT source, target, count(*) n FROM edges WHERE kind='uses-table' GROUP BY 1,2) WHERE n>1 GROUP BY 1")
+@query("T12_hub", D.with_("edges") + "SELECT source AS id, arg_min(target, lpad((99999-n)::VARCHAR,6,'0')||target) AS hub FROM (SELECT source, target, count(*) n FROM edges GROUP BY 1,2) WHERE n>1 GROUP BY 1")
 def _(s, sf):
-    return O.hubs(D.edges(s, sf).where("kind = 'uses-table'"))
+    return O.hubs(D.edges(s, sf))
 
 
 # ------------------------------------------------------------ set operations
@@ -480,9 +480,9 @@ def _(s, sf):
 # ------------------------------------------------------------ scalars
 
 
-@query("X8_finding_id", D.with_("findings") + "SELECT sha256(rule_id||'|'||object||'|'||file||'|'||message) AS finding_id FROM findings WHERE severity='p1'")
+@query("X8_finding_id", D.with_("findings") + "SELECT sha256(rule_id||'|'||object||'|'||file||'|'||message) AS finding_id FROM findings")
 def _(s, sf):
-    return D.findings(s, sf).where("severity = 'p1'").select(X.identity(F.col("rule_id"), F.col("object"), F.col("file"), F.col("message")).alias("finding_id"))
+    return D.findings(s, sf).select(X.identity(F.col("rule_id"), F.col("object"), F.col("file"), F.col("message")).alias("finding_id"))
 
 
 @query("X14_rounding", "SELECT c_custkey, floor(c_acctbal*100/7+0.5)/100::DOUBLE AS r2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal/5000)) AS share FROM customer")
@@ -526,9 +526,9 @@ def _(s, sf):
 # ------------------------------------------------------------ graph
 
 
-@query("G9_successors", D.with_("edges") + "SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM edges WHERE kind<>'uses-table' GROUP BY 1")
+@query("G9_successors", D.with_("edges") + "SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM edges GROUP BY 1")
 def _(s, sf):
-    return G.successors(D.edges(s, sf).where("kind <> 'uses-table'")).select(F.col("id").alias("source"), F.array_join("nodes", ",").alias("targets"))
+    return G.successors(D.edges(s, sf)).select(F.col("id").alias("source"), F.array_join("nodes", ",").alias("targets"))
 
 
 @query("G10_blast_radius", D.with_("edges") + ", b AS (SELECT DISTINCT target AS id, source AS hit FROM edges), two AS (SELECT a.id, c.hit FROM b a JOIN b c ON c.id=a.hit), three AS (SELECT a.id, c.hit FROM (SELECT DISTINCT * FROM two) a JOIN b c ON c.id=a.hit) SELECT id, count(*) AS affected FROM (SELECT * FROM b UNION SELECT * FROM two UNION SELECT * FROM three) WHERE id<>hit GROUP BY 1")
@@ -573,9 +573,9 @@ def _(s, sf):
     return G.boundaries(D.edges(s, sf), D.nodes(s, sf))
 
 
-@query("G20_object_graph", D.with_("edges") + "SELECT source AS source_owner, target AS target_owner, kind, count(*) AS links FROM edges WHERE kind<>'uses-table' GROUP BY 1,2,3")
+@query("G20_object_graph", D.with_("edges") + "SELECT source AS source_owner, target AS target_owner, kind, count(*) AS links FROM edges GROUP BY 1,2,3")
 def _(s, sf):
-    return G.object_graph(D.edges(s, sf).where("kind <> 'uses-table'"), D.nodes(s, sf))
+    return G.object_graph(D.edges(s, sf), D.nodes(s, sf))
 
 
 @query("G23_conflict_groups", D.with_("cyc", recursive=True) + ", s AS (SELECT a, b FROM cyc UNION SELECT b, a FROM cyc), r(a, root) AS (SELECT a, 0::BIGINT FROM cyc WHERE a=0 UNION SELECT s.b, r.root FROM r JOIN s ON s.a=r.a) SELECT DISTINCT x.id, coalesce(r.root, x.id) AS root FROM (SELECT a AS id FROM s UNION SELECT b FROM s) x LEFT JOIN r ON r.a=x.id")

@@ -252,10 +252,10 @@ def _(s, sf):
     return P.rule_gate(D.findings(s, sf), ("RF", "AF"))
 
 
-@query("J12_unbound_operations", "SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal<0)")
+@query("J12_unbound_operations", "SELECT DISTINCT s_nationkey, s_suppkey % 997 AS operation FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 997 = s_suppkey % 997)")
 def _(s, sf):
-    handlers = D.read(s, sf, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("s_nationkey"))
-    return J.unbound(D.read(s, sf, "supplier"), handlers, ["s_nationkey"])
+    handlers = D.read(s, sf, "customer").select(F.col("c_nationkey").alias("s_nationkey"), (F.col("c_custkey") % 997).alias("operation"))
+    return J.unbound(D.read(s, sf, "supplier").withColumn("operation", F.col("s_suppkey") % 997), handlers, ["s_nationkey", "operation"])
 
 
 @query("J14_unmentioned", "SELECT p.n_name FROM nation p WHERE NOT EXISTS (SELECT 1 FROM pages WHERE contains(lower(html), lower(p.n_name)))")
