@@ -45,18 +45,42 @@ def pagerank(edges: DataFrame, rounds: int, d: float = 0.85, tolerance: float |
     return ranks.select("id", "rank")
 
 
+#: Rows of one key below which a join needs no care.
+HOT = 10_000
+
+
+def crowded(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """The keys with over HOT rows and a 4096th of all: fewer than 4096, whatever the data; None if there is none."""
+    many = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, total // 4096)).select(key))
+    return None if many.isEmpty() else many
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, many: DataFrame | None) -> DataFrame:
+    """left joined with right, which has one row a key: the rows of crowded keys stay where they are and get theirs by broadcast, the others meet by a shuffle."""
+    if many is None:
+        return left.join(right, key)
+    many = F.broadcast(many)
+    few = left.join(many, key, "left_anti").join(right, key)
+    return few.unionByName(left.join(F.broadcast(right.join(many, key, "left_semi")), key))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """Id, root (smallest id) by shrinking labels, with label jumps."""
+    """Id, root (smallest id) by shrinking labels, with label jumps.
+
+    A node with very many links and a label of very many nodes (a hub, a giant component) never meet theirs in one task.
+    """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l"))
+    total = both.count()
+    hubs = crowded(both, "b", total)
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
     while True:
-        low = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        new = label.join(low, "a").select("a", F.least("l", "m").alias("l"))
+        low = spread_join(both, label.select(F.col("a").alias("b"), "l"), "b", hubs).groupBy("a").agg(F.min("l").alias("m"))
+        new = cut(label.join(low, "a").select("a", F.least("l", "m").alias("l")))
         jump = new.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        new = cut(new.join(jump, "l").select("a", F.least("l", "ll").alias("l")))
+        new = cut(spread_join(new, jump, "l", crowded(new, "l", total)).select("a", F.least("l", "ll").alias("l")))
         if new.join(label.select("a", F.col("l").alias("o")), "a").where("l <> o").isEmpty():
             return new.select(F.col("a").alias("id"), F.col("l").alias("root"))
-        label = cut(new)
+        label = new
 
 
 def levels(edges: DataFrame) -> DataFrame:

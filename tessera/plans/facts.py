@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,20 +90,27 @@ def with_absence(objects: DataFrame, facts: DataFrame, absence: str) -> DataFram
     return objects.select("object").distinct().join(some, "object", "left").select("object", F.coalesce("facts", F.array(F.lit(absence))).alias("facts"))
 
 
+#: Rounds whose new pairs stay in tables of their own.
+KEPT = 16
+
+
 def reached(facts: DataFrame, calls: DataFrame) -> DataFrame:
     """Object, fact, via: facts that objects reach over calls and don't have themselves, by their smallest such callee.
 
     facts: object, fact; calls: source, target between objects.  The set of (object, fact) pairs grows by its newest pairs only until no pair is new, so cycles end by themselves.
+    A round writes its new pairs only; all pairs are written together once in KEPT rounds, so the plan stays small.
     """
     links = cut(calls.where("source <> target").select("source", "target").distinct())
     own = cut(facts.select("object", "fact").distinct())
     known = front = own
-    while True:
+    for k in count(1):
         new = links.join(front, links["target"] == front["object"]).select(F.col("source").alias("object"), "fact").distinct()
         front = cut(new.join(known, ["object", "fact"], "left_anti"))
         if front.isEmpty():
             break
-        known = cut(known.unionByName(front))
+        known = known.unionByName(front)
+        if k % KEPT == 0:
+            known = cut(known)
     via = links.join(known.withColumnRenamed("object", "target"), "target").groupBy(F.col("source").alias("object"), "fact").agg(F.min("target").alias("via"))
     return via.join(own, ["object", "fact"], "left_anti").select("object", "fact", "via")
 
