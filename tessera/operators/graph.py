@@ -28,7 +28,7 @@ def pagerank(edges: DataFrame, rounds: int, d: float = 0.85, tolerance: float |
     degree = out.groupBy("id").agg(F.count("*").alias("deg"))
     # links and ranks lie by id, so a round shuffles what is sent only
     base = cut(ids.join(degree, "id", "left").repartition("id"))
-    links = cut(out.repartition("id"))
+    links = cut(out.repartition("id"), laid=True)
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))

@@ -1,6 +1,6 @@
 """Strongly connected components in rounds that grow with the logarithm of paths.
 
-Beyond SMALL edges, three reductions take turns on the cluster until no edge is left.
+Three reductions take turns on the cluster until no more than SMALL edges are left, which one search on the driver takes.
 
 * Trimming: an edge out of a node that nothing leads to is on no cycle.
 * Contraction: a node that one edge only leads to hangs below the edge's source.  Such nodes form trees, whose roots are found by
@@ -26,7 +26,7 @@ from tessera.operators.cuts import cut
 
 
 #: Distinct edges up to which one search on the driver takes the place of dozens of rounds.
-SMALL = 200_000
+SMALL = 50_000
 
 
 def searched(links: list[tuple[int, int]]) -> dict[int, int]:
@@ -145,22 +145,18 @@ def _coloured(links: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """id, root (the smallest id) of every node's strong component; edges: a, b.
 
-    Up to `small` distinct edges are searched on the driver, which is quicker than rounds; the result is the same.
+    As soon as no more than `small` distinct edges are left, they are searched on the driver, which is quicker than rounds; the result is the same.
     """
     ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     ids = cut(ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).where("id is not null").distinct())
     links = cut(ends.where("a <> b").distinct())
-    some = links.limit(small + 1).collect() if small else []
-    if small and len(some) <= small:
-        roots = edges.sparkSession.createDataFrame(list(searched([(r["a"], r["b"]) for r in some]).items()), "id long, root long")
-        return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     none = edges.sparkSession.createDataFrame([], "id long, c long")
     known = lambda found: none if found is None else found
     steps: list[tuple[Trees, DataFrame | None]] = []
     found: DataFrame | None = None
     turned = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"))
     size = links.count()
-    while size:
+    while size > small:
         for _ in range(2):  # one way, then the other
             links, trees = _contracted(links)
             if trees:
@@ -177,6 +173,11 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
             links = cut(links.join(side("a"), "a").join(side("b"), "b").where("fa = fb and ga = gb and fa <> ga").select("a", "b"))
             left = links.count()
         size = left
+    if size:  # few enough for the driver
+        roots = searched([(r["a"], r["b"]) for r in links.collect()])
+        several = [(x, root) for x, root in roots.items() if root != x]
+        groups = [*several, *{(root, root) for _, root in several}]
+        found = cut(known(found).union(edges.sparkSession.createDataFrame(groups, "id long, c long")))
     for trees, earlier in reversed(steps):
         found = _undone(trees, found, known)
         if earlier is not None:

@@ -85,3 +85,21 @@ def test_hub_and_odd_rows(spark):
     assert found(spark, star) == plain(star)
     assert found(spark, []) == {}
     assert found(spark, [(None, 1), (1, None), (2, 3), (3, 2), (3, 2)]) == {1: 1, 2: 2, 3: 2}
+
+
+def test_a_cut_table_forgets_guessed_sizes(spark):
+    """A join's size is a product: kept over rounds, its digits double each time."""
+    t = strong.cut(spark.range(9))
+    for _ in range(8):
+        t = strong.cut(t.join(t.select("id"), "id"))
+    assert t.count() == 9
+    assert len(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 20
+
+
+def test_rounds_then_a_search(spark):
+    """What rounds leave over is searched on the driver, and meets what they found before."""
+    rng = random.Random(5)
+    links = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(90)} | {(60 + i, 60 + (i + 1) % 20) for i in range(20)} | {(a, b) for a in range(90, 96) for b in range(90, 96)})
+    want = strong.searched([(a, b) for a, b in links if a != b])
+    got = {r["id"]: r["root"] for r in strong.strong_components(spark.createDataFrame(links, "a long, b long"), small=40).collect()}
+    assert got == {i: want.get(i, i) for x in links for i in x}
