@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.facts import harvested
-from tessera.plans.packs import READS, WRITES, _declared, _running, after, annotated, says, test_methods, words
+from tessera.plans.packs import READS, WRITES, _declared, after, annotated, marked_class, marked_method, says, words
 
 
 @dataclass(frozen=True)
@@ -98,34 +98,51 @@ def _tier(value: Column, rule: str) -> Column:
 
 
 def method_rules(statements: DataFrame) -> DataFrame:
-    """Counts of each method against two bounds, and what test methods do."""
-    s = annotated(statements)
-    s = _running(s, "nest", OPENS, CLOSES)
-    k, t = F.col("kind"), F.col("t")
-    definitions = s.where(k == "MethodDef")
+    """Counts of each method against two bounds, and what test methods do.
+
+    One pass: what a statement says is told where it is split off, so only marks and numbers meet by file; from there on a file's rows stay together.
+    """
+    s = statements.select("object", F.col("filename").alias("file"), F.col("row").alias("line"), "seq", "kind", F.upper("text").alias("t"))
+    k, t, no = F.col("kind"), F.col("t"), F.lit("")
     section = F.regexp_replace(F.regexp_extract("t", r"(?s)(?<!\w)IMPORTING(?!\w)(.*)$", 1), r"(?s)(?<!\w)(EXPORTING|CHANGING|RETURNING|RAISING|EXCEPTIONS|PREFERRED\s+PARAMETER)(?!\w).*$", "")
     params = F.size(F.regexp_extract_all(section, F.lit(r"\w+\s+TYPE(?!\w)"), F.lit(0)))
-    d = definitions.withColumn("v", _tier(params, "gf-cx-param-count"))
-    out = emit(d, ("gf-cx-param-count", F.col("v"), "complexity", F.col("v").isNotNull()))
-
-    testing = definitions.where(says("FOR TESTING")).select("file", after("METHODS", start=True).alias("method")).distinct().withColumn("testing", F.lit(True))
-    doubles = s.where(t.rlike("CL_(ABAP_BEHV|CDS|OSQL)_TEST_ENVIRONMENT") & F.col("class").isNotNull()).select("file", "class").distinct().withColumn("double", F.lit(True))
-    inside = s.where(F.col("method").isNotNull())
-    body = k != "MethodImplementation"
-    base = F.min(F.when(~body, F.col("nest"))).over(W.partitionBy("file", "unit"))
-    m = inside.withColumn("deep", F.when(k.isin(*OPENS), F.col("nest") + 1 - base)).groupBy("object", "file", "class", "method", "unit").agg(
-        F.min("line").alias("line"), F.count_if(body).alias("count"), (1 + F.count_if(k.isin(*BRANCHES))).alias("cyclo"), F.coalesce(F.max("deep"), F.lit(0)).alias("nesting"), F.count_if(t.rlike(words("CL_ABAP_UNIT_ASSERT", "CL_AUNIT_ASSERT"))).alias("asserts"),
-        F.sum(F.size(F.regexp_extract_all("t", F.lit(r"->\w+\s*\("), F.lit(0)))).alias("calls"), F.count_if(t.rlike(r"(?<!\w)NEW\s+Z[CI]L_\w+\s*\(")).alias("made"), F.count_if(k.isin(*READS, *WRITES, "ExecSQL")).alias("db"),
+    s = s.select(
+        "object", "file", "line", "seq", (k != "MethodImplementation").alias("body"), marked_class(k).alias("class_"), marked_method(k).alias("method_"), F.when(k.isin(*OPENS), 1).when(k.isin(*CLOSES), -1).otherwise(0).alias("step"), k.isin(*BRANCHES).alias("branch"),
+        F.when(k == "MethodDef", _tier(params, "gf-cx-param-count")).alias("tier"), F.when((k == "MethodDef") & says("FOR TESTING"), after("METHODS", start=True)).alias("named"), t.rlike(words("CL_ABAP_UNIT_ASSERT", "CL_AUNIT_ASSERT")).alias("asserting"),
+        F.size(F.regexp_extract_all("t", F.lit(r"->\w+\s*\("), F.lit(0))).alias("call"), t.rlike(r"(?<!\w)NEW\s+Z[CI]L_\w+\s*\(").alias("making"), k.isin(*READS, *WRITES, "ExecSQL").alias("asking"), t.rlike("CL_(ABAP_BEHV|CDS|OSQL)_TEST_ENVIRONMENT").alias("doubling"),
+    )
+    w = W.partitionBy("file").orderBy("seq")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    s = s.withColumns({"_d": F.sum("step").over(so_far), "class": F.nullif(last("class_"), no), "method": F.nullif(last("method_"), no), "unit": F.sum((~F.col("body")).cast("int")).over(so_far)})
+    s = s.withColumn("_d", F.col("_d") - F.least(F.lit(0), F.min("_d").over(so_far)))
+    s = s.withColumn("nest", F.coalesce(F.lag("_d").over(w), F.lit(0)))
+    s = s.withColumn("base", last(F.when(~F.col("body"), F.col("nest"))))  # a unit begins with its METHOD
+    m = s.groupBy("object", "file", "class", "method", "unit").agg(
+        F.min("line").alias("line"), F.count_if("body").alias("count"), (1 + F.count_if("branch")).alias("cyclo"), F.coalesce(F.max(F.when(F.col("step") > 0, F.col("nest") + 1 - F.col("base"))), F.lit(0)).alias("nesting"), F.count_if("asserting").alias("asserts"),
+        F.sum("call").alias("calls"), F.count_if("making").alias("made"), F.count_if("asking").alias("db"), F.max(F.col("doubling") & F.col("class").isNotNull()).alias("double"), F.max(F.col("asserting") & F.col("body")).alias("proved"),
+        F.collect_set("named").alias("names"), F.collect_list(F.when(F.col("tier").isNotNull(), F.struct("tier", F.col("line").alias("at")))).alias("wide"),
     )
-    m = m.join(testing, ["file", "method"], "left").join(doubles, ["file", "class"], "left").withColumns({"testing": F.coalesce("testing", F.lit(False)), "double": F.coalesce("double", F.lit(False))})
+    m = m.withColumns({"double": F.max("double").over(W.partitionBy("file", "class")), "names": F.flatten(F.collect_list("names").over(W.partitionBy("file")))})
+    inside = F.col("method").isNotNull()
+    m = m.withColumn("testing", inside & F.coalesce(F.array_contains("names", F.col("method")), F.lit(False)))
+    # a test method of a test include asserts nothing in any of its units: told at the first of them
+    whole = W.partitionBy("file", "object", "class", "method")
+    mute = F.lower("file").contains(".testclasses.") & F.col("testing") & ~F.max("proved").over(whole) & (F.col("unit") == F.min("unit").over(whole))
+    m = m.withColumns({"first": F.min("line").over(whole), "mute": mute})
     counts = {"gf-cx-method-length": ("count", "complexity"), "gf-cx-cyclomatic": ("cyclo", "complexity"), "gf-cx-nesting-depth": ("nesting", "complexity"), "gf-test-assert-count": ("asserts", TEST), "gf-test-too-many-calls": ("calls", TEST)}
-    rules = []
+    found = lambda rule, severity, family, line: F.struct(F.lit(rule).alias("rule_id"), severity.alias("severity"), F.lit(family).alias("family"), line.cast("long").alias("line"))
+    warning, line = F.lit("warning"), F.col("line")
+    hits = []
     for rule, (name, family) in counts.items():
         v = _tier(F.col(name), rule)
-        rules.append((rule, v, family, v.isNotNull() & (F.col("testing") if family == TEST else F.lit(True))))
-    rules += [("gf-test-instantiates-prod", "warning", TEST, F.col("testing") & (F.col("made") > 0)), ("gf-x-test-hits-real-db", "warning", TEST, F.col("testing") & (F.col("db") > 0) & ~F.col("double"))]
-    mute = test_methods(statements).where("testing and not asserts")
-    return out.unionByName(emit(m, *rules)).unionByName(emit(mute, ("gf-hardy-test-no-assert", "warning", TEST, F.lit(True))))
+        hits.append(F.when(inside & v.isNotNull() & (F.col("testing") if family == TEST else F.lit(True)), found(rule, v, family, line)))
+    hits.append(F.when(F.col("testing") & (F.col("made") > 0), found("gf-test-instantiates-prod", warning, TEST, line)))
+    hits.append(F.when(F.col("testing") & (F.col("db") > 0) & ~F.col("double"), found("gf-x-test-hits-real-db", warning, TEST, line)))
+    hits.append(F.when(F.col("mute"), found("gf-hardy-test-no-assert", warning, TEST, F.col("first"))))
+    wide = F.transform("wide", lambda x: found("gf-cx-param-count", x["tier"], "complexity", x["at"]))
+    out = m.select("object", "file", F.explode(F.concat(F.array_compact(F.array(*hits)), wide)).alias("h"))
+    return out.select("h.rule_id", "h.severity", "h.family", "object", "file", "h.line")
 
 
 def untested(statements: DataFrame) -> DataFrame:

@@ -74,6 +74,16 @@ def _running(df: DataFrame, name: str, opens: tuple[str, ...], closes: tuple[str
     return d.withColumn(name, F.coalesce(F.lag("_d").over(w), F.lit(0))).drop("_d")
 
 
+def marked_class(k: Column) -> Column:
+    """The class that begins at a statement (an empty text: one ends), else null; t: upper-case text."""
+    return F.when(k.isin("ClassDefinition", "ClassImplementation", "Interface"), after("CLASS", "INTERFACE", start=True)).when(k == "EndClass", F.lit(""))
+
+
+def marked_method(k: Column) -> Column:
+    """The same of methods."""
+    return F.when(k == "MethodImplementation", F.regexp_extract("t", r"^METHOD\s+([\w~]+)", 1)).when(k.isin("EndMethod", "EndClass", "ClassDefinition", "ClassImplementation"), F.lit(""))
+
+
 def annotated(statements: DataFrame) -> DataFrame:
     """Statements with t (upper-case text), loop, block and enhancement depth before them, class, method and the number of their method."""
     w = W.partitionBy("file").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
@@ -82,9 +92,7 @@ def annotated(statements: DataFrame) -> DataFrame:
         d = _running(d, name, opens, closes)
     k, no = F.col("kind"), F.lit("")
     named = lambda c: F.nullif(F.last(c, ignorenulls=True).over(w), no)
-    in_class = F.when(k.isin("ClassDefinition", "ClassImplementation", "Interface"), after("CLASS", "INTERFACE", start=True)).when(k == "EndClass", no)
-    in_method = F.when(k == "MethodImplementation", F.regexp_extract("t", r"^METHOD\s+([\w~]+)", 1)).when(k.isin("EndMethod", "EndClass", "ClassDefinition", "ClassImplementation"), no)
-    return d.withColumns({"class": named(in_class), "method": named(in_method), "unit": F.sum((k == "MethodImplementation").cast("int")).over(w)})
+    return d.withColumns({"class": named(marked_class(k)), "method": named(marked_method(k)), "unit": F.sum((k == "MethodImplementation").cast("int")).over(w)})
 
 
 def _declared(rows: DataFrame, name: str, by: DataFrame) -> DataFrame:
@@ -366,9 +374,9 @@ def test_methods(statements: DataFrame) -> DataFrame:
 def test_quality(statements: DataFrame) -> DataFrame:
     """Test methods that assert nothing, neither themselves nor by a method of the same include that they name; public methods no test names."""
     m = test_methods(statements)
-    helpers = m.where("asserts").select("file", F.col("method").alias("helper"))
+    helpers = m.where("asserts").select("file", F.col("method").alias("helper")).hint("merge")
     mute = m.where("testing and not asserts")
-    helped = mute.join(helpers, "file").where(F.rlike("body", F.concat(F.lit(r"(?<![\w~])"), F.col("helper"), F.lit(r"(?![\w~])")))).select("file", "method").distinct()
+    helped = mute.join(helpers, "file").where(F.rlike("body", F.concat(F.lit(r"(?<![\w~])"), F.col("helper"), F.lit(r"(?![\w~])")))).select("file", "method").distinct().hint("merge")
     out = findings(mute.join(helped, ["file", "method"], "left_anti"), ("talos-test-no-assert", F.lit(True)))
 
     w = W.partitionBy("filename").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)

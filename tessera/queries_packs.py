@@ -23,9 +23,13 @@ Fragments = list[tuple[str, str, list[tuple[str, str]]]]
 
 
 def files(s, sf: str, fragments: Fragments, suffix: str, kind: str) -> DataFrame:
-    """object, object_type, filename, file, source of every part."""
+    """object, object_type, filename, file, source of every part.
+
+    A few bytes of a part become kilobytes of code, so the parts are dealt out first: one small file of them would be one task's work.
+    """
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
     source = F.concat(*[F.when(F.expr(c), F.lit(code)).otherwise("") for c, code, _ in fragments])
-    p = D.read(s, sf, "part").select(F.concat(F.lit("Z"), F.col("p_partkey").cast("string")).alias("object"), source.alias("source"))
+    p = D.read(s, sf, "part").repartition(parts).select(F.concat(F.lit("Z"), F.col("p_partkey").cast("string")).alias("object"), source.alias("source"))
     name = F.concat(F.lower("object"), F.lit(suffix))
     return p.select("object", F.lit(kind).alias("object_type"), name.alias("filename"), name.alias("file"), "source")
 

@@ -73,3 +73,28 @@ def test_kinds():
     for t in texts:
         want = next((k for p, k in bundle.KINDS if re.compile(p, re.IGNORECASE | re.DOTALL).match(t)), "Other")
         assert [k for _, k, _ in bundle.split_statements(t + ".")] == [want], t
+
+
+def test_method_rules_split_the_sources_once(spark):
+    """Every further use of the statements would split all sources again."""
+    from tessera.plans import linter
+
+    files = spark.createDataFrame([("Z", "CLAS", "z.clas.testclasses.abap", "CLASS z IMPLEMENTATION.\nMETHOD a.\nx = 1.\nENDMETHOD.\nENDCLASS.\nCLASS y DEFINITION.\nMETHODS a FOR TESTING.\nENDCLASS.")], "object string, object_type string, filename string, source string")
+    out = linter.method_rules(bundle.statements(files))
+    assert [(r["rule_id"], r["line"]) for r in out.collect()] == [("gf-hardy-test-no-assert", 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_code_of_a_small_table_is_dealt_out(spark):
+    from tessera import queries_packs
+
+    assert queries_packs.files(spark, "/root/testdata/sf0.001", [], ".abap", "PROG").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_joins_of_statements_are_no_guessed_broadcasts(spark):
+    """The code is thousands of times larger than the parts that Spark's guess starts from."""
+    from tessera import queries_packs
+    from tessera.plans import packs
+
+    both = queries_packs.files(spark, "/root/testdata/sf0.001", queries_packs.TESTS, ".clas.testclasses.abap", "CLAS").unionByName(queries_packs.files(spark, "/root/testdata/sf0.001", queries_packs.PUBLIC, ".clas.abap", "CLAS"))
+    assert "Broadcast" not in packs.test_quality(bundle.statements(both))._jdf.queryExecution().executedPlan().toString()
