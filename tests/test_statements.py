@@ -98,3 +98,11 @@ def test_joins_of_statements_are_no_guessed_broadcasts(spark):
 
     both = queries_packs.files(spark, "/root/testdata/sf0.001", queries_packs.TESTS, ".clas.testclasses.abap", "CLAS").unionByName(queries_packs.files(spark, "/root/testdata/sf0.001", queries_packs.PUBLIC, ".clas.abap", "CLAS"))
     assert "Broadcast" not in packs.test_quality(bundle.statements(both))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_split_some_bytes_at_a_time():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"source": ["x" * 300_000] * 20 + [None]})
+    parts = list(bundle.slices(iter([rows, rows.slice(0, 0)])))
+    assert sum(p.num_rows for p in parts) == 21 and max(p.num_rows for p in parts) <= 4
