@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.cuts import cut
+from tessera.operators.cuts import cut, met
 
 
 #: Distinct edges up to which one search on the driver takes the place of dozens of rounds.
@@ -85,7 +85,7 @@ def _doubled(parent: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     tables, steps, n = [now], 1, now.count()
     while True:
         ahead = now.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("low").alias("qlow"))
-        new = cut(now.join(ahead, "p", "left").select("id", F.coalesce("q", "p").alias("p"), F.least("low", "qlow").alias("low"), F.col("q").isNotNull().alias("on")))
+        new = cut(met(now, ahead, "p", "left").select("id", F.coalesce("q", "p").alias("p"), F.least("low", "qlow").alias("low"), F.col("q").isNotNull().alias("on")))
         if new.where("on").isEmpty():
             return tables, None
         now = new.select("id", "p", "low")
@@ -93,23 +93,23 @@ def _doubled(parent: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
         steps *= 2
         if steps > n:  # what still goes on is on a ring or hangs below one; on the ring is what is pointed at
             ring = new.where("on").select(F.col("p").alias("id")).distinct()
-            return tables, now.join(ring, "id", "left_semi").where("id = low").select("id")
+            return tables, met(now, ring, "id", "left_semi").where("id = low").select("id")
 
 
 def _contracted(links: DataFrame) -> tuple[DataFrame, Trees | None]:
     """The links(a, b) between the roots of trees of nodes with one way in."""
     into = cut(links.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("p")))
-    links = links.join(into.select(F.col("b").alias("a")), "a", "left_semi")  # trimmed
+    links = met(links, into.select(F.col("b").alias("a")), "a", "left_semi")  # trimmed
     parent = into.where("n = 1").select(F.col("b").alias("id"), "p")
     if parent.isEmpty():
         return cut(links), None
     tables, rings = _doubled(parent)
     if rings is not None:
-        parent = parent.join(rings, "id", "left_anti")
+        parent = met(parent, rings, "id", "left_anti")
         tables, _ = _doubled(parent)
     roots = tables[-1].select("id", F.col("p").alias("root"))
-    others = links.join(roots.select(F.col("id").alias("b")), "b", "left_anti")
-    others = others.join(roots.withColumnRenamed("id", "a"), "a", "left").select(F.col("a").alias("x"), F.coalesce("root", "a").alias("rx"), F.col("b").alias("y"))
+    others = met(links, roots.select(F.col("id").alias("b")), "b", "left_anti")
+    others = met(others, roots.withColumnRenamed("id", "a"), "a", "left").select(F.col("a").alias("x"), F.coalesce("root", "a").alias("rx"), F.col("b").alias("y"))
     others = cut(others)
     return cut(others.where("rx <> y").select(F.col("rx").alias("a"), F.col("y").alias("b")).distinct()), Trees(tables, roots, others)
 
@@ -117,13 +117,13 @@ def _contracted(links: DataFrame) -> tuple[DataFrame, Trees | None]:
 def _undone(trees: Trees, found: DataFrame | None, known: Callable[[DataFrame | None], DataFrame]) -> DataFrame | None:
     """found(id, c), the components of several nodes among roots, with the tree nodes that belong to one."""
     name = lambda side: known(found).select(F.col("id").alias(side), F.col("c").alias(f"c_{side}"))
-    back = trees.others.join(name("rx"), "rx", "left").join(name("y"), "y", "left")
+    back = met(met(trees.others, name("rx"), "rx", "left"), name("y"), "y", "left")
     marked = cut(back.where(F.coalesce("c_rx", "rx") == F.coalesce("c_y", "y")).select(F.col("x").alias("id")).distinct())
     if marked.isEmpty():
         return found
     for table in trees.pointers:  # all that is above, within twice as many steps each time
-        marked = cut(marked.union(marked.join(table, "id").select("p")).distinct())
-    own = marked.join(trees.roots, "id").join(known(found).select(F.col("id").alias("root"), "c"), "root", "left").select("id", F.coalesce("c", "root").alias("c"), "root")
+        marked = cut(marked.union(met(marked, table, "id").select("p")).distinct())
+    own = met(met(marked, trees.roots, "id"), known(found).select(F.col("id").alias("root"), "c"), "root", "left").select("id", F.coalesce("c", "root").alias("c"), "root")
     own = cut(own)
     new = own.select("id", "c").union(own.where("c = root").select("root", "c")).distinct()
     return cut(known(found).union(new).distinct())
@@ -134,12 +134,12 @@ def _coloured(links: DataFrame) -> DataFrame:
     ids = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     now = cut(ids.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("c")).alias("first")))
     while True:
-        come = links.join(now.select(F.col("id").alias("a"), "first"), "a").groupBy(F.col("b").alias("id")).agg(F.min("first").alias("come"))
-        new = cut(now.join(come, "id", "left").select("id", F.least("first", "come").alias("first"), (F.col("come") < F.col("first")).alias("changed")))
+        come = met(links, now.select(F.col("id").alias("a"), "first"), "a").groupBy(F.col("b").alias("id")).agg(F.min("first").alias("come"))
+        new = cut(met(now, come, "id", "left").select("id", F.least("first", "come").alias("first"), (F.col("come") < F.col("first")).alias("changed")))
         if new.where("changed").isEmpty():
             return new.select("id", F.col("first.c").alias("c"))
         far = new.select(F.col("id").alias("c"), F.col("first").alias("far"))
-        now = cut(new.select("id", "first", F.col("first.c").alias("c")).join(far, "c").select("id", F.least("first", "far").alias("first")))
+        now = cut(met(new.select("id", "first", F.col("first.c").alias("c")), far, "c").select("id", F.least("first", "far").alias("first")))
 
 
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
@@ -166,11 +166,11 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         left = links.count()
         if left > size // 2:
             to, back = _coloured(links), _coloured(turned(links))
-            both = cut(to.withColumnRenamed("c", "f").join(back.withColumnRenamed("c", "g"), "id"))
+            both = cut(met(to.withColumnRenamed("c", "f"), back.withColumnRenamed("c", "g"), "id"))
             new = both.where("f = g").select("id", F.col("f").alias("c"))
             found = cut(known(found).union(new))
             side = lambda s: both.select(F.col("id").alias(s), F.col("f").alias(f"f{s}"), F.col("g").alias(f"g{s}"))  # noqa: E731, B023
-            links = cut(links.join(side("a"), "a").join(side("b"), "b").where("fa = fb and ga = gb and fa <> ga").select("a", "b"))
+            links = cut(met(met(links, side("a"), "a"), side("b"), "b").where("fa = fb and ga = gb and fa <> ga").select("a", "b"))
             left = links.count()
         size = left
     if size:  # few enough for the driver
@@ -183,5 +183,5 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         if earlier is not None:
             found = cut(known(found).union(earlier).distinct())
     low = known(found).groupBy("c").agg(F.min("id").alias("root"))
-    named = known(found).join(low, "c").select("id", "root")
-    return ids.join(named, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    named = met(known(found), low, "c").select("id", "root")
+    return met(ids, named, "id", "left").select("id", F.coalesce("root", "id").alias("root"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.cuts import cut
+from tessera.operators.cuts import cut, met
 from tessera.operators.strong import searched
 from tessera.plans.facts import condensed
 from tessera.sources.artifacts import without_comments
@@ -347,8 +347,9 @@ def feedback_arcs(edges: DataFrame, budget: int) -> DataFrame:
     """
     members = cut(condensed(edges)[0])
     large = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > budget)
-    m = members.join(large.select("root"), "root", "left_semi")
-    inside = edges.select("a", "b").distinct().join(m.withColumnRenamed("id", "a"), "a").join(m.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").where("root = rb").select("root", "a", "b")
+    m = cut(met(members, large.select("root"), "root", "left_semi"))
+    ends = met(edges.select("a", "b").distinct(), m.select(F.col("id").alias("a"), "root"), "a")
+    inside = met(ends, m.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").where("root = rb").select("root", "a", "b")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         links = set(zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True))
