@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.cuts import cut
+from tessera.operators.cuts import cut, met
 
 
 def spread(declared: DataFrame, flows: DataFrame) -> DataFrame:
     """var, type of all variables: declared(var, type), and flows(src, dst) into variables that have no declaration."""
     known = front = cut(declared.select("var", "type").distinct())
-    open_ = cut(flows.select("src", "dst").distinct().join(declared.select(F.col("var").alias("dst")).distinct(), "dst", "left_anti"))
+    open_ = cut(met(flows.select("src", "dst").distinct(), declared.select(F.col("var").alias("dst")).distinct(), "dst", "left_anti"))
     while True:
-        front = front.withColumnRenamed("var", "src").join(open_, "src").select(F.col("dst").alias("var"), "type").distinct()
-        front = cut(front.join(known, ["var", "type"], "left_anti"))
+        front = met(front.withColumnRenamed("var", "src"), open_, "src").select(F.col("dst").alias("var"), "type").distinct()
+        front = cut(met(front, known, ["var", "type"], "left_anti"))
         if front.isEmpty():
             return known
         known = known.unionByName(front)
@@ -34,10 +34,10 @@ def defined(wanted: DataFrame, inherits: DataFrame, methods: DataFrame) -> DataF
     front = cut(wanted.select("type", "method").distinct().withColumn("at", F.col("type")))
     seen, done = front, None
     while True:
-        found = front.join(own, ["at", "method"]).select("type", "method", F.col("at").alias("owner"))
+        found = cut(met(front, own, ["at", "method"]).select("type", "method", F.col("at").alias("owner")))
         done = found if done is None else done.unionByName(found)
-        rest = front.join(own, ["at", "method"], "left_anti").join(up, "at").select("type", "method", F.col("super").alias("at")).distinct()
-        front = cut(rest.join(seen, ["type", "method", "at"], "left_anti"))
+        rest = met(met(front, own, ["at", "method"], "left_anti"), up, "at").select("type", "method", F.col("super").alias("at")).distinct()
+        front = cut(met(rest, seen, ["type", "method", "at"], "left_anti"))
         if front.isEmpty():
             return done
         seen = seen.unionByName(front)
@@ -45,9 +45,9 @@ def defined(wanted: DataFrame, inherits: DataFrame, methods: DataFrame) -> DataF
 
 def resolved(calls: DataFrame, declared: DataFrame, flows: DataFrame, inherits: DataFrame, methods: DataFrame) -> DataFrame:
     """source, owner, method of calls(source, var, method) whose variable has a class that defines or inherits the method."""
-    typed = calls.join(spread(declared, flows), "var").select("source", "type", "method").distinct()
+    typed = met(calls, spread(declared, flows), "var").select("source", "type", "method").distinct()
     typed = cut(typed)
-    return typed.join(defined(typed, inherits, methods), ["type", "method"]).select("source", "owner", "method").distinct()
+    return met(typed, defined(typed, inherits, methods), ["type", "method"]).select("source", "owner", "method").distinct()
 
 
 def instance_edges(statements: DataFrame) -> DataFrame:

@@ -29,3 +29,14 @@ def test_strong_components_send_nothing_by_broadcast(spark, plans):
     got = dict(map(tuple, strong.strong_components(spark.createDataFrame(links, "a long, b long"), small=5).collect()))
     assert got == {x: r for x, r in strong.searched(links).items()}
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_references_send_nothing_by_broadcast(spark, plans):
+    from tessera.plans import types
+
+    table = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    out = types.resolved(table([(i, i, 1) for i in range(9)], "source", "var", "method"), table([(0, 6)], "var", "type"), table([(i // 2, i) for i in range(1, 9)], "src", "dst"), table([(6, 3), (3, 1)], "type", "super"), table([(1, 1), (6, 2)], "type", "method"))
+    rows = {tuple(r) for r in out.collect()}
+    assert rows == {(i, 1, 1) for i in range(9)}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
