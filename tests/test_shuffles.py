@@ -40,3 +40,14 @@ def test_references_send_nothing_by_broadcast(spark, plans):
     assert rows == {(i, 1, 1) for i in range(9)}
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_reciprocals_need_no_join(spark):
+    from tessera.operators.joins import unreciprocated
+
+    rng = random.Random(3)
+    links = [(rng.choice([None, *range(-3, 12)]), rng.choice([None, *range(-3, 12)])) for _ in range(150)]
+    out = unreciprocated(spark.createDataFrame(links, "a int, b long"))
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for a, b in links if a is None or b is None or (b, a) not in links}
+    assert out.dtypes == [("a", "int"), ("b", "bigint")] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
