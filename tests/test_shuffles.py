@@ -51,3 +51,16 @@ def test_reciprocals_need_no_join(spark):
     rows = [tuple(r) for r in out.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for a, b in links if a is None or b is None or (b, a) not in links}
     assert out.dtypes == [("a", "int"), ("b", "bigint")] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hubs_take_a_bounded_number_of_links_a_task(spark, monkeypatch):
+    from tessera.operators.orders import hubs
+
+    monkeypatch.setattr(cuts, "SHARE", 20)
+    rng = random.Random(5)
+    links = [(f"S{rng.randrange(30)}", f"P{rng.randrange(12)}") for _ in range(600)]
+    n = {x: links.count(x) for x in links}
+    want = {s: min((-n[x], x[1]) for x in n if x[0] == s)[1] for s in {s for s, _ in links} if any(n[x] > 1 for x in n if x[0] == s)}
+    out = hubs(spark.createDataFrame(links, "source string, target string"))
+    assert dict(map(tuple, out.collect())) == want
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
