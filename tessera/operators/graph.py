@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.cuts import cut
+from tessera.operators.cuts import cut, dealt
 from tessera.operators.strong import strong_components
 
 
@@ -106,18 +106,20 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, "id", "left").select("id", F.when(F.col("kind") == "table", "data").when(F.col("used"), "internal").otherwise("entry").alias("layer"))
 
 
-def boundaries(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def boundaries(edges: DataFrame, nodes: DataFrame, total: int | None = None) -> DataFrame:
     """Targets that another object calls, with the number of calling objects."""
     from tessera.operators.joins import with_owners
 
-    return with_owners(edges, nodes).where("source_owner <> target_owner").groupBy(F.col("target").alias("id")).agg(F.countDistinct("source_owner").alias("callers"))
+    return with_owners(edges, nodes, total).where("source_owner <> target_owner").groupBy(F.col("target").alias("id")).agg(F.countDistinct("source_owner").alias("callers"))
 
 
-def object_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between objects with the number of links of each kind."""
+def object_graph(edges: DataFrame, nodes: DataFrame, total: int | None = None) -> DataFrame:
+    """Edges between objects with the number of links of each kind; total: a bound of the number of edges, for tasks of a bounded number of rows."""
     from tessera.operators.joins import with_owners
 
-    return with_owners(edges, nodes).where("source_owner <> target_owner").groupBy("source_owner", "target_owner", "kind").agg(F.count("*").alias("links"))
+    between = with_owners(edges, nodes, total).where("source_owner <> target_owner").select("source_owner", "target_owner", "kind")
+    between = between if total is None else dealt(between, "source_owner", "target_owner", total=total)
+    return between.groupBy("source_owner", "target_owner", "kind").agg(F.count("*").alias("links"))
 
 
 def build_nodes(objects: DataFrame, edges: DataFrame) -> DataFrame:

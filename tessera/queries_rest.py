@@ -157,7 +157,7 @@ def _(s, sf):
 
 @query("G17_dependency_counts", D.with_("nodes", "edges") + "SELECT coalesce(a.object,e.source) AS object, count(DISTINCT coalesce(b.object,e.target)) AS needs FROM edges e LEFT JOIN nodes a ON a.id=e.source LEFT JOIN nodes b ON b.id=e.target WHERE coalesce(a.object,e.source)<>coalesce(b.object,e.target) GROUP BY 1")
 def _(s, sf):
-    return G.object_graph(D.edges(s, sf), D.nodes(s, sf)).groupBy(F.col("source_owner").alias("object")).agg(F.countDistinct("target_owner").alias("needs"))
+    return G.object_graph(D.edges(s, sf), D.nodes(s, sf), D.edges_at_most(s, sf)).groupBy(F.col("source_owner").alias("object")).agg(F.countDistinct("target_owner").alias("needs"))
 
 
 @query("G26_possible_cycles", "WITH RECURSIVE " + D.SQL["cyc"] + ", r(a,b) AS (SELECT a,b FROM cyc UNION SELECT r.a, cyc.b FROM r JOIN cyc ON cyc.a=r.b) SELECT DISTINCT c.a, c.b, EXISTS (SELECT 1 FROM r WHERE r.a=c.b AND r.b=c.a) AS possible_cycle FROM cyc c WHERE c.a<>c.b")

@@ -64,3 +64,20 @@ def test_hubs_take_a_bounded_number_of_links_a_task(spark, monkeypatch):
     out = hubs(spark.createDataFrame(links, "source string, target string"))
     assert dict(map(tuple, out.collect())) == want
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owners_take_a_bounded_number_of_edges_a_task(spark, monkeypatch):
+    from tessera.operators.graph import object_graph
+
+    monkeypatch.setattr(cuts, "SHARE", 20)
+    edges = [(f"A{i % 17}", f"B{i % 23}", "uses") for i in range(500)]
+    nodes = [(f"A{i}", f"O{i % 5}") for i in range(17)] + [(f"B{i}", f"O{i % 7}") for i in range(20)]
+    name = dict(nodes)
+    want = {}
+    for a, b, k in edges:
+        x, y = name.get(a, a), name.get(b, b)
+        if x != y:
+            want[x, y, k] = want.get((x, y, k), 0) + 1
+    out = object_graph(spark.createDataFrame([(*e, None) for e in edges], "source string, target string, kind string, access string"), spark.createDataFrame(nodes, "id string, object string"), len(edges))
+    assert {tuple(r[:3]): r[3] for r in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
