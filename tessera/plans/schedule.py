@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.aggregates import range_digest
 
-from tessera.operators.graph import cut
+from tessera.operators.cuts import cut, dealt, met
 
 #: States, dispositions, reasons that a human may clear, the retry ceiling, decisions of the two gates, review prefixes, standard tables.
 RESTED = ("GREEN", "SYNTAX_OK", "PROVISIONAL_GATED", "BLOCK", "PARK", "NEEDS_MANUAL_SEAM", "RETIRED", "REBUILT_HANDOFF")
@@ -26,24 +29,48 @@ STANDARD_TABLES = {
 }
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """win, lose: the rows (win, lose) of a batch, sorted by win, as one array for each win."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        win = b.column("win")
+        new = pc.indices_nonzero(pc.not_equal(win.slice(1), win.slice(0, len(win) - 1))).to_numpy() + 1
+        starts = np.concatenate(([0], new)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([win.take(pa.array(starts)), pa.ListArray.from_arrays(pa.array(np.append(starts, np.int32(len(win)))), b.column("lose"))], ["win", "lose"])
+
+
 def frontier(ready: DataFrame, links: DataFrame, keys: DataFrame, order: Sequence[Column], cap: int | None = None) -> DataFrame:
     """Id of the nodes to start: worst first, no two of them linked or sharing a key, `cap` at most.
 
     Equal to the sequential greedy choice, by rounds: a node is taken if no open node that it excludes is worse; those it excludes go.
-    Links and keys are groups with members, so a key of many holders never makes pairs.
+    Keys are groups with members, so a key of many holders never makes pairs.  A link is kept once, from its worse end to the other one
+    (the links of a node are packed as arrays, a hub's in several), and no longer than both ends are open.
     """
-    pairs = links.where("source <> target").select(F.concat_ws("|", F.lit("e"), "source", "target").alias("g"), F.explode(F.array("source", "target")).alias("id"))
-    groups = cut(pairs.union(keys.select(F.concat_ws("|", F.lit("k"), "key").alias("g"), "id")).distinct().join(ready.select("id"), "id", "left_semi"))
     open_ = cut(ready.select("id", F.struct(*order, F.col("id").alias("i")).alias("rank")))
+    held = cut(met(keys.select("key", "id").distinct(), ready.select("id"), "id", "left_semi"))
+    ends = links.where("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    total = links.count()
+    for x in "ab":
+        ends = met(dealt(ends, x, total=total), open_.select(F.col("id").alias(x), F.col("rank").alias("r" + x)), x)
+    first = F.col("ra") < F.col("rb")
+    ends = ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("win"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lose"))
+    kind = ends.schema["win"].dataType.simpleString()
+    rest = cut(dealt(ends, "win", total=total).sortWithinPartitions("win").mapInArrow(_packed, f"win {kind}, lose array<{kind}>"))
     taken = None
     while not open_.isEmpty():
-        held = groups.join(open_, "id")
-        low = held.groupBy("g").agg(F.min("rank").alias("low"))
-        lost = held.join(low, "g").where(F.col("rank") > F.col("low")).select("id").distinct()
-        won = cut(open_.join(lost, "id", "left_anti"))
-        out = groups.join(groups.join(won.select("id"), "id", "left_semi").select("g").distinct(), "g", "left_semi").select("id").distinct()
+        now = met(held, open_, "id")
+        low = now.groupBy("key").agg(F.min("rank").alias("low"))
+        behind = met(now, low, "key").where(F.col("rank") > F.col("low")).select("id")
+        lost = behind.union(rest.select(F.explode("lose").alias("id"))).distinct()
+        won = cut(met(open_, lost, "id", "left_anti"))
+        full = met(held, won.select("id"), "id", "left_semi").select("key").distinct()
+        out = met(held, full, "key", "left_semi").select("id").union(met(rest, won.select(F.col("id").alias("win")), "win", "left_semi").select(F.explode("lose").alias("id")))
         taken = won if taken is None else taken.unionByName(won)
-        open_ = cut(open_.join(out, "id", "left_anti").join(won.select("id"), "id", "left_anti"))
+        open_ = cut(met(met(open_, out.distinct(), "id", "left_anti"), won.select("id"), "id", "left_anti"))
+        ids = open_.select(F.col("id").alias("win"))
+        both = met(met(rest, ids, "win", "left_semi").select("win", F.explode("lose").alias("lose")), ids.withColumnRenamed("win", "lose"), "lose", "left_semi")
+        rest = cut(both.select("win", F.array("lose").alias("lose")))
     taken = open_ if taken is None else taken
     return (taken if cap is None else taken.orderBy("rank").limit(cap)).select("id")
 

@@ -186,7 +186,7 @@ def _(s, sf):
 def _(s, sf):
     p = D.read(s, sf, "part")
     ready = p.select(F.col("p_partkey").alias("id"), "p_size", F.substring("p_brand", -1, 1).alias("grade"))
-    links = D.read(s, sf, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
+    links = D.read(s, sf, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"))
     return S.frontier(ready, links, ready.select("id", F.floor(F.col("id") / 12).alias("key")), [P.grade_rank(F.col("grade")).alias("g"), (-F.col("p_size")).alias("s")])
 
 

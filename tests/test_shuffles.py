@@ -81,3 +81,30 @@ def test_owners_take_a_bounded_number_of_edges_a_task(spark, monkeypatch):
     out = object_graph(spark.createDataFrame([(*e, None) for e in edges], "source string, target string, kind string, access string"), spark.createDataFrame(nodes, "id string, object string"), len(edges))
     assert {tuple(r[:3]): r[3] for r in out.collect()} == want
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+
+
+def test_frontier_keeps_links_once_and_packed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tessera.plans import schedule
+
+    kept = []
+
+    def counted(df, laid=False):
+        out = cuts.cut(df, laid)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(schedule, "cut", counted)
+    rng = random.Random(11)
+    size = {i: rng.randrange(5) for i in range(60)}
+    links = [(a, b) for a in range(40) for b in range(40, 70) for _ in range(2) if rng.random() < 0.3] + [(1, 1), (2, 3)]
+    keys = [(i, i // 4) for i in range(60)]
+    near = {(a, b) for a, b in links if a != b}
+    want: list[int] = []
+    for i in sorted(size, key=lambda i: (-size[i], i)):
+        if not any((i, j) in near or (j, i) in near or i // 4 == j // 4 for j in want):
+            want.append(i)
+    ready = spark.createDataFrame(list(size.items()), "id long, size long")
+    out = schedule.frontier(ready, spark.createDataFrame(links, "source long, target long"), spark.createDataFrame(keys, "id long, key long"), [(-F.col("size")).alias("s")])
+    assert sorted(r["id"] for r in out.collect()) == sorted(want)
+    assert max(kept) <= 60 * 8 < len(near)  # a row for each node and batch of a task at most
