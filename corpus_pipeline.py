@@ -19,7 +19,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """5: of each group of near copies the document with the smallest id stays; of repeated rows of one id, one."""
+    """5: of each component of fingerprints, and of each group of near copies, the document with the smallest id stays; of repeated rows of one id, one."""
     return simhash.keep_one(docs)
 
 

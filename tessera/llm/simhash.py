@@ -413,12 +413,16 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The documents without near copies of documents with smaller ids, with all their columns.
+    """The documents that are the first of their component of fingerprints and of their group of near copies, with all their columns.
 
+    The components are those of `simhash_components`: fingerprints, blocks of bits, tries.  Near copies whose fingerprints lie farther
+    apart than the budget, as edits of five-word shingles make them, are found by `near_duplicates` besides.
     Rows without an id stay.  Of several rows with one id that are kept, the one with the first text stays.
     """
+    linked = written(simhash_components(docs), "linked")
     keepers = written(near_duplicates(docs, size), "keepers")
-    gone = written(keepers.where("doc_id <> keeper").select("doc_id").distinct(), "gone")
+    later = linked.where("doc_id <> component_id").select("doc_id").union(keepers.where("doc_id <> keeper").select("doc_id"))
+    gone = written(later.distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= SENT else gone.hint("merge")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if keepers.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
