@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import hot_join, steps, texts, written
-from tessera.llm.graph import components
+from tessera.llm.graph import components, union
 
 BUDGET = 4
 #: Fingerprints of one bucket above which it is dealt again.
@@ -67,22 +67,6 @@ def fingerprint(text: str, size: int = 4) -> np.uint64:
 # ---------------------------------------------------------------- trie join
 
 
-def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the sets of a[i] and b[i]; label leads every row to the smallest of its set."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label[:] = up
-
-
 def trie_forest(group: np.ndarray, rest: np.ndarray, budget: int = BUDGET, held: int = HELD) -> np.ndarray:
     """For rows sorted by (group, rest), the first row of each row's component within its group.
 
@@ -115,7 +99,7 @@ def trie_forest(group: np.ndarray, rest: np.ndarray, budget: int = BUDGET, held:
             k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
             a, b = lo1[which] + k // n2[which], lo2[which] + k % n2[which]
             near = (a < b) & (np.bitwise_count(key[a] ^ key[b]) <= budget)
-            _union(label, a[near], b[near])
+            union(label, a[near], b[near])
         if small.all():
             continue
         lo1, hi1, lo2, hi2, diff = (x[~small] for x in (lo1, hi1, lo2, hi2, diff))

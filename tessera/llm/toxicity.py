@@ -38,8 +38,8 @@ WINDOW, OVERLAP = 48, 16
 GRAMS, ALONE, TOGETHER = (5, 6, 8), (40, float("inf")), (4, 40)
 #: Bytes of the shared base, of each class's trained part and of its whole passages; length of the trainer's segments.
 BASE, TRAINED, TYPICAL, SEGMENT = 6_000, 2_000, 24_000, 16
-#: Rows whose strings are counted at once.
-BLOCK = 200
+#: Rows whose strings are counted at once; parts of all strings (a power of two) that are counted one after another, and the factor that deals them.
+BLOCK, PARTS, _SPREAD = 200, 4, np.uint64(0x9E3779B97F4A7C15)
 #: Bytes put before each window.
 LEAD = 28
 #: Saved bytes beyond which a window counts.
@@ -60,11 +60,15 @@ def _codes(data: bytes, gram: int) -> np.ndarray:
     return out
 
 
-def _frequencies(rows: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of `gram` bytes and the number of rows with each; some rows at a time, so only distinct strings are held."""
+def _frequencies(rows: list[bytes], gram: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of `gram` bytes of one part of PARTS and the number of rows with each; some rows at a time, so only distinct strings are held."""
     codes, counts = np.zeros(0, np.uint64), np.zeros(0)
     for at in range(0, len(rows), BLOCK):
-        new = np.concatenate([np.unique(_codes(r, gram)) for r in rows[at : at + BLOCK]])
+        new = []
+        for r in rows[at : at + BLOCK]:
+            x = _codes(r, gram)
+            new.append(np.unique(x[(x * _SPREAD) >> np.uint64(32) & np.uint64(PARTS - 1) == part]))
+        new = np.concatenate(new)
         codes, place = np.unique(np.concatenate((codes, new)), return_inverse=True)
         counts = np.bincount(place, np.concatenate((counts, np.ones(len(new)))), len(codes))
     return codes, counts
@@ -77,20 +81,36 @@ def _of(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(table[0][at] == codes, table[1][at], 0)
 
 
-def _telling(mine: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int, times: tuple[float, float]) -> np.ndarray:
-    """The strings that rows of this class hold so many times as often, beyond what the best of so many strings reaches by chance."""
+def _ratios(mine: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int, times: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that rows of this class hold so many times as often as the other's, and their likelihood ratios."""
     a, b = mine[1].astype(float), _of(mine[0], other).astype(float)
+    often = a * m / ((b + 0.5) * max(1, n))
+    often = (often > times[0]) & (often <= times[1])
+    codes, a, b = mine[0][often], a[often], b[often]
     p = (a + b) / max(1, n + m)
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda k, of, q: np.where(k > 0, k * np.log(k / (of * q)), 0)
-        ratio = 2 * (part(a, n, p) + part(b, m, p) + part(n - a, n, 1 - p) + part(m - b, m, 1 - p))
-    often = a * m / ((b + 0.5) * max(1, n))
-    return mine[0][(often > times[0]) & (often <= times[1]) & (ratio > 2 * np.log(max(2, len(a))))]
+        return codes, 2 * (part(a, n, p) + part(b, m, p) + part(n - a, n, 1 - p) + part(m - b, m, 1 - p))
 
 
-def _typical(rows: list[bytes], others: list[bytes], times: tuple[float, float]) -> list[list[bytes]]:
-    """Each row's passages that telling strings of any length make up; passages of one row only are left out."""
-    good = {g: _telling(_frequencies(rows, g), len(rows), _frequencies(others, g), len(others), times) for g in GRAMS}
+def _telling(of: dict[int, list[bytes]], gram: int, cases: list[tuple[int, tuple[float, float]]]) -> list[np.ndarray]:
+    """For each case (class, times) the strings that its rows hold so many times as often, beyond what the best of so many strings reaches by chance.
+
+    The strings are counted in PARTS parts, one after another, once for all cases: a part's tables are all that is held.
+    """
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in cases]
+    distinct = {0: 0, 1: 0}
+    for p in range(PARTS):
+        table = {v: _frequencies(of[v], gram, p) for v in of}
+        for v in of:
+            distinct[v] += len(table[v][0])
+        for k, (v, times) in enumerate(cases):
+            found[k].append(_ratios(table[v], len(of[v]), table[1 - v], len(of[1 - v]), times))
+    return [np.concatenate([codes[ratio > 2 * np.log(max(2, distinct[v]))] for codes, ratio in x]) for x, (v, _) in zip(found, cases, strict=True)]
+
+
+def _typical(rows: list[bytes], good: dict[int, np.ndarray]) -> list[list[bytes]]:
+    """Each row's passages that telling strings (good, by their length) make up; passages of one row only are left out."""
     out = []
     for r in rows:
         step = np.zeros(len(r) + 1, np.int64)
@@ -228,7 +248,9 @@ def _dictionaries(rows: list[tuple[str, int]]) -> Dictionaries:
     """The ordinary dictionary, that of toxic passages that tell alone, and that of those that tell together."""
     of = {v: [folded(t) for t, y in rows if y == v] for v in (0, 1)}
     base = _base(of[0][:: 1 + len(of[0]) // 1500])
-    content = [_content(_typical(of[v], of[1 - v], times)) for v, times in ((0, (TOGETHER[0], ALONE[1])), (1, ALONE), (1, TOGETHER))]
+    cases = [(0, (TOGETHER[0], ALONE[1])), (1, ALONE), (1, TOGETHER)]
+    good = {g: _telling(of, g, cases) for g in GRAMS}
+    content = [_content(_typical(of[v], {g: good[g][k] for g in GRAMS})) for k, (v, _) in enumerate(cases)]
     return Dictionaries(*(c + base for c in content))
 
 
