@@ -27,6 +27,8 @@ STEP_BYTES = 1 << 20
 HOT = 4096
 #: Bytes of text of each class that a training sample holds at most.
 TOTAL = 32 << 20
+#: Small rows for which a task and a file are worth it.
+FILE_ROWS = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df in no more parts than one for `each` of its `rows` rows; nothing is shuffled, and parts that are fewer stay.
+
+    Without Hadoop's native library every file and folder of a task costs its executor a process (chmod).
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation.
+
+    rows: about how many small rows there are, if that is known; they get no more files than few() leaves.
+    """
     spark = df.sparkSession
+    df = df if rows is None else few(df, rows)
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hot_join, written
+from tessera.llm.common import few, hot_join, written
 
 #: Links that a task contracts at once.
 CHUNK = 1 << 18
@@ -70,21 +70,27 @@ def _small_star(links: DataFrame, n: int) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def components(links: DataFrame, chunk: int = CHUNK, nodes: int | None = None) -> DataFrame:
     """node, root for every node of links(a, b), whole numbers; root is the smallest node of its component.
 
-    Every task contracts its own links first, so links that fit one part need no round.  Rounds go on until
-    every node has one link, to a node without a smaller one; each makes the sum of all ends smaller.  Their number grows with
-    the logarithm of the nodes; every round is written to the shared folder.  No row reaches the driver.
+    Every task contracts its own links first; as soon as `chunk` links at most are left, one task contracts them and no
+    round is needed.  With more, rounds go on until every node has one link, to a node without a smaller one; each makes the
+    sum of all ends smaller, and about `chunk` links meet in a task.  Their number grows with the logarithm of the nodes; every
+    round is written to the shared folder.  No row reaches the driver.
     The links of a node that has many don't meet in one task: it joins by broadcast.
+    nodes: about how many there are, if that is known; small tables then lie in few parts.
     """
-    now = written(_contracted(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), chunk), "links")
+    first = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = written(_contracted(first if nodes is None else few(first, nodes), chunk), "links")
     while True:
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(now.select("b", F.lit(0)))
         each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
         n, open_ = each.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("low") == 0)))).first()
         if not open_:
             break
-        star = written(_large_star(now, n), "star")
-        now = written(_contracted(_small_star(star, n), chunk), "links")
+        if n <= chunk:
+            now = written(_contracted(now.coalesce(1), chunk), "links")
+            break
+        star = written(_large_star(now, n), "star", n)
+        now = written(_contracted(few(_small_star(star, n), n, chunk), chunk), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hot_join, steps, texts, written
+from tessera.llm.common import few, hot_join, steps, texts, written
 from tessera.llm.graph import components, union
 
 BUDGET = 4
@@ -213,12 +213,12 @@ def simhash_components(docs: DataFrame, size: int = 4, budget: int = BUDGET, spl
     """
     prints = written(fingerprints(docs, size), "prints")
     total = prints.count()
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")), "fingerprints")
-    linked = components(trie_links(nodes.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("node")), budget, split))
-    roots = written(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "k", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")), "fingerprints", total)
+    linked = components(trie_links(nodes.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("node")), budget, split), nodes=total)
+    roots = written(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "k", "low", F.coalesce("root", "fp").alias("root")), "roots", total)
     low = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
-    named = written(hot_join(roots.select("fp", "root", F.col("k").alias("copies")), low, ["root"], total).select("fp", F.col("copies").alias("k"), "component_id"), "named")
-    return hot_join(prints, named, ["fp"], total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(hot_join(roots.select("fp", "root", F.col("k").alias("copies")), low, ["root"], total).select("fp", F.col("copies").alias("k"), "component_id"), "named", total)
+    return few(hot_join(prints, named, ["fp"], total), total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Near copies share this much of their shingles.
@@ -372,28 +372,29 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     prints = written(texts(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>, tag binary"), "prints")
+    total = prints.count()
     nodes = prints.where("doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "keys", "tag"), "doc_id").alias("x"))
     rows = nodes.select(F.explode("x.keys").alias("bucket"), F.col("x.doc_id").alias("node"), "x.tag").repartition("bucket").sortWithinPartitions("bucket", "node")
     found = written(rows.mapInArrow(meet, "bucket long, a long, b long"), "found")
     pairs = found.where("b is not null").select("a", "b").distinct()
     rest = found.where("b is null").select("bucket", F.col("a").alias("node")).distinct()
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(rest.select("node")).distinct(), "ids")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(rest.select("node")).distinct(), "ids", total)
     ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge")
     sets = written(texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(shingled, "node long, digest binary, tag binary, shingles binary").dropDuplicates(["node", "digest"]), "sets")
     sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = written(sides.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
-    linked = components(links)
+    linked = components(links, nodes=total)
     if not rest.isEmpty():
-        open_ = written(rest.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "open")
+        open_ = written(rest.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "open", BANDS * total)
         many = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).alias("k"))
         dealt_ = open_.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), F.col("k")))
         dealt_ = dealt_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         dealt_ = dealt_.select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
         blocks = dealt_.join(sets.select("node", "tag", "shingles"), "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
-        linked = components(links.union(blocks.mapInArrow(join_blocks, "a long, b long")))
+        linked = components(links.union(blocks.mapInArrow(join_blocks, "a long, b long")), nodes=total)
     first = prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("k"))
-    keeper = written(first.join(linked, "node", "left").select("digest", "k", F.coalesce("root", "node").alias("keeper")), "keeper")
-    return hot_join(prints, keeper, ["digest"], prints.count()).select("doc_id", "keeper")
+    keeper = written(first.join(linked, "node", "left").select("digest", "k", F.coalesce("root", "node").alias("keeper")), "keeper", total)
+    return few(hot_join(prints, keeper, ["digest"], total), total).select("doc_id", "keeper")
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -406,7 +407,7 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     linked = written(simhash_components(docs), "linked")
     keepers = written(near_duplicates(docs, size), "keepers")
     later = linked.where("doc_id <> component_id").select("doc_id").union(keepers.where("doc_id <> keeper").select("doc_id"))
-    gone = written(later.distinct(), "gone")
+    gone = written(later.distinct(), "gone", linked.count())
     gone = F.broadcast(gone) if gone.count() <= SENT else gone.hint("merge")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if keepers.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():

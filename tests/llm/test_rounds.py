@@ -1,7 +1,10 @@
-"""What the driver holds of a run: few jobs for small link tables, parts of the counted strings."""
+"""What the driver holds of a run: few jobs for small link tables, parts of the counted strings.  What executors start: few files."""
+
+from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
-from tessera.llm import graph, toxicity
+from tessera.llm import common, graph, simhash, toxicity
 from tests.llm.test_operators import _components
 
 
@@ -47,3 +50,45 @@ def test_strings_are_counted_in_parts():
     order = np.argsort(got)
     assert np.array_equal(got[order], want) and np.array_equal(np.concatenate([t[1] for t in tables])[order], n)
     assert max(len(t[0]) for t in tables) < 1.3 * len(want) / toxicity.PARTS
+
+
+@contextmanager
+def _apart(spark, n):
+    """Shuffles make n parts, which stay apart."""
+    conf = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _files(spark):
+    return {str(x) for x in Path(common.shared_dir(spark).removeprefix("file:")).glob("tessera-*/part-*")}
+
+
+def test_links_in_many_parts_need_no_rounds(spark):
+    """Parts that stay apart contract little each: what they leave fits one task."""
+    before = _files(spark)
+    spark.sparkContext.setJobGroup("apart", "")
+    try:
+        with _apart(spark, 40):
+            found = _found(spark, [(i, i + 1) for i in range(2000)])
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("apart")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == dict.fromkeys(range(2001), 0) and len(jobs) <= 12 and len(_files(spark) - before) <= 41
+
+
+def test_small_tables_lie_in_few_files(spark):
+    """Each file costs its executor processes: small tables of op 5 have no file for each part of a shuffle."""
+    docs = spark.createDataFrame([(i, f"{'a b c d e f g h i j' if i % 3 else 'k l m n o'} {i}") for i in range(300)], "doc_id long, text string").repartition(2)
+    want = {tuple(r) for r in simhash.simhash_components(docs).collect()}
+    before = _files(spark)
+    with _apart(spark, 40):
+        out = simhash.simhash_components(docs)
+        assert out.rdd.getNumPartitions() == 1 and {tuple(r) for r in out.collect()} == want
+    assert len({r[0] for r in want}) == 300 and len(_files(spark) - before) <= 10
