@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import few, hot_join, steps, texts, written
-from tessera.llm.graph import components, union
+from tessera.llm.graph import components
+from tessera.llm.graph import union as _union
 
 BUDGET = 4
 #: Fingerprints of one bucket above which it is dealt again.
@@ -99,7 +100,7 @@ def trie_forest(group: np.ndarray, rest: np.ndarray, budget: int = BUDGET, held:
             k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
             a, b = lo1[which] + k // n2[which], lo2[which] + k % n2[which]
             near = (a < b) & (np.bitwise_count(key[a] ^ key[b]) <= budget)
-            union(label, a[near], b[near])
+            _union(label, a[near], b[near])
         if small.all():
             continue
         lo1, hi1, lo2, hi2, diff = (x[~small] for x in (lo1, hi1, lo2, hi2, diff))
